@@ -1,0 +1,96 @@
+"""Tables replaced as a whole, readable while they are.
+
+A commit writes new folders for the buckets it touches, then publishes one
+small manifest.  Readers follow the newest manifest, so several tables change
+together or not at all, and a lost job leaves the old state in place.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+class SnapshotStore:
+    """``tables`` maps a name to ``(schema, key column)``."""
+
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[T.StructType, str]], buckets: int = 16):
+        self.spark, self.root, self.tables, self.buckets = spark, root.rstrip("/"), tables, buckets
+
+    # --- manifests, through the Hadoop file system of the session ----------
+
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def versions(self) -> list[int]:
+        fs, folder = self._fs(f"{self.root}/commits")
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, version: int | None = None) -> dict:
+        found = self.versions()
+        if not found:
+            return {"version": 0, "files": {t: {} for t in self.tables}, "info": {}}
+        path = f"{self.root}/commits/{version or found[-1]}.json"
+        text = self.spark.read.text(path, wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _publish(self, manifest: dict) -> None:
+        """Rename into place: fails when another writer published this version."""
+        target = f"{self.root}/commits/{manifest['version']}.json"
+        fs, draft = self._fs(f"{self.root}/commits/.{manifest['version']}.draft")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        _, final = self._fs(target)
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"version {manifest['version']} was published by another writer")
+
+    # --- tables ------------------------------------------------------------
+
+    def _bucket(self, table: str):
+        key = self.tables[table][1]
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, table: str, buckets: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        schema = self.tables[table][0]
+        files = (manifest or self.manifest())["files"].get(table, {})
+        folders = [f for b, f in files.items() if buckets is None or int(b) in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def touched(self, table: str, changes: DataFrame) -> list[int]:
+        """Buckets the changed keys fall into (at most ``buckets`` numbers)."""
+        return sorted(r[0] for r in changes.select(self._bucket(table).alias("b")).distinct().collect())
+
+    def commit(self, changed: dict[str, tuple[DataFrame, list[int] | None]], info: dict | None = None) -> int:
+        """Publish new contents of the named tables.
+
+        Each value is ``(rows, buckets)``: all rows of the given buckets, or of
+        the whole table for ``None``.  Other buckets keep their files.
+        """
+        old = self.manifest()
+        version = old["version"] + 1
+        files = {t: dict(old["files"].get(t, {})) for t in self.tables}
+        for table, (rows, buckets) in changed.items():
+            schema = self.tables[table][0]
+            folder = f"{self.root}/data/{table}/v={version}"
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn(
+                "bucket", self._bucket(table)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            fs, path = self._fs(folder)
+            made = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}"
+                    for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}
+            for b in map(str, range(self.buckets) if buckets is None else buckets):
+                files[table].pop(b, None)
+                if b in made:
+                    files[table][b] = made[b]
+        self._publish({"version": version, "files": files, "info": {**old.get("info", {}), **(info or {})}})
+        return version
