@@ -12,7 +12,8 @@ from folioscope.functions import paths as pt
 from folioscope.functions import text as tx
 from folioscope.operators import changes as ch
 from folioscope.operators import gates, listing
-from folioscope.operators.parse import index_rows, parse_pages
+from folioscope.operators.parse import index_rows, parse_pages, tag_rows
+from folioscope.operators.rows import unnest
 from folioscope.plans import corpus
 from folioscope.session import work_dir
 from folioscope.sources import files, web
@@ -215,7 +216,7 @@ def b3(spark, d):
 @query("B4_aliases", P + """SELECT path, unnest(string_split(regexp_extract(header, '(?m)^aliases: \\[(.*)\\]$', 1), ', ')) AS alias
   FROM parsed WHERE contains(header, 'aliases: ')""")
 def b4(spark, d):
-    return parsed(spark, d).select("path", F.explode("aliases").alias("alias"))
+    return unnest(parsed(spark, d), "aliases", "alias", "path")
 
 
 @query("B5_frontmatter_tags", P + "SELECT path, array_to_string(list_sort(fm_tags), ',') AS tags FROM parsed")
@@ -226,14 +227,14 @@ def b5(spark, d):
 
 @query("B6_all_tags", with_("pages_", "parsed", "tags") + "SELECT path, tag FROM tags")
 def b6(spark, d):
-    return parsed(spark, d).select("path", F.explode("tags").alias("tag"))
+    return tag_rows(parsed(spark, d))
 
 
 @query("B7_wikilinks", with_("pages_", "parsed", "links") + "SELECT path, link, embed FROM links")
 def b7(spark, d):
     both = F.concat(F.transform("links", lambda l: F.struct(l.alias("link"), F.lit(False).alias("embed"))),
                     F.transform("attachments", lambda l: F.struct(l.alias("link"), F.lit(True).alias("embed"))))
-    return parsed(spark, d).select("path", F.explode(both).alias("x")).select("path", "x.*")
+    return unnest(parsed(spark, d), both, "x", "path").select("path", "x.*")
 
 
 @query("B8_markdown_links", P + """SELECT DISTINCT path, trim(regexp_replace(href, '#.*$', '')) AS link, embed FROM (
@@ -243,7 +244,7 @@ def b7(spark, d):
 def b8(spark, d):
     both = F.concat(F.transform("links", lambda l: F.struct(l.alias("link"), F.lit(False).alias("embed"))),
                     F.transform("attachments", lambda l: F.struct(l.alias("link"), F.lit(True).alias("embed"))))
-    return parsed(spark, d, "markdown").select("path", F.explode(both).alias("x")).select("path", "x.*")
+    return unnest(parsed(spark, d, "markdown"), both, "x", "path").select("path", "x.*")
 
 
 @query("B9_code_spans", P + """SELECT path, CAST(len(regexp_extract_all(body, '\\[\\[[^\\]\\n]+\\]\\]')) AS INT) AS written,
@@ -257,7 +258,9 @@ def b9(spark, d):
 @query("B10_fields", P + """SELECT path, trim(regexp_extract(f, '^(\\w+)::', 1)) AS field, trim(regexp_extract(f, '::\\s*(.+)$', 1)) AS value
   FROM (SELECT path, unnest(regexp_extract_all(body, '(?m)^\\w+::\\s*.+$')) AS f FROM parsed)""")
 def b10(spark, d):
-    return parsed(spark, d).select("path", F.explode("fields").alias("field", "value"))
+    entries = F.map_entries("fields")
+    return unnest(parsed(spark, d), entries, "x", "path").select(
+        "path", F.col("x.key").alias("field"), F.col("x.value").alias("value"))
 
 
 @query("B11_build_meta", with_("pages_", "parsed", "tags") + """SELECT path, title, type, category, coalesce(t.tags, '') AS tags FROM parsed
@@ -349,13 +352,13 @@ def b22(spark, d):
         "path", tx.content_hash(tx.embed_text(F.col("path"), F.col("content"))).alias("text_hash"))
 
 
-SNIP = """CASE WHEN at = 0 THEN '' ELSE CASE WHEN at > 33 THEN '...' ELSE '' END
-    || substr(text, greatest(at - 32, 1), least(at + len(q) + 31, len(text)) - greatest(at - 32, 1) + 1)
-    || CASE WHEN at + len(q) + 31 < len(text) THEN '...' ELSE '' END END"""
+SNIP = """CASE WHEN pos = 0 THEN '' ELSE CASE WHEN pos > 33 THEN '...' ELSE '' END
+    || substr(text, greatest(pos - 32, 1), least(pos + len(q) + 31, len(text)) - greatest(pos - 32, 1) + 1)
+    || CASE WHEN pos + len(q) + 31 < len(text) THEN '...' ELSE '' END END"""
 
 
 @query("B23_like_snippet", f"""SELECT doc_id, {SNIP} AS snippet FROM (SELECT doc_id, text, CASE lang WHEN 'de' THEN 'UND' WHEN 'fr' THEN 'zzz' ELSE 'the' END AS q,
-  strpos(lower(text), lower(CASE lang WHEN 'de' THEN 'UND' WHEN 'fr' THEN 'zzz' ELSE 'the' END)) AS at FROM documents)""")
+  strpos(lower(text), lower(CASE lang WHEN 'de' THEN 'UND' WHEN 'fr' THEN 'zzz' ELSE 'the' END)) AS pos FROM documents)""")
 def b23(spark, d):
     phrase = F.expr("CASE lang WHEN 'de' THEN 'UND' WHEN 'fr' THEN 'zzz' ELSE 'the' END")
     return I.documents(spark, d).select("doc_id", tx.snippet(F.col("text"), phrase).alias("snippet"))

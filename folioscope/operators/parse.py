@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import header as hd
 from folioscope.functions import links as ln
 from folioscope.functions import text as tx
+from folioscope.operators.rows import unnest
 
 
 def page_title(header: Column, body: Column, path: Column) -> Column:
@@ -56,8 +57,8 @@ def index_rows(pages: DataFrame, dialect: str = "wikilink") -> DataFrame:
 
 def link_rows(parsed: DataFrame) -> DataFrame:
     """``(path, link)``, one row per distinct link of a page."""
-    return parsed.select("path", F.explode("links").alias("link"))
+    return unnest(parsed, "links", "link", "path")
 
 
 def tag_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("tags").alias("tag"))
+    return unnest(parsed, "tags", "tag", "path")

@@ -11,6 +11,7 @@ from folioscope.operators import linkgraph as lg
 from folioscope.operators.assemble import LINES_PER_PART, assemble, member_line
 from folioscope.operators.changes import apply_changes, change_class
 from folioscope.operators.parse import index_rows, link_rows, parse_pages, tag_rows
+from folioscope.operators.rows import unnest
 from folioscope.operators.skew import key_counts, lookup_join
 
 
@@ -55,8 +56,8 @@ def frontmatter_issues(parsed: DataFrame) -> DataFrame:
         F.when(~hd.has_field(header, "type"), F.lit("missing type field")),
         *[F.when(source & ~hd.has_field(header, f), F.lit(f"source page missing {f}"))
           for f in ("source_path", "ingested_at")]))
-    return parsed.where(F.col("path") != pt.SCHEMA_PAGE).select(
-        "path", F.lit("frontmatter").alias("kind"), F.explode(found).alias("message"))
+    return unnest(parsed.where(F.col("path") != pt.SCHEMA_PAGE), found, "message",
+                  "path", F.lit("frontmatter").alias("kind"))
 
 
 def lint(parsed: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -124,8 +125,7 @@ def synthesize(parsed: DataFrame, today: str, lines_per_part: int = LINES_PER_PA
     ``parsed`` is the output of ``parse_pages``, best stored once.
     """
     members = [
-        parsed.select("path", F.lit(kind).alias("kind"), F.explode(column).alias("name"),
-                      lg.display_title().alias("title"))
+        unnest(parsed, column, "name", "path", F.lit(kind).alias("kind"), lg.display_title().alias("title"))
         for kind, column in (("link", "links"), ("tag", "tags"))]
     concepts = new_concepts(link_rows(parsed), tag_rows(parsed), parsed.select("path"))
     mark = F.when(F.col("kind") == "tag", F.lit("#")).otherwise(F.lit(""))
