@@ -15,7 +15,7 @@ from folioscope.operators import gates, listing
 from folioscope.operators.parse import index_rows, parse_pages, tag_rows
 from folioscope.operators.rows import unnest
 from folioscope.plans import corpus
-from folioscope.session import work_dir
+from folioscope.session import work_dir, written
 from folioscope.sources import files, web
 
 def now():
@@ -171,7 +171,8 @@ def a14b(spark, d):
   UNION ALL SELECT 'edge', l.path, r.target FROM links l JOIN resolved r USING (link) WHERE NOT l.embed""")
 def a15(spark, d):
     out = work_dir(spark)
-    files.write_graph(*corpus.link_graph(parse_pages(I.pages(spark, d))), out)
+    parsed = parse_pages(I.pages(spark, d)).select("path", "title", "type", "links")
+    files.write_graph(*corpus.link_graph(written(parsed, "parsed")), out)
     nodes = spark.read.schema("path string, title string, type string").json(f"{out}/nodes")
     edges = spark.read.schema("source string, target string").json(f"{out}/edges")
     return nodes.select(F.lit("node").alias("kind"), F.col("path").alias("a"), F.col("title").alias("b")).unionByName(

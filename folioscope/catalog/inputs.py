@@ -40,7 +40,7 @@ CONTENT = f"""'---' || {NL}
  || CASE WHEN lang IN ('de', 'es') THEN '# Page ' || doc_id || {NL} || {NL} ELSE '' END
  || text || {NL} || {NL}
  || 'See [[doc-' || CAST(floor(doc_id / 2) AS BIGINT) || ']] and [[Topic ' || lang || '|the topic]] with ![[fig-'
- || source || '.png]] and [[DOC-' || (doc_id + 1) || '#part]] or [home](../doc-' || CAST(floor(doc_id / 3) AS BIGINT)
+ || source || '.png]]' || CASE WHEN n_chars > 400 THEN ' and [[DOC-' || (doc_id + 1) || '#part]]' ELSE '' END || ' or [home](../doc-' || CAST(floor(doc_id / 3) AS BIGINT)
  || '.md#top) ![pic](img/' || source || '.png) [out](https://example.com/' || doc_id || ')' || {NL}
  || CASE WHEN lang = 'fr' THEN '```' || {NL} || '[[fenced]]' || {NL} || '```' || {NL} || '`[[inline]]` done' || {NL}
       ELSE '' END

@@ -1 +1,306 @@
+"""Composite jobs and incremental runs."""
 
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from folioscope.catalog import inputs as I
+from folioscope.catalog.files_and_pages import now
+from folioscope.catalog.inputs import with_
+from folioscope.catalog.joins_and_counts import (
+    BUCKET, CHANGES, CONCEPTS, COUNTS, FULL, INDEXED, ISSUES, LIMIT, LIMITED, PLAN, PLAN_IN, plan, planned_actions,
+    stored_parse)
+from folioscope.catalog.registry import query
+from folioscope.functions import text as tx
+from folioscope.operators import changes as ch
+from folioscope.operators import ledger as lg_
+from folioscope.operators.parse import index_rows, parse_pages
+from folioscope.plans import corpus, embed, ingest, responses
+from folioscope.session import work_dir, written
+from folioscope.streaming import ingest as si
+from folioscope.streaming import rollup
+
+
+@query("J1_plan_ingest", PLAN_IN + f"SELECT source_path, content_hash, action, error FROM (SELECT source_path, action, error, CASE WHEN action NOT IN ('skipped', 'deferred') THEN content_hash END AS content_hash FROM ({PLAN}))")
+def j1(spark, d):
+    """Content is hashed here, past the gates."""
+    sources = I.sources(spark, d).drop("content_hash").withColumnRenamed("text", "content")
+    rows = ingest.plan_ingest(sources, I.types(spark, d), I.ledger(spark, d), I.pages(spark, d), I.MODEL, now(), 0, I.MAX_BYTES)
+    return rows.select("source_path", "content_hash", "action", "error")
+
+
+@query("J1_plan_ingest_limited", PLAN_IN + f"SELECT action, count(*) AS n FROM ({LIMITED}) GROUP BY action")
+def j1b(spark, d):
+    return plan(spark, d, LIMIT).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+# results of a run, by rule: some pages lack a header, some calls fail
+NL = I.NL
+RESULTS = f"""SELECT source_path, content_hash, CASE WHEN n_chars % 7 = 0 THEN 'no header' ELSE '---' || {NL} || 'title: T ' || doc_id || {NL} ||
+    'tags: [a, b]' || {NL} || '---' || {NL} || 'body' END AS page_content,
+  CASE n_chars % 11 WHEN 0 THEN 'transient' WHEN 1 THEN 'refused' WHEN 2 THEN 'permanent' END AS error_class,
+  CASE WHEN n_chars % 11 < 3 THEN 'call failed' END AS message FROM {{sources}}"""
+DONE = f"""SELECT p.source_path, p.content_hash, p.source_dir, p.prev_attempts, CASE WHEN r.error_class IS NOT NULL THEN r.error_class
+    WHEN r.page_content = 'no header' THEN 'permanent' END AS cls, CASE WHEN r.error_class IS NOT NULL THEN 'digest: call failed'
+    WHEN r.page_content = 'no header' THEN 'validate: page missing frontmatter or title' ELSE '' END AS msg,
+  'sources/doc-' || regexp_extract(p.source_path, 'Doc (\\d+)', 1) || '.md' AS base
+  FROM (SELECT * FROM plan_ WHERE action = 'digest') p JOIN ({RESULTS.format(sources='sources')}) r ON r.source_path = p.source_path"""
+NAMED = """SELECT *, CASE WHEN cls IS NOT NULL THEN '' WHEN EXISTS (SELECT 1 FROM ledger l WHERE l.wiki_page = base AND l.source_path <> d.source_path)
+  THEN replace(base, '.md', '-' || left(sha256(source_path), 8) || '.md') ELSE base END AS wiki_page FROM done d"""
+AFTER = PLAN_IN + f""", plan_ AS ({PLAN}), done AS ({DONE}), named AS ({NAMED}), new AS (SELECT source_path, content_hash, wiki_page,
+    CASE WHEN cls IS NULL THEN 'success' WHEN cls = 'refused' THEN 'refused' ELSE 'failed' END AS status,
+    CASE WHEN cls IS NULL THEN 0 WHEN cls = 'permanent' THEN prev_attempts + 1 ELSE prev_attempts END AS attempts, msg AS last_error FROM named)
+  SELECT * FROM new UNION ALL SELECT source_path, content_hash, wiki_page, CASE WHEN status = 'success' AND source_path IN
+    (SELECT source_path FROM new WHERE status = 'success') THEN 'superseded' ELSE status END, attempts, last_error FROM ledger
+  WHERE (source_path, content_hash) NOT IN (SELECT (source_path, content_hash) FROM new)"""
+
+
+def run(spark, d):
+    results = spark.sql(RESULTS, sources=I.sources(spark, d))
+    return ingest.apply_outcomes(plan(spark, d), results, I.ledger(spark, d), I.MODEL, "scheduled", now())
+
+
+@query("J2_apply_outcomes", AFTER)
+def j2(spark, d):
+    return run(spark, d)[0].select("source_path", "content_hash", "wiki_page", "status", "attempts", "last_error")
+
+
+@query("J2_new_pages", AFTER.split("SELECT * FROM new UNION")[0] + """SELECT wiki_page AS path, 'T ' || regexp_extract(source_path, 'Doc (\\d+)', 1) AS title,
+  'a,b' AS tags FROM named WHERE cls IS NULL""")
+def j2b(spark, d):
+    return run(spark, d)[1].select("path", "title", F.array_join("tags", ",").alias("tags"))
+
+
+# each folder has lost the file of its newest labelled document
+LOST = "SELECT max(doc_id) AS doc_id FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source"
+STATES = """SELECT DISTINCT '/in/' || source AS source_dir, CASE source WHEN 'src7' THEN 'error' WHEN 'src8' THEN 'missing' ELSE 'ok' END AS state FROM {documents}"""
+WINS = """wins AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY digested_at DESC, content_hash DESC) AS rn
+    FROM ledger WHERE status = 'success') WHERE rn = 1)"""
+SWEEP = f"""SELECT source_dir, path, wiki_page, archived_page, action FROM (
+    SELECT source_dir, min(source_path) FILTER (WHERE gone) AS path, min(wiki_page) FILTER (WHERE gone) AS wiki_page,
+      min('sources/_archived/' || regexp_replace(regexp_extract(wiki_page, '[^/]*$'), '\\.md$', '') || '-' || left(content_hash, 8) || '.md') FILTER (WHERE gone) AS archived_page,
+      'archived' AS action, count(*) FILTER (WHERE gone) AS missing, count(*) FILTER (WHERE NOT gone) AS survivors
+    FROM (SELECT w.*, s.doc_id IN ({LOST.format(documents='documents', labels='labels')}) AS gone FROM wins w JOIN sources s USING (source_path)) GROUP BY source_dir)
+  WHERE missing = 1 AND survivors >= 1 AND source_dir NOT IN ('/in/src7', '/in/src8')
+  UNION ALL SELECT DISTINCT source_dir, source_dir, '', '', 'source-error' FROM wins WHERE source_dir = '/in/src7'"""
+
+
+@query("J3_sweep_orphans", with_("sources", "ledger") + f", {WINS} {SWEEP}")
+def j3(spark, d):
+    docs, labels = I.documents(spark, d), I.table(spark, d, "labels")
+    lost = spark.sql(LOST, documents=docs, labels=labels)
+    here = I.sources(spark, d).join(lost, "doc_id", "left_anti").select("source_dir", "source_path")
+    states = spark.sql(STATES, documents=docs)
+    ledger = lg_.superseded(I.ledger(spark, d))
+    swept = ingest.sweep_orphans(ledger, states, here, I.pages(spark, d).select("path"))
+    return swept.select("source_dir", "path", "wiki_page", "archived_page", "action")
+
+
+@query("J4_digest_sources")
+def j4(spark, d):
+    """Batched inference with the offline default; its text rule is Python."""
+    sources = I.sources(spark, d).withColumnRenamed("text", "content")
+    made = ingest.digest_sources(sources)
+    return made.select("source_path", "error_class", F.octet_length("page_content").alias("bytes"))
+
+
+@query("J5_classify_responses", f"""SELECT conv_id, turn, CASE v WHEN 0 THEN NULL WHEN 4 THEN 'refused' WHEN 1 THEN 'transient' WHEN 2 THEN 'transient'
+    WHEN 5 THEN 'transient' ELSE 'permanent' END AS error_class,
+  CASE v WHEN 1 THEN 'execution error' WHEN 2 THEN 'Error: rate limit exceeded (HTTP 429)' WHEN 3 THEN 'parse output' WHEN 4 THEN 'policy refusal'
+    WHEN 5 THEN 'timeout' WHEN 6 THEN 'no result event' WHEN 7 THEN 'empty result' END AS message,
+  CASE WHEN v = 0 THEN sha256(trim(text, ' ' || chr(10))) END AS page_hash FROM (SELECT *, (conv_id + turn) % 8 AS v FROM conversations)""")
+def j5(spark, d):
+    rows = I.table(spark, d, "conversations").withColumn("v", F.expr("(conv_id + turn) % 8"))
+    event = lambda **f: F.to_json(F.array(F.struct(*[c.alias(n) for n, c in f.items()])))
+    v, result = F.col("v"), F.lit("result")
+    stdout = (
+        F.when(v.isin(0, 5), event(type=result, subtype=F.lit("success"), is_error=F.lit(False), result=F.col("text")))
+        .when(v == 1, event(type=result, subtype=F.lit("error_during_execution"), is_error=F.lit(True), result=F.lit("")))
+        .when(v == 2, F.lit("")).when(v == 3, F.col("text")).when(v == 4, F.lit("API Error: refused\n"))
+        .when(v == 6, event(type=F.lit("system"), subtype=F.lit("init")))
+        .otherwise(event(type=result, subtype=F.lit("success"), is_error=F.lit(False), result=F.lit(""))))
+    log = rows.select(
+        "conv_id", "turn", stdout.alias("stdout"),
+        F.when(v == 2, F.lit("Error: rate limit exceeded (HTTP 429)\n")).otherwise("").alias("stderr"),
+        F.when(v.isin(2, 4), 1).otherwise(0).alias("exit_code"), (v == 5).alias("timed_out"), F.lit(False).alias("cancelled"))
+    return responses.classify_responses(log).select(
+        "conv_id", "turn", "error_class", "message", tx.content_hash(F.col("page_content")).alias("page_hash"))
+
+
+READABLE = "source <> 'src5' OR n_chars % 2 = 1"
+
+
+@query("J6_check_consistency", with_("pages_") + f"""SELECT c.path, CASE WHEN change = 'unchanged' OR (source = 'src5' AND n_chars % 2 = 0) THEN 'old' ELSE sha256(content) END AS content_hash
+  FROM ({CHANGES}) c JOIN pages_ p ON p.path = c.path WHERE change <> 'removed' AND NOT (change = 'added' AND source = 'src5' AND n_chars % 2 = 0)""")
+def j6(spark, d):
+    """Some files of one source cannot be read: they keep their old row."""
+    pages = I.pages(spark, d)
+    old = spark.sql(INDEXED, pages=pages).select(
+        "path", F.lit("").alias("title"), F.lit("").alias("type"), F.lit("").alias("category"),
+        F.array().cast("array<string>").alias("tags"), F.lit("").alias("content"), F.lit("old").alias("content_hash"),
+        "size", "mtime", now().alias("indexed_at"))
+    scan, content = pages.select("path", "size", "mtime"), pages.where(READABLE).select("path", "content")
+    return corpus.check_consistency(scan, old, content, now())[1].select("path", "content_hash")
+
+
+@query("J6_consistency_errors", with_("pages_") + f"""SELECT c.path, 'read: ' || c.path AS error FROM ({CHANGES}) c JOIN pages_ p ON p.path = c.path
+  WHERE change IN ('added', 'updated') AND source = 'src5' AND n_chars % 2 = 0""")
+def j6b(spark, d):
+    pages = I.pages(spark, d)
+    old = index_rows(pages).select("path", "title", "type", "category", "tags", "content", "content_hash", "indexed_at").join(
+        spark.sql(INDEXED, pages=pages), "path", "right")
+    scan, content = pages.select("path", "size", "mtime"), pages.where(READABLE).select("path", "content")
+    return corpus.check_consistency(scan, old, content, now())[2]
+
+
+@query("J7_rebuild", with_("pages_", "parsed") + "SELECT path, title, type, category, sha256(content) AS content_hash, size FROM parsed")
+def j7(spark, d):
+    scan = I.pages(spark, d).select("path", "content", "size", "mtime")
+    return corpus.rebuild(scan, now()).select("path", "title", "type", "category", "content_hash", "size")
+
+
+@query("J8_lint", FULL + f"SELECT path, kind, message FROM ({ISSUES})")
+def j8(spark, d):
+    return corpus.lint(stored_parse(spark, d))
+
+
+def _lines(rows: str) -> str:
+    """List text in path order."""
+    return f"""(SELECT coalesce(string_agg('- [[' || regexp_replace(path, '\\.md$', '') || '|' || title || ']]' || chr(10), '' ORDER BY path), '') FROM {rows})"""
+
+
+@query("J9_synthesize", FULL + f""", c AS ({CONCEPTS}), m AS (
+    SELECT c.slug, c.kind, c.name, c.n_pages, p.path, p.title FROM c JOIN (SELECT 'link' AS kind, link AS name, path FROM links WHERE NOT embed
+      UNION ALL SELECT 'tag', tag, path FROM tags) x ON x.kind = c.kind AND x.name = c.name JOIN parsed p ON p.path = x.path)
+  SELECT slug AS path, CAST(0 AS BIGINT) AS part, sha256('---' || chr(10) || 'title: ' || CASE kind WHEN 'tag' THEN '"#' || name || '"' ELSE name END || chr(10) || 'type: concept' || chr(10)
+    || 'generated_at: {I.TODAY}' || chr(10) || '---' || chr(10) || chr(10) || '# ' || CASE kind WHEN 'tag' THEN '#' ELSE '' END || name || chr(10) || chr(10)
+    || CASE kind WHEN 'tag' THEN '_Tagged in ' ELSE '_Referenced by ' END || n_pages || ' pages._' || chr(10) || chr(10)
+    || string_agg('- [[' || regexp_replace(path, '\\.md$', '') || '|' || title || ']]' || chr(10), '' ORDER BY path)) AS content_hash
+  FROM m GROUP BY slug, kind, name, n_pages""")
+def j9(spark, d):
+    made = corpus.synthesize(stored_parse(spark, d), I.TODAY)
+    return made.select("path", "part", tx.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("J10_digest_recent", with_("pages_", "parsed") + f""", r AS (SELECT path, title FROM parsed WHERE path LIKE 'sources/%' AND (1709251200 - epoch(indexed_at)) < 604800)
+  SELECT 'digests/weekly-{I.TODAY}.md' AS path, CAST(0 AS BIGINT) AS part, sha256('---' || chr(10) || 'title: Weekly Digest {I.TODAY}' || chr(10) || 'type: synthesis' || chr(10)
+    || 'generated_at: {I.TODAY}' || chr(10) || '---' || chr(10) || chr(10) || '# Weekly Digest — {I.TODAY}' || chr(10) || chr(10)
+    || '_Recent 7 day(s), ' || (SELECT count(*) FROM r) || ' source(s)._' || chr(10) || chr(10) || {_lines('r')}) AS content_hash""")
+def j10(spark, d):
+    pages = index_rows(I.pages(spark, d)).select("path", "title", "indexed_at")
+    made = corpus.digest_recent(pages, now(), I.TODAY)
+    return made.select("path", "part", tx.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("J11_index_page", with_("pages_", "parsed") + f""", r AS (SELECT path, title FROM parsed WHERE path NOT IN ('_schema.md', '_index.md'))
+  SELECT '_index.md' AS path, CAST(0 AS BIGINT) AS part, sha256('---' || chr(10) || 'title: Index' || chr(10) || 'type: index' || chr(10) || '---' || chr(10) || chr(10)
+    || '# Wiki Index' || chr(10) || chr(10) || '_Generated {I.TODAY}. ' || (SELECT count(*) FROM r) || ' pages._' || chr(10) || chr(10) || {_lines('r')}) AS content_hash""")
+def j11(spark, d):
+    made = corpus.build_index_page(parse_pages(I.pages(spark, d)).select("path", "title"), I.TODAY)
+    return made.select("path", "part", tx.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("J12_embed_stale", with_("pages_", "vectors") + """SELECT p.path, sha256(p.content) AS content_hash, CAST(64 AS INT) AS dims, 'embedded' AS outcome
+  FROM pages_ p LEFT JOIN vectors v ON v.path = p.path AND v.model = 'm1' WHERE v.path IS NULL OR v.content_hash <> sha256(p.content)""")
+def j12(spark, d):
+    pages = I.pages(spark, d).withColumn("content_hash", tx.content_hash(F.col("content")))
+    return embed.embed_stale(pages, I.vectors(spark, d), I.MODEL).drop("vector")
+
+
+@query("J12_store_vectors", with_("pages_", "vectors") + """SELECT path, model, max(content_hash) AS content_hash FROM (
+    SELECT p.path, 'm1' AS model, sha256(p.content) AS content_hash FROM pages_ p
+    UNION ALL SELECT path, model, content_hash FROM vectors WHERE model <> 'm1') GROUP BY path, model""")
+def j12b(spark, d):
+    pages = I.pages(spark, d).withColumn("content_hash", tx.content_hash(F.col("content")))
+    old = I.vectors(spark, d).drop("label")
+    made = written(embed.embed_stale(pages, old, I.MODEL), "vectors")
+    return embed.store_vectors(old, made, I.MODEL, now()).select("path", "model", "content_hash")
+
+
+@query("J13_link_graph", FULL + """SELECT 'node' AS kind, path AS a, title AS b FROM parsed
+  UNION ALL SELECT 'edge', l.path, r.target FROM links l JOIN resolved r USING (link) WHERE NOT l.embed""")
+def j13(spark, d):
+    nodes, edges = corpus.link_graph(stored_parse(spark, d))
+    return nodes.select(F.lit("node").alias("kind"), F.col("path").alias("a"), F.col("title").alias("b")).unionByName(
+        edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+SHOWN = ["scanned", "digested", "failed", "refused", "skipped", "deferred", "unchanged", "archived", "source-errors"]
+
+
+@query("J15_run_report", PLAN_IN + f""", p AS ({PLAN}), a AS (SELECT source_path AS path, CASE action WHEN 'digest' THEN 'would-digest' WHEN 'already-refused' THEN 'refused'
+    ELSE action END AS word, error FROM p WHERE action <> 'unchanged'), c AS (SELECT count(*) AS scanned, """ + ", ".join(
+    f"count(*) FILTER (WHERE b = '{x}') AS {x}" for x in COUNTS) + f""" FROM (SELECT {BUCKET} AS b FROM p))
+  SELECT 0 AS section, '' AS sort_key, """ + " || ' ' || ".join(f"'{x}=' || {x.replace('-', '_')}" for x in SHOWN) + """ AS line FROM c
+  UNION ALL SELECT 1, path, '  ' || rpad(word, CAST((SELECT max(len(word)) FROM a) AS INT), ' ') || '  ' || path || CASE WHEN error <> '' THEN '  ' || error ELSE '' END FROM a""")
+def j15(spark, d):
+    return ingest.run_report(planned_actions(spark, d))
+
+
+# --- incremental -----------------------------------------------------------
+
+FIRST = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+
+
+def landed(spark, d):
+    return I.sources(spark, d).select(
+        "source_dir", "source_path", F.encode("text", "UTF-8").alias("content"), "size", "mtime")
+
+
+@query("K1_scheduled_ingest", PLAN_IN + f"""SELECT source_path, content_hash, 'success' AS status, CAST(0 AS INT) AS attempts, 'sources/doc-' || regexp_extract(source_path, 'Doc (\\d+)', 1)
+  || '.md' AS wiki_page FROM ({PLAN}) WHERE action NOT IN ('skipped', 'deferred') OR error = 'exceeds max file size'""")
+def k1(spark, d):
+    """A landing folder is drained twice; the second run finds nothing to do."""
+    root = work_dir(spark)
+    landed(spark, d).write.parquet(f"{root}/landing")
+    store = si.open_store(spark, f"{root}/store", 4)
+    for _ in range(2):
+        si.run_ingest(spark, f"{root}/landing", store, I.types(spark, d), I.MODEL, f"{root}/checkpoint", lambda: FIRST)
+    return store.read("ledger").select("source_path", "content_hash", "status", "attempts", "wiki_page")
+
+
+@query("K2_settle_recheck", PLAN_IN + f"""SELECT source_path, CASE action WHEN 'deferred' THEN 'second' ELSE 'first' END AS run FROM ({PLAN})
+  WHERE action <> 'skipped' OR error = 'exceeds max file size'""")
+def k2(spark, d):
+    """Files that are still settling are taken in by the next run."""
+    root = work_dir(spark)
+    store = si.open_store(spark, f"{root}/store", 4)
+    rows, later = landed(spark, d), FIRST + dt.timedelta(hours=1)
+    si.ingest_batch(rows, store, I.types(spark, d), I.MODEL, FIRST)
+    si.ingest_batch(rows.limit(0), store, I.types(spark, d), I.MODEL, later)
+    first = F.col("digested_at") == F.lit(FIRST).cast("timestamp")
+    return store.read("ledger").select("source_path", F.when(first, "first").otherwise("second").alias("run"))
+
+
+OPS = """SELECT 'sources/doc-' || doc_id || '.md' AS path, CAST(quality AS BIGINT) AS size, CASE WHEN toxic = 1 THEN 'delete' ELSE 'upsert' END AS op, doc_id AS seq FROM {labels}
+  UNION ALL SELECT 'sources/doc-' || (doc_id + 1) || '.md', CAST(-1 AS BIGINT), CASE WHEN quality = 0 THEN 'delete' ELSE 'upsert' END, doc_id + 1000000 FROM {labels}
+  UNION ALL SELECT '_schema.md', CAST(-1 AS BIGINT), 'delete', doc_id FROM {labels}"""
+
+
+@query("K3_apply_changes", with_("pages_") + f""", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn
+    FROM ({OPS.format(labels='labels')}) WHERE path <> '_schema.md') WHERE rn = 1)
+  SELECT path, size FROM pages_ WHERE path NOT IN (SELECT path FROM last) UNION ALL SELECT path, size FROM last WHERE op = 'upsert'""")
+def k3(spark, d):
+    ops = spark.sql(OPS, labels=I.table(spark, d, "labels"))
+    return ch.apply_changes(I.pages(spark, d).select("path", "size"), ops)
+
+
+@query("K4_refresh_due", """SELECT event_id, (1706745600 - epoch(ts)) >= 86400 AS due FROM events""")
+def k4(spark, d):
+    """Which entities are due when each was last refreshed at its event time."""
+    at = F.timestamp_seconds(F.lit(1706745600))
+    return I.table(spark, d, "events").select(
+        "event_id", ch.refresh_due(F.col("ts").cast("timestamp"), at, 86400).alias("due"))
+
+
+@query("K5_rolling_summary", """SELECT event_type AS kind, CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS window_start, count(*) AS n
+  FROM events GROUP BY 1, 2""")
+def k5(spark, d):
+    root = work_dir(spark)
+    schema = I.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    rows = rollup.run_rollup(spark, stream, "ts", "event_type", f"{root}/out", f"{root}/checkpoint")
+    return rows.select("kind", F.unix_seconds("window_start").alias("window_start"), "n")

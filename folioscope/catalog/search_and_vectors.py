@@ -1 +1,196 @@
+"""Search, similarity and the link graph."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioscope.catalog import inputs as I
+from folioscope.catalog.files_and_pages import SNIP
+from folioscope.catalog.inputs import with_
+from folioscope.catalog.joins_and_counts import FULL, LENGTHS, small, stored_parse
+from folioscope.catalog.registry import query
+from folioscope.functions import text as tx
+from folioscope.operators import linkgraph as lg
+from folioscope.operators import search as se
+from folioscope.operators import vectors as ve
+from folioscope.operators.parse import index_rows, link_rows
+from folioscope.session import written
+
+# every sentence of the benchmark texts is a query
+SENTENCES = "SELECT DISTINCT trim(s) AS query FROM (SELECT unnest(string_split(text, '.')) AS s FROM benchmark)"
+
+
+def sentences(spark, d):
+    parts = F.transform(F.split("text", r"\."), lambda s: F.trim(s))
+    return I.table(spark, d, "benchmark").select(F.explode(parts).alias("query")).distinct().select(
+        F.col("query").alias("query_id"), "query")
+
+
+def indexed_pages(spark, d):
+    """The stored page table: parsed once, then read column by column."""
+    pages = index_rows(I.pages(spark, d))
+    return written(pages.withColumn("tags", F.array_sort("tags")), "pages")
+
+
+def round6(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+TEXTS = f"""SELECT path, title, type, category, content, doc_len,
+    lower(path || chr(1) || title || chr(1) || content || chr(1) || coalesce(t.tags, '')) AS doc_text
+  FROM parsed LEFT JOIN (SELECT path, string_agg(tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY path) t USING (path)
+  JOIN ({LENGTHS}) USING (path)"""
+
+
+def ranked_sql(queries: str, k: int, own: str = "") -> str:
+    """BM25 written out: frequency, length, document frequency, then the first k."""
+    return FULL + f""", texts AS (SELECT *, avg(doc_len) OVER () AS avg_len, count(*) OVER () AS n_docs FROM ({TEXTS})),
+  q AS (SELECT *, lower(query) AS phrase FROM ({queries}) WHERE trim(query, ' ' || chr(10) || chr(9)) <> '' AND len(query) >= 3),
+  hits AS (SELECT q.*, t.path, t.title, t.type, t.category, t.content, t.doc_len, t.avg_len, t.n_docs,
+      (len(doc_text) - len(replace(doc_text, phrase, ''))) / len(phrase) AS tf,
+      count(*) OVER (PARTITION BY query_id) AS n FROM q JOIN texts t ON contains(t.doc_text, q.phrase)),
+  scored AS (SELECT *, greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2
+      / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len)) AS s FROM hits),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank FROM scored {own})
+  SELECT query_id, rank, path, title, type, category, {SNIP} AS snippet, round(s, 6) AS score
+  FROM (SELECT *, content AS text, phrase AS q, strpos(lower(content), phrase) AS pos FROM best WHERE rank <= {k})"""
+
+
+BY_QUERY = f"SELECT query AS query_id, query FROM ({SENTENCES})"
+RANKED = ranked_sql(BY_QUERY, 10)
+
+SHORT = "SELECT DISTINCT lang AS query_id, upper(lang) AS query FROM documents"
+def short_sql(queries: str) -> str:
+    return f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY path) AS rank, path, title, type, category, {SNIP} AS snippet, 0.0 AS score
+  FROM (SELECT *, content AS text, lower(query) AS q, strpos(lower(content), lower(query)) AS pos FROM ({queries}) JOIN parsed ON contains(lower(content), lower(query)))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY path) <= 10"""
+
+
+SHORT_ROWS = short_sql(SHORT)
+
+
+def short_queries(spark, d):
+    return I.table(spark, d, "documents").select(
+        F.col("lang").alias("query_id"), F.upper("lang").alias("query")).distinct()
+
+
+@query("F1_search", RANKED + " UNION ALL " + short_sql(
+    f"{SHORT} UNION SELECT query, query FROM ({SENTENCES}) WHERE len(query) BETWEEN 1 AND 2"))
+def f1(spark, d):
+    """Long, short and blank queries in one call."""
+    blank = spark.createDataFrame([("", "   "), ("\t", "\t\n")], "query_id string, query string")
+    asked = sentences(spark, d).unionByName(short_queries(spark, d)).unionByName(blank)
+    return round6(se.search(indexed_pages(spark, d), asked))
+
+
+@query("F2_phrase_search", RANKED)
+def f2(spark, d):
+    return round6(se.phrase_search(indexed_pages(spark, d), sentences(spark, d)))
+
+
+@query("F2_phrase_search_indexed", RANKED)
+def f2i(spark, d):
+    """The same rows through the stored trigram index."""
+    pages = indexed_pages(spark, d)
+    postings = written(se.build_postings(se.search_text(pages)), "postings")
+    return round6(se.phrase_search(pages, sentences(spark, d), 10, postings, se.gram_counts(postings), use_index=True))
+
+
+@query("F2_gram_index", FULL + f""", texts AS ({TEXTS}), g AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram
+    FROM (SELECT path, replace(doc_text, chr(1), chr(2)) AS t FROM texts))
+  SELECT gram, count(*) AS df FROM g WHERE NOT contains(gram, chr(2)) GROUP BY gram""")
+def f2g(spark, d):
+    """Document frequency of every trigram inside a column."""
+    grams = se.build_postings(se.search_text(indexed_pages(spark, d)))
+    return se.gram_counts(grams.where(~F.contains("gram", F.lit(se.SEP))))
+
+
+@query("F3_short_search", with_("pages_", "parsed") + SHORT_ROWS)
+def f3(spark, d):
+    return se.short_search(indexed_pages(spark, d), short_queries(spark, d))
+
+
+# the oldest vector of each label asks for its neighbours
+ASKED = "SELECT 'sources/' AS x, min(vec_id) AS vec_id FROM {embeddings} WHERE label > 0 GROUP BY label"
+NEAR_OF = """SELECT query_path, path, row_number() OVER (PARTITION BY query_path ORDER BY s DESC, path) AS rank, s FROM (
+    SELECT q.path AS query_path, c.path, list_sum(list_transform(range(1, 65), lambda i: CAST(q.vector[i] AS DOUBLE) * CAST(c.vector[i] AS DOUBLE))) AS s
+    FROM (SELECT v.* FROM vectors v JOIN pages_ p USING (path) WHERE v.model = 'm1' AND path IN ({paths})) q
+    JOIN (SELECT * FROM vectors WHERE model = 'm1') c ON c.path <> q.path)"""
+OLDEST = f"SELECT path FROM pages_ WHERE doc_id IN (SELECT vec_id FROM ({ASKED.format(embeddings='embeddings')}))"
+NEAR = NEAR_OF.format(paths=OLDEST)
+
+
+def asked_paths(spark, d):
+    oldest = spark.sql(ASKED, embeddings=I.table(spark, d, "embeddings"))
+    return I.pages(spark, d).join(oldest, F.col("doc_id") == F.col("vec_id"), "left_semi").select("path")
+
+
+@query("F4_similar_by_vector", with_("pages_", "parsed", "vectors") + f"""SELECT query_path, rank, n.path, title, type, category, round(s, 6) AS score
+  FROM ({NEAR}) n JOIN parsed USING (path) WHERE rank <= 5""")
+def f4(spark, d):
+    pages = indexed_pages(spark, d)
+    return round6(ve.similar_by_vector(asked_paths(spark, d), I.vectors(spark, d), pages, I.MODEL))
+
+
+@query("F4_all_nearest", """SELECT query_path, path, rank, round(s, 6) AS score FROM (
+  SELECT q.vec_id AS query_path, c.vec_id AS path, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS rank FROM (
+    SELECT q.vec_id, q.e AS qe FROM (SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) q) q,
+    (SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) c,
+    LATERAL (SELECT list_inner_product(q.qe, c.e) AS s) WHERE q.vec_id <> c.vec_id) WHERE rank <= 3""")
+def f4b(spark, d):
+    """Neighbours of every vector: queries meet the corpus block by block."""
+    e = I.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("vector"))
+    q = e.select(F.col("path").alias("query_path"), F.col("vector").alias("query_vector"))
+    return round6(ve.nearest(q, e, 3, query_block=256))
+
+
+BY_TITLE = "SELECT path AS query_id, title AS query, path AS own FROM parsed"
+SIMILAR_TEXT = ranked_sql(BY_TITLE, 5, "WHERE path <> own")
+
+
+@query("F5_similar_by_text", SIMILAR_TEXT.replace("SELECT query_id, rank, path", "SELECT query_id AS query_path, rank, path"))
+def f5(spark, d):
+    """Every page asks with its title."""
+    return round6(se.similar_by_text(indexed_pages(spark, d))).select(
+        "query_path", "rank", "path", "title", "type", "category", "snippet", "score")
+
+
+BOTH = f"""SELECT p.path FROM pages_ p WHERE doc_id IN (SELECT vec_id FROM ({ASKED.format(embeddings='embeddings')})
+  UNION SELECT max(doc_id) FROM documents GROUP BY lang)"""
+
+
+@query("F6_similar", SIMILAR_TEXT.replace(BY_TITLE, f"""SELECT path AS query_id, title AS query, path AS own FROM parsed
+    WHERE path IN ({BOTH}) AND path NOT IN (SELECT path FROM vectors WHERE model = 'm1')""").replace(
+    FULL, with_("pages_", "parsed", "links", "tags", "resolved", "vectors")).replace(
+    "SELECT query_id, rank, path, title, type, category, ", "SELECT query_id AS query_path, rank, path, title, type, category, ").replace(
+    f"{SNIP} AS snippet, ", "") + f""" UNION ALL SELECT query_path, rank, n.path, title, type, category, round(s, 6) FROM ({NEAR_OF.format(paths=BOTH)}) n JOIN parsed USING (path)
+  WHERE rank <= 5""")
+def f6(spark, d):
+    last = I.documents(spark, d).groupBy("lang").agg(F.max("doc_id").alias("doc_id"))
+    newest = I.pages(spark, d).join(last.select("doc_id"), "doc_id", "left_semi").select("path")
+    paths = asked_paths(spark, d).unionByName(newest).distinct()
+    return round6(ve.similar(paths, I.vectors(spark, d), indexed_pages(spark, d), I.MODEL))
+
+
+@query("F7_graph_edges", FULL + "SELECT l.path AS source, r.target FROM links l JOIN resolved r USING (link) WHERE NOT l.embed")
+def f7(spark, d):
+    parsed = stored_parse(spark, d)
+    return lg.graph_edges(link_rows(parsed), small(parsed))
+
+
+@query("F8_graph_nodes", FULL + "SELECT path, coalesce(nullif(title, ''), path) AS title, type FROM parsed")
+def f8(spark, d):
+    return lg.graph_nodes(small(stored_parse(spark, d)))
+
+
+@query("B24_match_snippet", RANKED.replace(
+    "SELECT query_id, rank, path, title, type, category,", "SELECT query_id, path,").replace(", round(s, 6) AS score", ""))
+def b24(spark, d):
+    return se.phrase_search(indexed_pages(spark, d), sentences(spark, d)).select("query_id", "path", "snippet")
+
+
+@query("B29_l2_normalize", """SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) / sqrt(list_sum(
+  list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) AS FLOAT))), 5) AS x FROM embeddings""")
+def b29(spark, d):
+    unit = I.table(spark, d, "embeddings").select("vec_id", F.posexplode(ve.l2_normalize(F.col("embedding"))).alias("i", "x"))
+    return unit.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x"), 5).alias("x"))

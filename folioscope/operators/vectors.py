@@ -46,6 +46,11 @@ def live_vectors(embeddings: DataFrame, pages: DataFrame, model: str) -> DataFra
         pages.select("path"), "path", "left_semi")
 
 
+def _no_hits() -> pd.DataFrame:
+    return pd.DataFrame({"query_path": pd.Series(dtype=object), "path": pd.Series(dtype=object),
+                         "score": pd.Series(dtype="float64")})
+
+
 class _Best:
     """The best ``k`` per query seen so far, ties by path."""
 
@@ -82,7 +87,7 @@ class _Best:
         parts = [kept.assign(query_path=name) for name, kept in zip(self.names, self.kept)
                  if kept is not None and len(kept)]
         if not parts:
-            return pd.DataFrame({"query_path": [], "path": [], "score": []})
+            return _no_hits()
         return pd.concat(parts)[["query_path", "path", "score"]]
 
 
@@ -114,7 +119,7 @@ def _blocked(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, n_co
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = _Best(list(left["query_path"]), list(left["query_vector"]), k) if len(left) else None
         if held is None or not len(right):
-            return pd.DataFrame({"query_path": [], "path": [], "score": []})
+            return _no_hits()
         paths, vectors = right["path"].to_numpy(), list(right["vector"])
         for at in range(0, len(paths), 8192):
             held.add(paths[at:at + 8192], vectors[at:at + 8192])

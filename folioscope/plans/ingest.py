@@ -14,6 +14,7 @@ from folioscope.operators import gates
 from folioscope.operators.ledger import KEY, assign_pages, with_page_present, with_previous
 from folioscope.operators.parse import page_title
 from folioscope.operators.skew import lookup_join
+from folioscope.session import written
 
 # fixed values: report counters in display order, and the action behind each
 BUCKETS = ["digested", "failed", "refused", "skipped", "deferred", "unchanged"]
@@ -167,9 +168,10 @@ def outcomes(plan: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFram
         F.when(invalid, "validate: page missing frontmatter or title")
         .otherwise(F.concat(F.lit("digest: "), F.col("message"))).alias("message"))
     rows = planned.join(judged, KEY)
-    good = assign_pages(rows.where(F.col("error_class").isNull()), ledger)
-    bad = rows.where(F.col("error_class").isNotNull()).withColumn("wiki_page", F.lit(""))
-    return good.unionByName(bad)
+    # names are chosen on the keys alone; the page text is moved once
+    good = written(rows.where(F.col("error_class").isNull()).select(*KEY), "digested")
+    names = assign_pages(good, ledger)
+    return rows.join(names, KEY, "left").withColumn("wiki_page", F.coalesce("wiki_page", F.lit("")))
 
 
 def ledger_rows(done: DataFrame, model: str, origin: str, now: Column) -> DataFrame:
@@ -216,7 +218,7 @@ def apply_outcomes(
     plan: DataFrame, results: DataFrame, ledger: DataFrame, model: str, origin: str, now: Column
 ) -> tuple[DataFrame, DataFrame]:
     """``(ledger, page_rows)`` after the results of a run."""
-    done = outcomes(plan, results, ledger)
+    done = written(outcomes(plan, results, ledger), "outcomes")
     return merge_ledger(ledger, ledger_rows(done, model, origin, now)), new_pages(done, now)
 
 
