@@ -93,7 +93,7 @@ def f2i(spark, d):
     """The same rows through the stored trigram index."""
     pages = indexed_pages(spark, d)
     postings = written(se.build_postings(se.search_text(pages)), "postings")
-    return round6(se.phrase_search(pages, sentences(spark, d), 10, postings, se.gram_counts(postings), use_index=True))
+    return round6(se.phrase_search(pages, sentences(spark, d), 10, postings, se.gram_counts(postings)))
 
 
 @query("F2_gram_index", FULL + f""", texts AS ({TEXTS}), g AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3))) AS gram

@@ -113,9 +113,13 @@ def embed_text(path: Column, content: Column) -> Column:
 
 def snippet(content: Column, phrase: Column) -> Column:
     """The first case-folded match with a margin on both sides; '' if none."""
-    at = F.position(F.lower(phrase), F.lower(content))
+    return snippet_at(content, F.position(F.lower(phrase), F.lower(content)), F.char_length(phrase))
+
+
+def snippet_at(content: Column, at: Column, length: Column) -> Column:
+    """``length`` characters from position ``at`` with a margin; '' for 0."""
     first = F.greatest(at - SNIPPET_MARGIN, F.lit(1))
-    last = F.least(at + F.char_length(phrase) - 1 + SNIPPET_MARGIN, F.char_length(content))
+    last = F.least(at + length - 1 + SNIPPET_MARGIN, F.char_length(content))
     cut = F.concat(
         F.when(first > 1, F.lit("...")).otherwise(F.lit("")),
         F.substring(content, first, last - first + 1),
