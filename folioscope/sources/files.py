@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import paths as pt
 
@@ -81,7 +82,7 @@ def with_content(rows: DataFrame, path: str = "source_path") -> DataFrame:
 
     Call it after the gates, so that only wanted files are opened.
     """
-    schema = rows.schema.add("content", "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
     names = [f.name for f in schema.fields]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
