@@ -16,6 +16,7 @@ from folioscope.session import bounded_rows
 DEFAULT_K = 5
 QUERY_BLOCK = 4096      # queries sent to every task as one matrix
 CORPUS_BLOCK = 100_000  # vectors of one block when the queries are many
+SLICE = 2048            # vectors scored at a time inside a task
 _HITS = "query_path string, path string, score double"
 
 
@@ -61,9 +62,16 @@ class _Best:
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
             self.by_dims[int(d)] = (rows, np.stack([vectors[i] for i in rows]).astype(np.float64))
-        self.kept: list[pd.DataFrame | None] = [None] * len(names)
+        self.scores = np.full((len(names), 0), -np.inf)
+        self.paths = np.empty((len(names), 0), dtype=object)
 
     def add(self, paths: np.ndarray, vectors: list[np.ndarray]) -> None:
+        for at in range(0, len(paths), SLICE):
+            part = np.argsort(paths[at:at + SLICE], kind="stable") + at
+            self._add(paths[part], [vectors[i] for i in part])
+
+    def _add(self, paths: np.ndarray, vectors: list[np.ndarray]) -> None:
+        """Take in vectors in path order, so that a stable sort breaks ties by path."""
         dims = np.asarray([len(v) for v in vectors])
         scores = np.zeros((len(self.names), len(paths)))
         for d, (rows, matrix) in self.by_dims.items():
@@ -71,24 +79,20 @@ class _Best:
             if len(cols):
                 block = np.stack([vectors[i] for i in cols]).astype(np.float64)
                 scores[np.ix_(rows, cols)] = matrix @ block.T
-        for i, name in enumerate(self.names):
-            row = np.where(paths == name, -np.inf, scores[i])
-            if len(row) > self.k:
-                edge = np.partition(row, len(row) - self.k)[len(row) - self.k]
-                take = np.flatnonzero((row >= edge) & (row > -np.inf))
-            else:
-                take = np.flatnonzero(row > -np.inf)
-            best = pd.DataFrame({"path": paths[take], "score": row[take]})
-            if self.kept[i] is not None:
-                best = pd.concat([self.kept[i], best])
-            self.kept[i] = best.sort_values(["score", "path"], ascending=[False, True]).head(self.k)
+        scores[self.names[:, None] == paths[None, :]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+        scores = np.hstack([self.scores, np.take_along_axis(scores, best, 1)])
+        names = np.hstack([self.paths, paths[best]])
+        order = np.unique(names, return_inverse=True)[1].reshape(names.shape)
+        keep = np.lexsort((order, -scores), axis=1)[:, : self.k]
+        self.scores, self.paths = np.take_along_axis(scores, keep, 1), np.take_along_axis(names, keep, 1)
 
     def rows(self) -> pd.DataFrame:
-        parts = [kept.assign(query_path=name) for name, kept in zip(self.names, self.kept)
-                 if kept is not None and len(kept)]
-        if not parts:
+        real = self.scores > -np.inf
+        if not real.any():
             return _no_hits()
-        return pd.concat(parts)[["query_path", "path", "score"]]
+        query = np.repeat(self.names[:, None], self.scores.shape[1], axis=1)
+        return pd.DataFrame({"query_path": query[real], "path": self.paths[real], "score": self.scores[real]})
 
 
 def _one_pass(corpus: DataFrame, names: list[str], vectors: list, k: int) -> DataFrame:
@@ -121,8 +125,7 @@ def _blocked(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, n_co
         if held is None or not len(right):
             return _no_hits()
         paths, vectors = right["path"].to_numpy(), list(right["vector"])
-        for at in range(0, len(paths), 8192):
-            held.add(paths[at:at + 8192], vectors[at:at + 8192])
+        held.add(paths, vectors)
         return held.rows()
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, _HITS)

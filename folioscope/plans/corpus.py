@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +15,31 @@ from folioscope.operators.changes import apply_changes, change_class
 from folioscope.operators.parse import index_rows, link_rows, parse_pages, tag_rows
 from folioscope.operators.rows import unnest
 from folioscope.operators.skew import key_counts, lookup_join
+from folioscope.session import broadcast_if_small, written
 
 
 # --- consistency -----------------------------------------------------------
 
-def check_consistency(scan: DataFrame, pages: DataFrame, content: DataFrame, now: Column,
+def check_consistency(scan: DataFrame, pages: DataFrame, content: DataFrame | Callable, now: Column,
                       dialect: str = "wikilink") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(changes, new_pages, errors)``.
 
-    ``scan`` is the metadata-only listing ``(path, size, mtime)``; ``content``
-    gives ``(path, content)`` and is joined to changed paths alone.  A changed
-    file without content is an error and keeps its old row.
+    ``scan`` is the metadata-only listing ``(path, size, mtime)``.  ``content``
+    is a table ``(path, content)``, or a function that reads the content of the
+    rows it is given; either way only changed files are read.  A changed file
+    without content is an error and keeps its old row.
     """
-    changes = change_class(scan, pages)
+    changes = written(change_class(scan, pages), "changes")
     wanted = changes.where(F.col("change").isin("added", "updated")).join(scan, "path")
-    got = wanted.join(content.select("path", "content", F.lit(True).alias("_read")), "path", "left")
-    errors = got.where(F.col("content").isNull()).select("path", F.concat(F.lit("read: "), "path").alias("error"))
-    fresh = index_rows(
-        got.where(F.col("content").isNotNull()).select("path", "content", "size", "mtime", now.alias("indexed_at")),
-        dialect)
+    wanted = written(wanted.select("path", "size", "mtime"), "changed")
+    if callable(content):
+        got = content(wanted)
+    else:
+        got = content.select("path", "content").join(broadcast_if_small(wanted), "path")
+    got = got.where(F.col("content").isNotNull())
+    errors = wanted.join(got.select("path"), "path", "left_anti").select(
+        "path", F.concat(F.lit("read: "), "path").alias("error"))
+    fresh = index_rows(got.select("path", "content", "size", "mtime", now.alias("indexed_at")), dialect)
     ops = fresh.select("*", F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
     gone = changes.where(F.col("change") == "removed").select(
         "path", *[F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns if c != "path"],

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -97,6 +98,14 @@ def bounded_rows(df: DataFrame, bound: int) -> list | None:
     return rows if len(rows) <= bound else None
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Mark a table of short rows for broadcast once it is known to be small.
+
+    ``df`` should be stored: it is counted, up to ``rows``.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than the session has.
 

@@ -84,7 +84,7 @@ class SnapshotStore:
             schema = self.tables[table][0]
             folder = f"{self.root}/data/{table}/v={version}"
             rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn(
-                "bucket", self._bucket(table)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+                "bucket", self._bucket(table)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
             fs, path = self._fs(folder)
             made = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}"
                     for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}
