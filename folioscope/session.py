@@ -21,6 +21,7 @@ RUNTIME_CONF = {
 
 
 _SHIPPED: set[str] = set()
+_LOCAL_WORK: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -75,8 +76,10 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_WORK:
+            _LOCAL_WORK[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _LOCAL_WORK[app]
     return f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
 
 
