@@ -59,7 +59,7 @@ AFTER = PLAN_IN + f""", plan_ AS ({PLAN}), done AS ({DONE}), named AS ({NAMED}),
 
 def run(spark, d):
     results = spark.sql(RESULTS, sources=I.sources(spark, d))
-    return ingest.apply_outcomes(plan(spark, d), results, I.ledger(spark, d), I.MODEL, "scheduled", now())
+    return ingest.apply_outcomes(written(plan(spark, d), "plan"), results, I.ledger(spark, d), I.MODEL, "scheduled", now())
 
 
 @query("J2_apply_outcomes", AFTER)

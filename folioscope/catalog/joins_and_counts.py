@@ -174,7 +174,7 @@ BUCKET = """CASE action WHEN 'digest' THEN 'digested' WHEN 'already-refused' THE
 
 
 def plan(spark, d, limit=0):
-    return ingest.plan_ingest(I.sources(spark, d), I.types(spark, d), I.ledger(spark, d), I.pages(spark, d),
+    return ingest.plan_ingest(I.sources(spark, d).drop("text"), I.types(spark, d), I.ledger(spark, d), I.pages(spark, d),
                               I.MODEL, now(), limit, I.MAX_BYTES)
 
 

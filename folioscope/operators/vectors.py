@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.linkgraph import display_title
 from folioscope.operators.skew import top_per_key
 from folioscope.session import bounded_rows
 
@@ -179,6 +178,3 @@ def similar(
 def count_by_model(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
-
-def titled(pages: DataFrame) -> DataFrame:
-    return pages.select("path", display_title().alias("title"))

@@ -12,7 +12,6 @@ from folioscope.functions import header as hd
 from folioscope.functions import text as tx
 from folioscope.operators import gates
 from folioscope.operators.ledger import KEY, assign_pages, with_page_present, with_previous
-from folioscope.operators.parse import page_title
 from folioscope.operators.skew import lookup_join
 from folioscope.session import written
 
@@ -167,10 +166,10 @@ def outcomes(plan: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFram
         F.when(invalid, "permanent").otherwise(F.col("error_class")).alias("error_class"),
         F.when(invalid, "validate: page missing frontmatter or title")
         .otherwise(F.concat(F.lit("digest: "), F.col("message"))).alias("message"))
-    rows = planned.join(judged, KEY)
+    # judged once, so that later filters meet stored columns
+    rows = written(planned.join(judged, KEY), "judged")
     # names are chosen on the keys alone; the page text is moved once
-    good = written(rows.where(F.col("error_class").isNull()).select(*KEY), "digested")
-    names = assign_pages(good, ledger)
+    names = assign_pages(rows.where(F.col("error_class").isNull()).select(*KEY), ledger)
     return rows.join(names, KEY, "left").withColumn("wiki_page", F.coalesce("wiki_page", F.lit("")))
 
 
@@ -291,8 +290,3 @@ def after_sweep(ledger: DataFrame, pages: DataFrame, sweep: DataFrame) -> tuple[
         "path", F.coalesce("archived_page", "path")).select(*pages.columns)
     return new_ledger, new_pages_
 
-
-def page_titles(pages: DataFrame) -> DataFrame:
-    """``(path, title)`` read from page text."""
-    read = hd.with_header(pages.select("path", "content"))
-    return read.select("path", page_title(F.col("header"), F.col("body"), F.col("path")).alias("title"))
