@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import packing, tokenfiles
+from folioscope.llm import packing, pii, tokenfiles, toxicity
+from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +50,16 @@ def op3(spark, sf_dir):
     folder = f"{work_dir(spark)}/tokens"
     files = tokenfiles.write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder, end_id=2)
     return tokenfiles.read_token_files(spark, folder, files)
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    """Toxicity of all documents, learned from the labels outside the held-out fifth."""
+    found = toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=share_of(F.col("doc_id"), 5) != 0)
+    return found.select("doc_id", (share_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
+@query("op10_personal_data")
+def op10(spark, sf_dir):
+    """Personal data of all documents."""
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
