@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import packing, pii, tokenfiles, toxicity
+from folioscope.llm import packing, pii, simhash, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -63,3 +63,10 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Personal data of all documents."""
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op8_simhash")
+def op8(spark, sf_dir):
+    """Components of all documents by SimHash fingerprints at most 3 bits apart."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
