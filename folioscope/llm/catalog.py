@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import packing, pii, simhash, tokenfiles, toxicity
+from folioscope.llm import lm, packing, pii, simhash, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -70,3 +70,11 @@ def op8(spark, sf_dir):
     """Components of all documents by SimHash fingerprints at most 3 bits apart."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_katz")
+def op4(spark, sf_dir):
+    """All documents under a Katz backoff model of those outside the held-out seventh."""
+    scores, model = lm.katz_scores(table(spark, sf_dir, "documents"), train=share_of(F.col("doc_id"), 7) != 2, order=2)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+                         F.col("base").alias("base_score"), "score")

@@ -21,6 +21,8 @@ class Shared:
 
     def __init__(self, spark: SparkSession):
         self.spark = tune(spark)
+        # every step is stored, so shuffle files are of no use once it has been
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = work_dir(spark)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
