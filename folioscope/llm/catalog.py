@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lm, packing, pii, simhash, tokenfiles, toxicity
+from folioscope.llm import covertree, lm, packing, pii, simhash, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -78,3 +78,9 @@ def op4(spark, sf_dir):
     scores, model = lm.katz_scores(table(spark, sf_dir, "documents"), train=share_of(F.col("doc_id"), 7) != 2, order=2)
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
                          F.col("base").alias("base_score"), "score")
+
+
+@query("op7_cover_tree")
+def op7(spark, sf_dir):
+    """All embeddings with a cosine of 0.9 or more, as link counts and components."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
