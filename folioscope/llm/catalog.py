@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covertree, lm, packing, pii, simhash, tokenfiles, toxicity
+from folioscope.llm import covertree, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -84,3 +84,11 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     """All embeddings with a cosine of 0.9 or more, as link counts and components."""
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query("op6_suffix_array")
+def op6(spark, sf_dir):
+    """All documents without the bytes of strings of 200 bytes that occur elsewhere too."""
+    found = suffixdedup.repeated_passages(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
