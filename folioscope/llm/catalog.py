@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covertree, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
+from folioscope.llm import covertree, decontamination, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -92,3 +92,10 @@ def op6(spark, sf_dir):
     found = suffixdedup.repeated_passages(table(spark, sf_dir, "documents"), length=200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_decontamination")
+def op5(spark, sf_dir):
+    """Documents that hold a passage of the benchmark, with the item."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", F.col("common").alias("common_share"), F.col("answer").alias("answer_share"))
