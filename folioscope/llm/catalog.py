@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covertree, decontamination, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
+from folioscope.llm import covertree, decontamination, linededup, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -99,3 +99,13 @@ def op5(spark, sf_dir):
     """Documents that hold a passage of the benchmark, with the item."""
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "cosine", F.col("common").alias("common_share"), F.col("answer").alias("answer_share"))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    """All documents less the lines with a copy or near copy before them, as a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    found = linededup.without_duplicates(docs.withColumn("n_lines", lines))
+    kept = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return found.select("doc_id", "n_lines", kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -50,10 +50,10 @@ def share_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut where the text of a column passes ``most`` bytes."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
+        texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         at, group = 0, np.cumsum(sizes + 64) // most
         for stop in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:

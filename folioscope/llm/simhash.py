@@ -39,23 +39,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits = np.unpackbits(flat[at:min(at + SHINGLES, stop)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 counts += bits.sum(axis=0, dtype=np.int32)
             prints[i] = np.packbits(2 * counts > size, bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
+
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every document (doc_id, text): the majority bits of its shingles' XXH64.
+    """``(doc_id, text_hash, fp)`` of every document (doc_id, text): the majority bits of its shingles' XXH64.
 
     A-Z are lower-cased; words are what white space parts; a text of fewer than ``width``
     words is one shingle, one without words (also null) has the fingerprint 0.
     """
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), text_hash(docs).alias("text_hash"))
     n = F.size("words")
     shifted = [F.slice("words", i + 1, F.greatest(n - width + 1, F.lit(0))).alias(f"w{i}") for i in range(width)]
     joined = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{i}"] for i in range(width)])))
     whole = F.xxhash64(F.array_join("words", " "))
     hashes = F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, F.array(whole)).otherwise(joined)
-    return rows.select("doc_id", hashes.alias("hashes")).mapInArrow(_counted, "doc_id long, fp long")
+    return rows.select("doc_id", hashes.alias("hashes"), "text_hash").mapInArrow(_counted, "doc_id long, text_hash long, fp long")
 
 
 def _keys(fp: Column, masks: list[int]) -> Column:
@@ -68,11 +72,12 @@ BALL = [0] + [1 << i for i in range(BITS // 2)]
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every document (doc_id, text).
+    """``(doc_id, text_hash, fp, component_id, kept)`` of every document (doc_id, text).
 
     ``component_id`` is the smallest ``doc_id`` reachable by fingerprints at most
     ``distance`` (up to 3) bits apart, itself included.  Rows of equal id stay separate rows; a
-    null id is no smallest id, and is the component's id where no other is.  Texts without words
+    null id is no smallest id, and is the component's id where no other is.  ``kept`` is true for one document
+    of a component, that of the smallest id (of several the smallest text hash).  Texts without words
     share the fingerprint 0.  Other columns are ignored; an empty table gives no rows.
     """
     if not 0 <= distance <= 3:
@@ -93,5 +98,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     joined = components(shared, compacted(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))), "links")
     classes = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("label"))
     members = shared.put("members", prints.join(classes, "fp"))
-    ids = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return members.join(ids, "label").select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    out = members.join(members.groupBy("label").agg(first), "label").withColumn("component_id", F.col("first.doc_id"))
+    return out.select("doc_id", "text_hash", "fp", "component_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are kept of their component; rows equal in id and text are one document."""
+    gone = near_duplicates(docs, width, distance).where("not kept").select("doc_id", "text_hash").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (text_hash(docs) == gone["text_hash"]), "left_anti")

@@ -147,6 +147,36 @@ class _Weights(dict):
         return n
 
 
+class _Scorer:
+    """Scores texts in one worker."""
+
+    def __init__(self, bias: float, weights: dict[int, float]):
+        self.bias, self.weights, self.known = bias, weights, _Weights(weights)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: its probability, its sentences, those from 0.5 up."""
+        if len(self.known.values) > 2_500_000:
+            self.known = _Weights(self.weights)
+        tokens, ends = [], []
+        for t in texts:
+            if t:
+                tokens += _TOKEN.findall(t.lower())
+            tokens.append("\n")
+            ends.append(len(tokens))
+        which = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        if not len(which):
+            return np.empty(0), np.empty(0, np.int64), np.empty(0)
+        stops = np.flatnonzero(which < 0)
+        value = np.where(which < 0, 0.0, np.array(self.known.values or [0.0])[which])
+        begin = np.concatenate([[0], stops[:-1] + 1])
+        real = stops > begin
+        z = self.bias + np.add.reduceat(value, begin)
+        s = np.where(real, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+        owner, n = np.searchsorted(ends, stops, side="right"), len(texts)
+        none = np.bincount(owner, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n)
+        return np.abs(np.expm1(none)), np.bincount(owner, weights=real, minlength=n).astype(np.int64), np.bincount(owner, weights=s >= 0.5, minlength=n)
+
+
 def score(docs: DataFrame, model: tuple[float, dict[int, float]]) -> DataFrame:
     """``(doc_id, score, n_sentences, offending)`` of every document.
 
@@ -154,42 +184,36 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]]) -> DataFrame:
     points.  A null or empty text, or one without words, has no sentence and the score 0.
     Rows of equal or null id stay separate rows; other columns are ignored.
     """
-    bias, weights = model
-    broadcast = docs.sparkSession.sparkContext.broadcast((bias, weights))
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, held = broadcast.value
-        known = _Weights(held)
+        scorer = _Scorer(*broadcast.value)
         for batch in text_batches(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if len(known.values) > 2_500_000:
-                known = _Weights(held)
-            tokens, ends = [], []
-            for t in texts:
-                tokens += _TOKEN.findall(t.lower())
-                tokens.append("\n")
-                ends.append(len(tokens))
-            which = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-            stops = np.flatnonzero(which < 0)
-            value = np.where(which < 0, 0.0, np.array(known.values or [0.0])[which])
-            total = np.concatenate([[0.0], np.cumsum(value)])
-            begin = np.concatenate([[0], stops[:-1] + 1])
-            real = stops > begin
-            z = bias + np.add.reduceat(value, begin) if len(begin) else np.empty(0)
-            s = np.where(real, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
-            owner = np.searchsorted(ends, stops, side="right")
-            none = np.bincount(owner, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=len(texts))
-            hit = np.bincount(owner, weights=s >= 0.5, minlength=len(texts))
-            del total
+            texts = batch.column(1).to_pylist()
+            scores, sentences, hits = scorer(texts)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(-np.expm1(none)), pa.array(np.bincount(owner, weights=real, minlength=len(texts)).astype(np.int64)),
-                pa.array([_located(t, bias, known) if h else [] for t, h in zip(texts, hit)], spans)], ["doc_id", "score", "n_sentences", "offending"])
+                batch.column(0), pa.array(scores, pa.float64()), pa.array(sentences, pa.int64()),
+                pa.array([_located(t, scorer.bias, scorer.known) if h else [] for t, h in zip(texts, hits)], spans)], ["doc_id", "score", "n_sentences", "offending"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<struct<start:int,end:int,score:double>>")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(*broadcast.value)
+        for batch in text_batches(batches, column=at):
+            scores, _, _ = scorer(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _located(text: str, bias: float, known: _Weights) -> list[dict]:
     out = []
     for m in SENTENCE.finditer(text):
