@@ -20,23 +20,15 @@ MD_LINK = r"!?\[[^\]]*\]\([^)]+\)"
 OUTSIDE = r"\A(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|/|#)"
 
 _TICKS = re.compile("`+")
+_FENCE_LINE = re.compile("^[" + re.escape(WHITE_SPACE.replace("\n", "")) + "]*(?:```|~~~).*$", re.M)
 _BRACKETS = re.compile(r"\[\[[^\]\n]+\]\]")
 
 
 def code_ranges(body: str) -> list[tuple[int, int]]:
     """Sorted half-open ranges of fenced blocks and inline code."""
-    fences: list[tuple[int, int]] = []
-    opened, at = None, 0
-    for line in body.split("\n"):
-        if line.strip(WHITE_SPACE).startswith(("```", "~~~")):
-            if opened is None:
-                opened = at
-            else:
-                fences.append((opened, at + len(line)))
-                opened = None
-        at += len(line) + 1
-    if opened is not None:
-        fences.append((opened, len(body)))
+    marks = [m.span() for m in _FENCE_LINE.finditer(body)]
+    # odd marker lines open a block and even ones close it; the last may stay open
+    fences = list(zip([start for start, _ in marks[::2]], [*(end for _, end in marks[1::2]), len(body)]))
 
     inline: list[tuple[int, int]] = []
     at = body.find("`")

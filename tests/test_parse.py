@@ -1,6 +1,9 @@
 """Page parsing, links, slugs and text rules."""
 
 import random
+import re
+import unicodedata
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,34 +66,27 @@ def test_plain_headers_read_alike_in_both_ways(spark):
         assert got["fields"] == want["fields"]
 
 
-def slow_links(body):
-    """Position by position, as the rules are written."""
-    spans, at, opened = [], 0, None
-    for line in body.split("\n"):
-        if line.strip().startswith(("```", "~~~")):
-            if opened is None:
-                opened = at
-            else:
-                spans.append((opened, at + len(line)))
-                opened = None
-        at += len(line) + 1
-    if opened is not None:
-        spans.append((opened, len(body)))
-    inside = lambda i: any(a <= i < b for a, b in spans)
-    i = 0
-    while i < len(body):
-        if body[i] != "`" or inside(i):
-            i += 1
-            continue
-        n = 1
-        while i + n < len(body) and body[i + n] == "`":
-            n += 1
-        end = body.find("`" * n, i + n)
-        if end < 0:
+def code_mask(body):
+    """For each character whether it is code: fence lines by parity, then pairs of equal runs of ticks."""
+    lines = body.split("\n")
+    marked = [line.strip(tx.WHITE_SPACE)[:3] in ("```", "~~~") for line in lines]
+    seen = list(accumulate(marked))  # marker lines up to each line
+    mask = [bool(m or n % 2) for line, m, n in zip(lines, marked, seen) for _ in line + "\n"][:len(body)]
+    fenced, free = list(mask), 0
+    while ticks := [i for i in range(free, len(body)) if body[i] == "`" and not fenced[i]]:
+        rest = body[ticks[0]:]
+        run = "`" * (len(rest) - len(rest.lstrip("`")))
+        inside, closed, _ = rest[len(run):].partition(run)
+        if not closed:
             break
-        spans.append((i, end + n))
-        i = end + n
-    return [m.group() for m in ln._BRACKETS.finditer(body) if not inside(m.start())]
+        free = ticks[0] + 2 * len(run) + len(inside)
+        mask[ticks[0]:free] = [True] * (free - ticks[0])
+    return mask
+
+
+def slow_links(body):
+    mask = code_mask(body)
+    return [m.group() for m in re.finditer(r"\[\[[^\]\n]+\]\]", body) if not mask[m.start()]]
 
 
 def test_code_spans_against_brute_force():
@@ -100,27 +96,31 @@ def test_code_spans_against_brute_force():
         assert [m.removeprefix("!") for m in ln.links_outside_code(body)] == slow_links(body), repr(body)
 
 
-SLUGS = [
-    ("/src/notes-2024.pdf", "notes-2024"), ("/src/my notes file.pdf", "my-notes-file"), ("/src/README.pdf", "readme"),
-    ("/src/v1.2_final.pdf", "v1.2_final"), ("/src/a---b.pdf", "a-b"), ("/src/-name-.pdf", "name"), ("/src/판례.pdf", "판례"),
-    ("/src/판례_95도250.pdf", "판례_95도250"), ("/src/AI시대-뉴스.pdf", "ai시대-뉴스"), ("/src/한국어 파일명.pdf", "한국어-파일명"),
-    ("/src/東京タワー.pdf", "東京タワー"), ("/src/!!!.pdf", "src-abcdef01"), ("/src/.pdf", "src-abcdef01"),
-    ("/src/데이터(2024).pdf", "데이터2024"),
-]
+def plain_slug(path, digest):
+    """The rule, character by character."""
+    name = path.rsplit("/", 1)[-1]
+    stem = name.rpartition(".")[0] if "." in name else name
+    kept = [("-" if c == " " else c) for c in stem.lower() if c in " ._-" or unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd"]
+    joined = "".join(c for c, before in zip(kept, [None, *kept]) if not c == before == "-").strip("-")
+    return joined or "src-" + digest[:8]
 
 
 def test_slugs(spark):
-    df = spark.createDataFrame(SLUGS, "p string, want string")
-    for r in df.select("want", tx.slug_for(F.col("p"), F.lit("abcdef0123456789")).alias("got")).collect():
-        assert r["got"] == r["want"]
+    rng = random.Random(11)
+    names = ["/in/" + "".join(rng.choice("aZ9 -._(é漢가²!") for _ in range(rng.randint(0, 9))) + rng.choice(["", ".txt", ".MD", "."]) for _ in range(400)]
+    names += ["/x/Quarterly Report (final).xlsx", "/x/.profile", "/x/---.md"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    for r in df.select("p", tx.slug_for(F.col("p"), F.lit("0f1e2d3c4b5a6978")).alias("got")).collect():
+        assert r["got"] == plain_slug(r["p"], "0f1e2d3c4b5a6978"), r["p"]
 
 
 def test_categories(spark):
-    cases = [("article", "article"), ("legal", "legal"), ("reference", "reference"), ("Article", "article"), ("LEGAL", "legal"),
-             ("  Reference  ", "reference"), ("unknown", "article"), ("정책문서", "article"), ("", "")]
+    known = ("reference", "legal", "article")
+    cases = [(pad + form(k) + pad, k) for k in known for form in (str, str.upper, str.title) for pad in ("", " ", "\t")]
+    cases += [("", ""), (" ", "article"), ("legal article", "article"), ("arti", "article"), ("手册", "article")]
     df = spark.createDataFrame(cases, "c string, want string")
-    for r in df.select("want", tx.normalize_category(F.col("c")).alias("got")).collect():
-        assert r["got"] == r["want"]
+    for r in df.select("c", "want", tx.normalize_category(F.col("c")).alias("got")).collect():
+        assert r["got"] == r["want"], repr(r["c"])
 
 
 def test_clean_paths(spark):
