@@ -132,6 +132,19 @@ def a11(spark, d):
     return web.capture_web(I.table(spark, d, "pages"), I.TODAY)
 
 
+ODD_PAGES = """SELECT 'https://site.org/' || repeat('a', CAST(76 + page_id % 6 AS INT)) || 'é/tail' AS url,
+  CASE WHEN page_id % 2 = 1 THEN 'x' ELSE '' END || repeat('é', 20) || html AS html, page_id FROM {pages}"""
+
+
+@query("A11_capture_web_cut", f"""SELECT 'web-' || repeat('a', CAST(least(76 + page_id % 6, 80) AS INT)) || CASE WHEN page_id % 6 <= 2 THEN 'é' ELSE '' END
+    || CASE page_id % 6 WHEN 0 THEN '-t' WHEN 1 THEN '-' ELSE '' END || '.md' AS name, url,
+    '---' || chr(10) || 'source_url: ' || url || chr(10) || 'fetched_at: {I.TODAY}' || chr(10) || '---' || chr(10) || chr(10) || left(html, CAST(15 + page_id % 2 AS INT)) AS content
+  FROM ({ODD_PAGES.format(pages='pages')})""")
+def a11_cut(spark, d):
+    """Addresses and bodies whose last byte that fits is inside a character."""
+    return web.capture_web(spark.sql(ODD_PAGES, pages=I.table(spark, d, "pages")), I.TODAY, max_body=31)
+
+
 @query("A12_write_page", with_("pages_") + """SELECT path, CASE WHEN path = '_schema.md' THEN 'denied' ELSE 'written' END AS status,
   CASE WHEN path <> '_schema.md' THEN size END AS bytes FROM pages_""")
 def a12(spark, d):
@@ -146,6 +159,25 @@ def a13(spark, d):
     return kept(I.pages(spark, d), "page").unionByName(kept(I.vectors(spark, d), "vector"))
 
 
+UNREADABLE = ["sources/doc-1.md", "entities"]
+DOOMED = """SELECT path FROM {pages_} WHERE length(path) % 2 = 0 UNION ALL SELECT './gone/' || path FROM {pages_} WHERE length(path) % 3 = 0
+  UNION ALL SELECT '_schema.md' UNION ALL SELECT 'entities/x.md'"""
+
+
+@query("A13_delete_outcomes", with_("pages_") + f"""SELECT d.path, CASE WHEN d.path = '_schema.md' OR d.path = 'sources/doc-1.md' OR d.path = 'entities' OR d.path LIKE 'entities/%' THEN 'denied'
+    WHEN p.path IS NULL THEN 'not-found' ELSE 'deleted' END AS status
+  FROM (SELECT DISTINCT regexp_replace(path, '^\\./', '') AS path FROM ({DOOMED.format(pages_='pages_')})) d LEFT JOIN pages_ p USING (path)""")
+def a13o(spark, d):
+    pages = I.pages(spark, d)
+    return ch.delete_outcomes(pages, spark.sql(DOOMED, pages_=pages), exclude_read=UNREADABLE)
+
+
+@query("A12_write_excluded", with_("pages_") + """SELECT path, CASE WHEN path = '_schema.md' OR path = 'sources/doc-1.md' OR path LIKE 'entities/%' THEN 'denied' ELSE 'written' END AS status,
+  CASE WHEN NOT (path = '_schema.md' OR path = 'sources/doc-1.md' OR path LIKE 'entities/%') THEN size END AS bytes FROM pages_""")
+def a12x(spark, d):
+    return ch.write_ops(I.pages(spark, d), exclude_read=UNREADABLE)
+
+
 MOVES = """SELECT 'sources/doc-' || doc_id || '.md' AS src, CASE WHEN quality = 1 THEN 'moved/doc-' || doc_id || '.md'
   ELSE 'sources/doc-' || (doc_id + 1) || '.md' END AS dst FROM labels"""
 OUTCOME = f"""SELECT src, dst, CASE WHEN s.path IS NULL THEN 'not-found' WHEN t.path IS NOT NULL THEN 'exists' ELSE 'moved' END AS status

@@ -98,12 +98,17 @@ def j3(spark, d):
     return swept.select("source_dir", "path", "wiki_page", "archived_page", "action")
 
 
-@query("J4_digest_sources")
+@query("J4_digest_sources", with_("sources") + """SELECT source_path, CASE WHEN blank THEN 'permanent' END AS error_class, CASE WHEN blank THEN 'empty source' END AS message,
+    CASE WHEN NOT blank THEN sha256('---' || chr(10) || 'title: ' || slug || chr(10) || 'type: source' || chr(10) || 'source_path: ' || source_path || chr(10)
+      || 'category: article' || chr(10) || '---' || chr(10) || chr(10) || '# ' || slug || chr(10) || chr(10)
+      || array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract(x, '^[^.]*\\.?')), chr(10))
+      || chr(10)) END AS page_hash
+  FROM (SELECT source_path, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, 'doc-' || regexp_extract(source_path, 'Doc (\\d+)', 1) AS slug FROM sources)""")
 def j4(spark, d):
-    """Batched inference with the offline default; its text rule is Python."""
+    """The default digest of every source, over its whole text."""
     sources = I.sources(spark, d).withColumnRenamed("text", "content")
     made = ingest.digest_sources(sources)
-    return made.select("source_path", "error_class", F.octet_length("page_content").alias("bytes"))
+    return made.select("source_path", "error_class", "message", tx.content_hash(F.col("page_content")).alias("page_hash"))
 
 
 @query("J5_classify_responses", f"""SELECT conv_id, turn, CASE v WHEN 0 THEN NULL WHEN 4 THEN 'refused' WHEN 1 THEN 'transient' WHEN 2 THEN 'transient'

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import paths as pt
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The row with the greatest ``order`` of each key (an upsert).
+    """The row with the greatest ``order`` of each key (an upsert); of equal ones, one of them.
 
-    A partial aggregate, so the versions of a much-changed key are reduced
-    before they are shuffled.
+    The winning order is found on narrow columns by a partial aggregate, so the versions of a
+    much-changed key are reduced before they are shuffled; wide columns are moved once and not sorted in.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*rows.columns)
+    best = rows.groupBy(*keys).agg(F.max(order).alias("_best"))
+    same = [rows[k].eqNullSafe(best[k]) for k in keys]
+    first = rows.join(best, [*same, rows[order].eqNullSafe(best["_best"])], "left_semi")
+    one = Window.partitionBy(*keys).orderBy(F.lit(0))
+    return first.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
 
 
 def apply_changes(
@@ -38,9 +40,15 @@ def apply_changes(
     return kept.unionByName(last.where(F.col("op") == "upsert").select(*base.columns))
 
 
-def write_ops(pages: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,)) -> DataFrame:
+def _denied(path: Column, protected: Sequence[str], exclude_read: Sequence[str]) -> Column:
+    """Pages that may not be changed: protected ones and those no one may read."""
+    name = pt.page_path(path)
+    return name.isin(list(protected)) | pt.excluded(name, exclude_read)
+
+
+def write_ops(pages: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,), exclude_read: Sequence[str] = ()) -> DataFrame:
     """Outcome of writing each page: ``status, bytes`` (``path, content`` in)."""
-    denied = pt.page_path(F.col("path")).isin(list(protected))
+    denied = _denied(F.col("path"), protected, exclude_read)
     return pages.select(
         "path",
         F.when(denied, F.lit("denied")).otherwise(F.lit("written")).alias("status"),
@@ -48,29 +56,41 @@ def write_ops(pages: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,)) ->
     )
 
 
-def delete_pages(pages: DataFrame, doomed: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,)) -> DataFrame:
+def delete_pages(
+    pages: DataFrame, doomed: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,), exclude_read: Sequence[str] = ()
+) -> DataFrame:
     """Pages (or vectors) that remain when the ``doomed`` paths are deleted."""
-    allowed = doomed.where(~F.col("path").isin(list(protected))).select("path")
+    allowed = doomed.where(~_denied(F.col("path"), protected, exclude_read)).select(pt.page_path(F.col("path")).alias("path"))
     return pages.join(allowed, "path", "left_anti")
 
 
+def delete_outcomes(
+    pages: DataFrame, doomed: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,), exclude_read: Sequence[str] = ()
+) -> DataFrame:
+    """``(path, status)`` of each path asked to be deleted: denied, not-found or deleted."""
+    asked = doomed.select(pt.page_path(F.col("path")).alias("path")).distinct()
+    there = pages.select("path", F.lit(True).alias("_there"))
+    status = F.when(_denied(F.col("path"), protected, exclude_read), "denied").when(F.col("_there").isNull(), "not-found").otherwise("deleted")
+    return asked.join(there, "path", "left").select("path", status.alias("status"))
+
+
 def move_pages(
-    pages: DataFrame, moves: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,)
+    pages: DataFrame, moves: DataFrame, protected: Sequence[str] = (pt.SCHEMA_PAGE,), exclude_read: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """``(moved_pages, outcome)`` for moves ``(src, dst)``.
 
-    A move needs an existing source and a free target, neither protected.  Of
+    A move needs an existing source and a free target, neither protected nor excluded from reading.  Of
     several moves to one target the first source by name gets it; of several
-    from one source the first target by name is used.
+    from one source the first target by name is used.  Paths are compared in their stored form.
     """
-    free = list(protected)
+    moves = moves.select(pt.page_path(F.col("src")).alias("src"), pt.page_path(F.col("dst")).alias("dst"))
     outcome = (
         moves.groupBy("src").agg(F.min("dst").alias("dst"))
         .join(pages.select(F.col("path").alias("src"), F.lit(True).alias("_there")), "src", "left")
         .join(pages.select(F.col("path").alias("dst"), F.lit(True).alias("_taken")), "dst", "left")
     )
     status = (
-        F.when(F.col("src").isin(free) | F.col("dst").isin(free), "denied")
+        F.when(_denied(F.col("src"), protected, exclude_read) | _denied(F.col("dst"), protected, exclude_read), "denied")
         .when(F.col("_there").isNull(), "not-found")
         .when(F.col("_taken").isNotNull(), "exists")
         .otherwise("moved")

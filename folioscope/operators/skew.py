@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 # A key is spread once it has more rows than this; each share gets about as many.
 ROWS_PER_SHARE = 1_000_000
-# At most this many keys are spread.  A
-# key outside it holds less than 1/1024 of all rows, so it needs no spreading.
-MAX_HOT_KEYS = 1024
 
 
 def key_counts(facts: DataFrame, key: str) -> DataFrame:
@@ -29,21 +26,16 @@ def lookup_join(
     """Join ``facts`` to the few ``lookup`` rows of their key, any key size.
 
     ``counts`` (``key``, ``_rows``) tells how many fact rows a key has; pass it
-    where it is known already.  The hottest keys are found first, by a partial
-    aggregate of which at most ``MAX_HOT_KEYS`` rows are fetched.  Without hot
-    keys this is a plain join.  Otherwise each hot key is cut into shares by a
-    hash of the row, and its lookup rows are repeated once per share, so that
-    one key is joined by many tasks.
+    where it is known already.  Without hot keys this is a plain join.  Otherwise each hot key, however
+    many there are, is cut into shares by a hash of the row, and its lookup rows are repeated once per share,
+    so that one key is joined by many tasks.  The hot keys are a table, never fetched; there is at most one for
+    every ``rows_per_share`` rows.
     """
     counts = key_counts(facts, key) if counts is None else counts
-    rows = (
-        counts.where(F.col("_rows") > rows_per_share).orderBy(F.desc("_rows"), key).limit(MAX_HOT_KEYS)
-        .select(F.col(key).alias("_hot"), F.ceil(F.col("_rows") / rows_per_share).cast("int").alias("_n"))
-    )
-    found = rows.collect()
-    if not found:
+    hot = counts.where(F.col("_rows") > rows_per_share).select(
+        F.col(key).alias("_hot"), F.ceil(F.col("_rows") / rows_per_share).cast("int").alias("_n"))
+    if hot.isEmpty():
         return facts.join(lookup, key, how)
-    hot = F.broadcast(facts.sparkSession.createDataFrame(found, rows.schema))
     flat = [F.col(f"`{n}`") for n, t in facts.dtypes if n != key and not t.startswith(("map", "struct", "array", "binary"))]
     row = F.xxhash64(*flat or [F.lit(0)])
     share = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(row, F.col("_n")).cast("int"))

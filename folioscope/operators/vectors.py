@@ -52,25 +52,27 @@ def _no_hits() -> pd.DataFrame:
 
 
 class _Best:
-    """The best ``k`` per query seen so far, ties by path."""
+    """The best ``k`` per query seen so far, ties by path.
+
+    Queries and hits are numbers here; names are compared only where scores are equal.
+    """
 
     def __init__(self, names: list[str], vectors: list[np.ndarray], k: int):
-        self.names, self.k = np.asarray(names, dtype=object), k
+        self.names, self.k = names, k
+        self.number = {n: i for i, n in enumerate(names)}
         self.by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         dims = np.asarray([len(v) for v in vectors])
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
             self.by_dims[int(d)] = (rows, np.stack([vectors[i] for i in rows]).astype(np.float64))
-        self.scores = np.full((len(names), 0), -np.inf)
-        self.paths = np.empty((len(names), 0), dtype=object)
+        self.least = np.full(len(names), -np.inf)  # the k-th best score of each query
+        self.query, self.score, self.path = np.empty(0, np.int64), np.empty(0), np.empty(0, dtype=object)
 
     def add(self, paths: np.ndarray, vectors: list[np.ndarray]) -> None:
         for at in range(0, len(paths), SLICE):
-            part = np.argsort(paths[at:at + SLICE], kind="stable") + at
-            self._add(paths[part], [vectors[i] for i in part])
+            self._add(paths[at:at + SLICE], vectors[at:at + SLICE])
 
     def _add(self, paths: np.ndarray, vectors: list[np.ndarray]) -> None:
-        """Take in vectors in path order, so that a stable sort breaks ties by path."""
         dims = np.asarray([len(v) for v in vectors])
         scores = np.zeros((len(self.names), len(paths)))
         for d, (rows, matrix) in self.by_dims.items():
@@ -78,20 +80,27 @@ class _Best:
             if len(cols):
                 block = np.stack([vectors[i] for i in cols]).astype(np.float64)
                 scores[np.ix_(rows, cols)] = matrix @ block.T
-        scores[self.names[:, None] == paths[None, :]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
-        scores = np.hstack([self.scores, np.take_along_axis(scores, best, 1)])
-        names = np.hstack([self.paths, paths[best]])
-        order = np.unique(names, return_inverse=True)[1].reshape(names.shape)
-        keep = np.lexsort((order, -scores), axis=1)[:, : self.k]
-        self.scores, self.paths = np.take_along_axis(scores, keep, 1), np.take_along_axis(names, keep, 1)
+        own = [(self.number[p], j) for j, p in enumerate(paths.tolist()) if p in self.number]
+        if own:
+            scores[tuple(np.array(own).T)] = -np.inf
+        least = self.least
+        if len(paths) > self.k:
+            least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        q, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        query, score = np.concatenate([self.query, q]), np.concatenate([self.score, scores[q, j]])
+        path = np.concatenate([self.path, paths[j]])
+        order = np.lexsort((np.unique(path, return_inverse=True)[1], -score, query))
+        query = query[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[nth < self.k]
+        self.query, self.score, self.path = query[nth < self.k], score[kept], path[kept]
+        full = order[nth == self.k - 1]
+        self.least[self.query[np.searchsorted(self.query, query[nth == self.k - 1])]] = score[full]
 
     def rows(self) -> pd.DataFrame:
-        real = self.scores > -np.inf
-        if not real.any():
+        if not len(self.query):
             return _no_hits()
-        query = np.repeat(self.names[:, None], self.scores.shape[1], axis=1)
-        return pd.DataFrame({"query_path": query[real], "path": self.paths[real], "score": self.scores[real]})
+        return pd.DataFrame({"query_path": np.asarray(self.names, dtype=object)[self.query], "path": self.path, "score": self.score})
 
 
 def _one_pass(corpus: DataFrame, names: list[str], vectors: list, k: int) -> DataFrame:
@@ -108,10 +117,11 @@ def _one_pass(corpus: DataFrame, names: list[str], vectors: list, k: int) -> Dat
     return corpus.select("path", "vector").mapInPandas(best, _HITS)
 
 
-def _blocked(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, n_corpus: int) -> DataFrame:
-    """Exact block join: every query block meets every corpus block once."""
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    c_blocks = max(1, -(-n_corpus // CORPUS_BLOCK))
+def _blocked(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, n_corpus: int, query_block: int) -> DataFrame:
+    """Exact block join: every query block meets every corpus block once, in as many groups as there are cores at least."""
+    q_blocks = max(1, -(-n_queries // query_block))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    c_blocks = max(1, -(-n_corpus // CORPUS_BLOCK), -(-cores // q_blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("query_path", "query_vector",
                        F.pmod(F.xxhash64("query_path"), F.lit(q_blocks)).cast("int").alias("qb"),
@@ -142,7 +152,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_blo
     if few is not None:
         hits = _one_pass(corpus, [r[0] for r in few], [r[1] for r in few], k)
     else:
-        hits = _blocked(corpus, queries, k, queries.count(), corpus.count())
+        hits = _blocked(corpus, queries, k, queries.count(), corpus.count(), query_block)
     return top_per_key(hits, ["query_path"], [F.desc("score"), F.col("path")], k)
 
 
@@ -170,7 +180,7 @@ def similar(
     near = similar_by_vector(paths, embeddings, pages, model, k)
     live = live_vectors(embeddings, pages, model).select("path")
     # a lone vector has no neighbour, so its page falls back to its title too
-    matched = live.where(live.agg(F.count(F.lit(1))).scalar() > 1)
+    matched = live.where(live.limit(2).agg(F.count(F.lit(1))).scalar() > 1)
     rest = paths.select("path").join(matched, "path", "left_anti")
     return near.unionByName(similar_by_text(pages, rest, k).select(*columns))
 

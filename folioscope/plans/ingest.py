@@ -50,10 +50,9 @@ def apply_limit(rows: DataFrame, limit: int) -> DataFrame:
     """
     if limit <= 0:
         return rows
-    first = rows.where(F.col("action") == "digest").orderBy("source_path").limit(limit).agg(
-        F.count(F.lit(1)).alias("n"), F.max("source_path").alias("cut"))
-    n, cut = first.select("n").scalar(), first.select("cut").scalar()
-    beyond = (F.col("gate") == "pass") & (n >= limit) & (F.col("source_path") > cut)
+    first = rows.where(F.col("action") == "digest").select("source_path").orderBy("source_path").limit(limit).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.max("source_path").alias("cut")).alias("first")).scalar()
+    beyond = (F.col("gate") == "pass") & (first["n"] >= limit) & (F.col("source_path") > first["cut"])
     return rows.withColumn("action", F.when(beyond, "not-examined").otherwise(F.col("action"))).withColumn(
         "error", F.when(beyond, "").otherwise(F.col("error")))
 
@@ -110,33 +109,36 @@ def run_report(actions: DataFrame) -> DataFrame:
     return summary.unionByName(listed.select(F.lit(1).alias("section"), F.col("path").alias("sort_key"), line.alias("line")))
 
 
-def summarise(text: str, path: str, title: str, limit: int = 280) -> str:
-    """The default page of a source: its title and opening sentences."""
-    flat = " ".join(text.split())
-    end = flat.rfind(".", 0, limit)
-    lead = flat[: end + 1] if end > 0 else flat[:limit]
-    return f"---\ntitle: {title}\ntype: source\nsource_path: {path}\ncategory: article\n---\n\n# {title}\n\n{lead}\n"
+def as_text(content: Column, kind: str) -> Column:
+    """File content as text; bytes that are none become replacement marks."""
+    return F.make_valid_utf8(content.cast("string")) if kind == "binary" else content
 
 
-def extractive(batch: pd.DataFrame) -> pd.DataFrame:
-    """Default digest function: deterministic, offline; empty files fail."""
-    out = []
-    for path, content, slug in zip(batch["source_path"], batch["content"], batch["slug"]):
-        text = content.decode("utf-8", "replace") if isinstance(content, (bytes, bytearray)) else content
-        if not text.strip():
-            out.append((None, "permanent", "empty source"))
-        else:
-            out.append((summarise(text, path, slug), None, None))
-    return pd.DataFrame(out, columns=["page_content", "error_class", "message"])
+def extract(rows: DataFrame) -> DataFrame:
+    """The default digest, offline: a page with the opening sentence of every line of the whole text.
+
+    Files without text fail for good.
+    """
+    text = as_text(F.col("content"), dict(rows.dtypes)["content"])
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    openings = F.array_join(F.transform(lines, lambda x: F.regexp_extract(x, r"\A[^.]*\.?", 0)), "\n")
+    page = F.concat(
+        F.lit("---\ntitle: "), "slug", F.lit("\ntype: source\nsource_path: "), "source_path",
+        F.lit("\ncategory: article\n---\n\n# "), "slug", F.lit("\n\n"), openings, F.lit("\n"))
+    blank = F.coalesce(tx.trim_space(text), F.lit("")) == ""
+    return rows.select(
+        *KEY, F.when(~blank, page).alias("page_content"), F.when(blank, "permanent").alias("error_class"),
+        F.when(blank, "empty source").alias("message"))
 
 
 def digest_sources(
-    rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] = extractive, batch: int = 32
+    rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None, batch: int = 32, schema_text: str = ""
 ) -> DataFrame:
     """Batched inference over planned rows ``(source_path, content_hash, content)``.
 
     ``fn`` takes up to ``batch`` rows with ``slug`` and ``prompt`` and returns
-    ``page_content, error_class, message``.  Store the result before using it.
+    ``page_content, error_class, message``; without it the pages are extracted by
+    column expressions.  ``schema_text`` opens each prompt.  Store the result before using it.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -151,8 +153,8 @@ def digest_sources(
 
     slug = tx.slug_for(F.col("source_path"), F.col("content_hash"))
     ready = rows.select("source_path", "content_hash", "content", slug.alias("slug"), tx.digest_prompt(
-        F.lit(""), F.col("source_path"), slug).alias("prompt"))
-    return ready.mapInPandas(run, RESULT)
+        F.lit(schema_text), F.col("source_path"), slug).alias("prompt"))
+    return extract(ready) if fn is None else ready.mapInPandas(run, RESULT)
 
 
 def outcomes(plan: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFrame:

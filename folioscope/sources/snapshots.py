@@ -8,6 +8,7 @@ together or not at all, and a lost job leaves the old state in place.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ class SnapshotStore:
     def _publish(self, manifest: dict) -> None:
         """Rename into place: fails when another writer published this version."""
         target = f"{self.root}/commits/{manifest['version']}.json"
-        fs, draft = self._fs(f"{self.root}/commits/.{manifest['version']}.draft")
+        fs, draft = self._fs(f"{self.root}/commits/.{manifest['version']}-{uuid.uuid4().hex}.draft")
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
@@ -71,20 +72,25 @@ class SnapshotStore:
         """Buckets the changed keys fall into (at most ``buckets`` numbers)."""
         return sorted(r[0] for r in changes.select(self._bucket(table).alias("b")).distinct().collect())
 
-    def commit(self, changed: dict[str, tuple[DataFrame, list[int] | None]], info: dict | None = None) -> int:
+    def commit(self, changed: dict[str, tuple[DataFrame, list[int] | None]], info: dict | None = None, based_on: dict | None = None) -> int:
         """Publish new contents of the named tables.
 
         Each value is ``(rows, buckets)``: all rows of the given buckets, or of
-        the whole table for ``None``.  Other buckets keep their files.
+        the whole table for ``None``.  Other buckets keep their files.  ``based_on`` is the manifest the
+        rows were derived from: when another writer has published since, nothing is
+        changed and the commit fails.
         """
         old = self.manifest()
+        if based_on is not None and based_on["version"] != old["version"]:
+            raise RuntimeError(f"version {based_on['version']} was read, but {old['version']} is published")
+        old = old if based_on is None else based_on
         version = old["version"] + 1
         files = {t: dict(old["files"].get(t, {})) for t in self.tables}
         for table, (rows, buckets) in changed.items():
             schema = self.tables[table][0]
-            folder = f"{self.root}/data/{table}/v={version}"
+            folder = f"{self.root}/data/{table}/{version}-{uuid.uuid4().hex}"  # of this writer alone
             rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn(
-                "bucket", self._bucket(table)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+                "bucket", self._bucket(table)).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(folder)
             fs, path = self._fs(folder)
             made = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}"
                     for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}

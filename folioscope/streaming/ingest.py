@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope import schemas
 from folioscope.functions import text as tx
+from folioscope.operators import gates
 from folioscope.operators.changes import apply_changes, latest_per_key
 from folioscope.plans import ingest
 from folioscope.session import written
@@ -26,16 +27,22 @@ def open_store(spark: SparkSession, root: str, buckets: int = 16) -> SnapshotSto
     return SnapshotStore(spark, root, TABLES, buckets)
 
 
+# what a later run may decide otherwise: it waits for time, for its turn, for another try or another model
+OPEN = ("deferred", "not-examined", "digest", "already-refused", "exhausted")
+
+
 def ingest_batch(
     batch: DataFrame, store: SnapshotStore, types: DataFrame, model: str, now: dt.datetime,
     batch_id: int | None = None, origin: str = "scheduled", limit: int = 0,
-    fn: Callable = ingest.extractive,
+    fn: Callable | None = None, schema_text: str = "",
 ) -> None:
     """One run: plan, digest, record, and publish all three tables together.
 
-    Files still settling wait in ``pending`` and are looked at again next time.
-    A batch at or below the last published one is skipped: a replay after a
-    lost driver must not spend a second attempt on a failing file.
+    Files whose outcome may still change wait in ``pending`` and are planned again by every run: those still
+    settling or not reached, those that failed or were refused, and those out of attempts (another model may
+    take them).  Names, sizes and times decide first; only what passes is hashed, and
+    only what may be needed again is stored.  A batch at or below the last published one is skipped: a replay
+    after a lost driver must not spend a second attempt on a failing file.
     """
     manifest = store.manifest()
     if batch_id is not None and batch_id <= manifest["info"].get("batch_id", -1):
@@ -45,19 +52,22 @@ def ingest_batch(
     columns = [f.name for f in schemas.SOURCES.fields]
     seen = store.read("pending", manifest=manifest).unionByName(batch.select(*columns))
     # several observations of one file: the newest stands
-    sources = latest_per_key(seen, ["source_path"], "mtime").withColumn(
-        "content_hash", tx.content_hash(F.col("content")))
-    sources = written(sources, "sources")
+    gated = gates.gate(latest_per_key(seen, ["source_path"], "mtime"), types, at)
+    passed = F.col("gate") == "pass"
+    sources = written(gated.select(
+        *[c for c in columns if c != "content"], F.when(F.col("gate") != "skipped", F.col("content")).alias("content"),
+        F.when(passed, tx.content_hash(F.col("content"))).alias("content_hash")), "sources")
     plan = written(
         ingest.plan_ingest(sources.drop("content"), types, ledger, pages, model, at, limit), "plan")
     todo = plan.where(F.col("action") == "digest").select("source_path", "content_hash").join(
         sources, ["source_path", "content_hash"])
-    results = written(ingest.digest_sources(todo, fn), "results")
+    results = written(ingest.digest_sources(todo, fn, schema_text=schema_text), "results")
     done = written(ingest.outcomes(plan, results, ledger), "outcomes")
 
     new_rows = ingest.ledger_rows(done, model, origin, at)
     new_pages = ingest.new_pages(done, at)
-    waiting = plan.where(F.col("action").isin("deferred", "not-examined")).select("source_path").join(
+    won = done.where(F.col("error_class").isNull()).select("source_path")
+    waiting = plan.where(F.col("action").isin(*OPEN)).select("source_path").join(won, "source_path", "left_anti").join(
         sources, "source_path").select(*columns)
 
     lb, pb = store.touched("ledger", new_rows), store.touched("pages", new_pages.select("path"))
@@ -69,14 +79,15 @@ def ingest_batch(
             "pending": (waiting, None),
         },
         info={"now": now.isoformat()} | ({} if batch_id is None else {"batch_id": batch_id}),
+        based_on=manifest,
     )
 
 
 def run_ingest(
     spark: SparkSession, landing: str, store: SnapshotStore, types: DataFrame, model: str, checkpoint: str,
-    now: Callable[[], dt.datetime], fn: Callable = ingest.extractive, limit: int = 0, files_per_batch: int | None = None,
+    now: Callable[[], dt.datetime], fn: Callable | None = None, limit: int = 0, files_per_batch: int | None = None,
 ) -> None:
-    """Take in everything that has landed since the last call, then stop."""
+    """Take in everything that has landed since the last call, and what is pending, then stop."""
     reader = spark.readStream.schema(schemas.SOURCES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -87,4 +98,7 @@ def run_ingest(
         .trigger(availableNow=True)
         .start()
     )
+    before = store.manifest()["version"]
     query.awaitTermination()
+    if store.manifest()["version"] == before:  # nothing landed, but time has passed or a failure may be tried again
+        ingest_batch(spark.createDataFrame([], schemas.SOURCES), store, types, model, now(), None, "scheduled", limit, fn)

@@ -10,17 +10,22 @@ from folioscope.operators.changes import latest_per_key
 ROWS = "kind string, window_start timestamp, n long, batch_id long"
 
 
-def windowed_counts(stream: DataFrame, time: str, kind: str, window: str = "7 days", late: str = "1 day") -> DataFrame:
-    """Rows per kind and window; rows later than ``late`` are left out."""
+def windowed_counts(stream: DataFrame, time: str, kind: str, window: str = "7 days", late: str | None = None) -> DataFrame:
+    """Rows per kind and window.
+
+    However late a row is, it counts: the state holds a number for each kind and window.  To
+    bound the state by time as well, ``late`` says how far behind the newest row may be; older rows are left out.
+    """
+    timed = stream.withWatermark(time, late) if late else stream
     return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, window).alias("w"), F.col(kind).alias("kind"))
+        timed.groupBy(F.window(time, window).alias("w"), F.col(kind).alias("kind"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("kind", F.col("w.start").alias("window_start"), "n"))
 
 
 def run_rollup(
     spark: SparkSession, stream: DataFrame, time: str, kind: str, out: str, checkpoint: str, window: str = "7 days",
+    late: str | None = None,
 ) -> DataFrame:
     """Drain ``stream`` into ``out`` and return the current count of each window.
 
@@ -31,7 +36,7 @@ def run_rollup(
         df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        windowed_counts(stream, time, kind, window).writeStream.outputMode("update")
+        windowed_counts(stream, time, kind, window, late).writeStream.outputMode("update")
         .foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     rows = spark.read.schema(ROWS).parquet(f"{out}/batch=*")
