@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.catalog import inputs as I
@@ -279,6 +280,40 @@ def k2(spark, d):
     return store.read("ledger").select("source_path", F.when(first, "first").otherwise("second").alias("run"))
 
 
+def failing(where: str, kind: str):
+    """A digest function that fails with ``kind`` for the files of one folder."""
+    def digest(batch):
+        bad = batch["source_path"].str.startswith(where)
+        page = "---\ntitle: " + batch["slug"] + "\ntype: source\n---\nx\n"
+        return pd.DataFrame({"page_content": page.mask(bad, None), "error_class": bad.map({True: kind, False: None}), "message": bad.map({True: "no", False: None})})
+    return digest
+
+
+def runs(spark, d, *steps):
+    """The ledger after runs with ``(model, digest function)`` each; files land with the first."""
+    store = si.open_store(spark, f"{work_dir(spark)}/store", 4)
+    rows, later = landed(spark, d), FIRST + dt.timedelta(hours=1)
+    for i, (model, fn) in enumerate(steps):
+        si.ingest_batch(rows if i == 0 else rows.limit(0), store, I.types(spark, d), model, later, i, fn=fn)
+    return store.read("ledger").select("source_path", "status", "attempts", "llm_model")
+
+
+LANDED = f"SELECT source_path, source_path LIKE '/in/src1/%' AS bad FROM ({PLAN}) WHERE action <> 'skipped' OR error = 'exceeds max file size'"
+
+
+@query("K1_retry_failed", PLAN_IN + f"""SELECT source_path, CASE WHEN bad THEN 'failed' ELSE 'success' END AS status, CAST(CASE WHEN bad THEN 3 ELSE 0 END AS INT) AS attempts, 'm1' AS llm_model FROM ({LANDED})""")
+def k1_retry(spark, d):
+    """Failed files are tried again by each run, until they are out of attempts."""
+    return runs(spark, d, *[(I.MODEL, failing("/in/src1/", "permanent"))] * 4)
+
+
+@query("K1_refused_new_model", PLAN_IN + f"""SELECT source_path, 'success' AS status, CAST(0 AS INT) AS attempts, CASE WHEN bad THEN 'm2' ELSE 'm1' END AS llm_model FROM ({LANDED})""")
+def k1_refused(spark, d):
+    """Refused files wait for another model."""
+    fn = failing("/in/src1/", "refused")
+    return runs(spark, d, (I.MODEL, fn), (I.MODEL, fn), ("m2", None))
+
+
 OPS = """SELECT 'sources/doc-' || doc_id || '.md' AS path, CAST(quality AS BIGINT) AS size, CASE WHEN toxic = 1 THEN 'delete' ELSE 'upsert' END AS op, doc_id AS seq FROM {labels}
   UNION ALL SELECT 'sources/doc-' || (doc_id + 1) || '.md', CAST(-1 AS BIGINT), CASE WHEN quality = 0 THEN 'delete' ELSE 'upsert' END, doc_id + 1000000 FROM {labels}
   UNION ALL SELECT '_schema.md', CAST(-1 AS BIGINT), 'delete', doc_id FROM {labels}"""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.skew import key_counts, lookup_join
-from folioscope.session import bounded_rows
+from folioscope.session import written
 
-# A list up to this length is one row.  A longer one becomes ordered parts.
+# Lines of a list in one row.
 LINES_PER_PART = 20_000
 
 
@@ -18,39 +17,23 @@ def member_line(path, title):
     return F.concat(F.lit("- [["), link, F.lit("|"), title, F.lit("]]\n"))
 
 
-def assemble(heads: DataFrame, lines: DataFrame, lines_per_part: int = LINES_PER_PART,
-             counts: DataFrame | None = None) -> DataFrame:
+def assemble(heads: DataFrame, lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
     """``(path, part, content)``: each head followed by its lines in order.
 
-    ``heads`` has ``path, head``; ``lines`` has ``path, sort_key, line``.  A page
-    of at most ``lines_per_part`` lines is one row, ``part`` 0.  A longer page is
-    sorted across tasks and cut where the tasks meet, so no task or cell holds a
-    whole list; its text is its rows in order of ``part``.
+    ``heads`` has ``path, head``; ``lines`` has ``path, sort_key, line``.  A page is its
+    rows in order of ``part``: lines ``part * lines_per_part`` and on, the head before those of
+    part 0.  A page without lines has no row.  Lines are numbered by one distributed sort: each task numbers
+    what it holds of a page, and starts where the tasks before it ended.  So parts depend on the
+    order alone, and no task or cell holds a whole list.
     """
-    counts = key_counts(lines, "path") if counts is None else counts
-    long = F.col("_rows") > lines_per_part
-    sized = lookup_join(lines, counts, "path", counts=counts)
-
-    def text(rows: DataFrame, part) -> DataFrame:
-        entries = F.array_sort(F.collect_list(F.struct("sort_key", "line")))
-        return rows.groupBy("path", part.alias("part")).agg(
-            F.array_join(F.transform(entries, lambda e: e["line"]), "").alias("lines"))
-
-    short = (
-        text(sized.where(~long), F.lit(0).cast("bigint"))
-        .join(heads, "path")
-        .select("path", "part", F.concat("head", "lines").alias("content"))
-    )
-    if bounded_rows(counts.where(long).select("path"), 0) is not None:
-        return short
-    # ids grow along the sorted order: task number in the high bits, row below
-    ranked = sized.where(long).orderBy("path", "sort_key").withColumn("_id", F.monotonically_increasing_id())
-    step = F.lit(lines_per_part)
-    within = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
-    part = F.shiftleft(F.shiftright("_id", 33), 33) + F.floor(within / step) + 1
-    body = text(ranked, part).select("path", "part", F.col("lines").alias("content"))
-    head = (
-        counts.where(long).join(heads, "path")
-        .select("path", F.lit(0).cast("bigint").alias("part"), F.col("head").alias("content"))
-    )
-    return short.unionByName(head).unionByName(body)
+    ranged = lines.select("path", "sort_key", "line").repartitionByRange("path", "sort_key").sortWithinPartitions("path", "sort_key", "line")
+    stored = written(ranged.withColumns({"_task": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "lines")
+    held = stored.groupBy("path", "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of a page
+    starts = held.select("path", "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    part = F.floor((F.col("_id") + F.col("_shift")) / lines_per_part)
+    numbered = stored.join(starts, ["path", "_task"]).select("path", part.alias("part"), "_id", "line")
+    entries = F.array_sort(F.collect_list(F.struct("_id", "line")))
+    text = numbered.groupBy("path", "part").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "").alias("lines"))
+    first = heads.select("path", "head", F.lit(0).cast("bigint").alias("part"))
+    return text.join(first, ["path", "part"], "left").select("path", "part", F.concat(F.coalesce("head", F.lit("")), "lines").alias("content"))

@@ -152,8 +152,7 @@ def synthesize(parsed: DataFrame, today: str, lines_per_part: int = LINES_PER_PA
     lines = chosen.select(
         F.col("slug").alias("path"), F.col("path").alias("sort_key"),
         member_line(F.col("path"), F.col("title")).alias("line"))
-    counts = concepts.select(F.col("slug").alias("path"), F.col("n_pages").alias("_rows"))
-    return assemble(heads, lines, lines_per_part, counts)
+    return assemble(heads, lines, lines_per_part)
 
 
 def page_list(members: DataFrame, target: str, head: Column, lines_per_part: int = LINES_PER_PART) -> DataFrame:
@@ -163,7 +162,7 @@ def page_list(members: DataFrame, target: str, head: Column, lines_per_part: int
         member_line(F.col("path"), lg.display_title()).alias("line"))
     counts = members.agg(F.count(F.lit(1)).alias("_rows")).select(F.lit(target).alias("path"), "_rows")
     heads = counts.select("path", head.alias("head"))
-    return assemble(heads, lines, lines_per_part, counts)
+    return assemble(heads, lines, lines_per_part)
 
 
 def digest_recent(pages: DataFrame, now: Column, today: str, days: int = 7,

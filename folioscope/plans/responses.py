@@ -19,10 +19,6 @@ def last_result(stdout: Column) -> Column:
     return F.try_element_at(F.filter(events, lambda e: e["type"] == "result"), F.lit(-1))
 
 
-def refusal(text: Column) -> Column:
-    return F.coalesce(tx.normalize_diagnostic(text).rlike(REFUSAL), F.lit(False))
-
-
 def classify_responses(log: DataFrame, max_stdout: int = MAX_STDOUT) -> DataFrame:
     """Add ``error_class`` (null for success), ``message`` and ``page_content``.
 
@@ -44,31 +40,37 @@ def classify_responses(log: DataFrame, max_stdout: int = MAX_STDOUT) -> DataFram
     body = F.coalesce(final["result"], F.lit(""))
     eligible = final.isNotNull() & ((reason == "api_error") | (is_error & (subtype == "error_during_execution")))
     diagnostic = final.isNotNull() & is_error & ((reason == "api_error") | (subtype == "error_during_execution"))
-    refused = (eligible & refusal(body)) | refusal(F.col("stderr")) | refusal(plain)
+    # normalised once each; behind a generator, so that every later use reads the column
+    texts = F.struct(*[F.coalesce(tx.normalize_diagnostic(c), F.lit("")).alias(n) for n, c in (("body", body), ("stderr", F.col("stderr")), ("plain", plain))])
+    rows = rows.withColumn("_told", F.explode(F.array(texts)))
+    says = {n: F.col("_told")[n] for n in ("body", "stderr", "plain")}
+    refused = (eligible & says["body"].rlike(REFUSAL)) | says["stderr"].rlike(REFUSAL) | says["plain"].rlike(REFUSAL)
     event_error = final.isNotNull() & (is_error | (subtype == "error_during_execution") | (reason == "api_error"))
     page = tx.strip_fence(body)
 
-    def told(default: Column) -> Column:
-        text = lambda c: F.nullif(tx.normalize_diagnostic(c), F.lit(""))
-        return F.coalesce(
-            F.when(diagnostic & tx.diagnostic_shaped(body), tx.normalize_diagnostic(body)),
-            text(F.col("stderr")), text(plain), default)
+    told = F.coalesce(
+        F.when(diagnostic & tx.diagnostic_shaped(body), says["body"]),
+        F.nullif(says["stderr"], F.lit("")), F.nullif(says["plain"], F.lit("")))
 
     steps = [
         (F.col("cancelled"), "transient", F.lit("context cancelled")),
         (refused, "refused", F.lit("policy refusal")),
         (F.octet_length(stdout) > max_stdout, "permanent", F.lit(f"stdout exceeded {max_stdout} bytes")),
         (F.col("timed_out"), "transient", F.lit("timeout")),
-        (F.col("exit_code") != 0, "transient", told(F.concat(F.lit("exit status "), F.col("exit_code")))),
-        (event_error, "transient", told(F.lit("execution error"))),
+        (F.col("exit_code") != 0, "transient", F.coalesce(told, F.concat(F.lit("exit status "), F.col("exit_code")))),
+        (event_error, "transient", F.coalesce(told, F.lit("execution error"))),
         (~F.col("_read"), "permanent", F.lit("parse output")),
         (final.isNull(), "permanent", F.lit("no result event")),
         (subtype != "success", "permanent", F.concat(F.lit("unexpected result subtype "), subtype)),
         (page == "", "permanent", F.lit("empty result")),
     ]
-    kind, message = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for test, name, text in reversed(steps):
-        kind = F.when(test, F.lit(name)).otherwise(kind)
-        message = F.when(test, text).otherwise(message)
-    return rows.withColumn("error_class", kind).withColumn("message", message).withColumn(
-        "page_content", F.when(F.col("error_class").isNull(), page)).drop("_final", "_read")
+    step = F.lit(len(steps))
+    for i, (test, _, _) in reversed(list(enumerate(steps))):
+        step = F.when(test, i).otherwise(step)
+    rows = rows.withColumn("_step", F.explode(F.array(step)))
+    kinds = F.array(*[F.lit(name) for _, name, _ in steps])
+    message = F.lit(None).cast("string")
+    for i, (_, _, text) in enumerate(steps):
+        message = F.when(F.col("_step") == i, text).otherwise(message)
+    return rows.withColumn("error_class", F.get(kinds, F.col("_step"))).withColumn("message", message).withColumn(
+        "page_content", F.when(F.col("error_class").isNull(), page)).drop("_final", "_read", "_told", "_step")
