@@ -18,7 +18,7 @@ from folioscope.operators.skew import lookup_join
 from folioscope.plans import corpus, ingest, responses
 from folioscope.plans.embed import embed_pages
 from folioscope.sources import files
-from folioscope.sources.web import url_slug
+from folioscope.sources.web import _head_bytes, url_slug
 from folioscope.streaming import ingest as si
 
 NOW = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
@@ -133,12 +133,14 @@ def test_long_lists_keep_their_order(spark):
     lines = spark.range(57).select(F.lit("big.md").alias("path"), F.format_string("%03d", "id").alias("sort_key"),
                                    F.format_string("- %03d\n", "id").alias("line"))
     lines = lines.unionByName(spark.createDataFrame([("small.md", "b", "B"), ("small.md", "a", "A")], "path string, sort_key string, line string"))
-    heads = spark.createDataFrame([("big.md", "H\n"), ("small.md", "h:")], "path string, head string")
-    rows = assemble(heads, lines.repartition(4), lines_per_part=5).orderBy("path", "part").collect()
-    big = [r for r in rows if r["path"] == "big.md"]
-    assert "".join(r["content"] for r in big) == "H\n" + "".join(f"- {i:03}\n" for i in range(57))
-    assert len(big) >= 12 and max(r["content"].count("\n") for r in big) <= 5
-    assert [r["content"] for r in rows if r["path"] == "small.md"] == ["h:AB"]
+    heads = spark.createDataFrame([("big.md", "H\n"), ("small.md", "h:"), ("none.md", "x")], "path string, head string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = [("big.md", n, ("H\n" if n == 0 else "") + "".join(f"- {i:03}\n" for i in range(5 * n, min(5 * n + 5, 57)))) for n in range(12)] + [("small.md", 0, "h:AB")]
+    for tasks in ("1", "4", "64"):  # parts depend on the order alone
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        rows = assemble(heads, lines.repartition(4), lines_per_part=5).orderBy("path", "part").collect()
+        assert [tuple(r) for r in rows] == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_lint_wikis(spark):
@@ -257,9 +259,32 @@ def test_replayed_batch_spends_no_attempt(spark, tmp_path):
         si.ingest_batch(rows, store, types, "m", NOW, batch_id=0)
     led = {r["source_path"]: (r["status"], r["attempts"]) for r in store.read("ledger").collect()}
     assert led == {"/d/good.md": ("success", 0), "/d/blank.md": ("failed", 1)}
-    assert [r["source_path"] for r in store.read("pending").collect()] == ["/d/fresh.md"]
+    # what failed is pending too, and is tried again by every run
+    assert sorted(r["source_path"] for r in store.read("pending").collect()) == ["/d/blank.md", "/d/fresh.md"]
     edited = rows.where("source_path = '/d/good.md'").withColumn("content", F.encode(F.lit("Changed."), "UTF-8"))
     si.ingest_batch(edited, store, types, "m", NOW + dt.timedelta(hours=1), batch_id=1)
     rows = store.read("ledger").where("source_path = '/d/good.md'").collect()
     assert sorted(r["status"] for r in rows) == ["success", "superseded"]
-    assert store.read("pending").count() == 0 and store.read("pages").where("path = 'sources/fresh.md'").count() == 1
+    assert store.read("pages").where("path = 'sources/fresh.md'").count() == 1
+    assert [r["source_path"] for r in store.read("pending").collect()] == ["/d/blank.md"]
+    assert store.read("ledger").where("source_path = '/d/blank.md'").first()["attempts"] == 2
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    store = si.open_store(spark, str(tmp_path / "store"), 2)
+    rows = spark.createDataFrame([("/d", "/d/a.md", bytearray(b"x"), 1, NOW)], schemas.SOURCES)
+    read = store.manifest()
+    store.commit({"pending": (rows, None)}, based_on=read)
+    with pytest.raises(RuntimeError, match="version 0 was read"):
+        store.commit({"pending": (rows.limit(0), None)}, based_on=read)
+    assert store.read("pending").count() == 1
+
+
+def test_cuts_fall_between_characters(spark):
+    texts = ["a" * n + c + "z" * 9 for n in range(5) for c in ("é", "漢", "😀", "e\u0301", "\ufffd")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", _head_bytes(F.col("t"), 5).alias("cut")).collect():
+        want = r["t"]
+        while len(want.encode()) > 5:
+            want = want[:-1]
+        assert r["cut"] == want
