@@ -179,7 +179,7 @@ def with_header(df: DataFrame, text: str = "content") -> DataFrame:
     """Add ``header`` (``HEADER``; its fields are null where there is no block) and ``body``.
 
     ``body`` is the text after the block, or the whole text when the block
-    cannot be read.  A leading byte-order mark belongs to neither.
+    cannot be read.  The input is read twice, once for the rows with plain headers; store it where that is dear.  A leading byte-order mark belongs to neither.
     """
     # each step is a column of its own, so that no expression is repeated
     found = (
@@ -198,20 +198,20 @@ def with_header(df: DataFrame, text: str = "content") -> DataFrame:
             plain & (F.size("_keys") == F.size(F.array_distinct("_keys"))), 1).otherwise(2))
         .withColumn("_lines", F.when(F.col("_kind") == 1, F.regexp_extract_all(
             "_block", F.lit(r"(?md)^([^\n]+)$"), 1)))
-        .withColumn("_other", _read_blocks(
-            F.when(F.col("_kind") == 2, F.col("_fence")), F.when(F.col("_kind") == 2, F.col("_block"))))
     )
     after = F.substring("_text", F.char_length("_whole") + 1, F.lit(2**31 - 1))
-    readable = (F.col("_kind") == 1) | ((F.col("_kind") == 2) & F.col("_other.ok"))
+    odd = F.col("_kind") == 2
+    # plain rows never stand in a plan with Python: those that need it are a branch of their own
     plain_fields = _plain_header(F.col("_lines"))
-    header = F.struct(*[
-        F.when(F.col("_kind") == 1, plain_fields[name]).when(F.col("_kind") == 2, F.col("_other")[name]).alias(name)
-        for name in HEADER.names])
-    return (
-        typed.withColumn("body", F.when(readable, after).otherwise(F.col("_text")))
-        .withColumn("header", header)
-        .drop("_text", "_fence", "_whole", "_block", "_keys", "_kind", "_lines", "_other")
-    )
+    easy = typed.where(~odd).withColumns({
+        "body": F.when(F.col("_kind") == 1, after).otherwise(F.col("_text")),
+        "header": F.struct(*[F.when(F.col("_kind") == 1, plain_fields[name]).cast(HEADER[name].dataType).alias(name) for name in HEADER.names])})
+    read = typed.where(odd).withColumn("_other", _read_blocks("_fence", "_block"))
+    hard = read.withColumns({
+        "body": F.when(F.col("_other.ok"), after).otherwise(F.col("_text")),
+        "header": F.struct(*[F.col("_other")[name].alias(name) for name in HEADER.names])})
+    columns = [*df.columns, "body", "header"]
+    return easy.select(*columns).unionByName(hard.select(*columns))
 
 
 def field_count(header: Column) -> Column:
