@@ -5,8 +5,8 @@ with the smallest hash, the leftmost of equals.  Equal strings have equal anchor
 places, so all starts of a string meet under one anchor, wherever they are.  The starts of a
 text that share an anchor are one region of fewer than ``2 * length`` bytes.
 
-Only anchors that occur twice can hold a repeated string.  Their regions, equal ones once,
-are the shards: each shard gets a suffix array by induced sorting, and its permuted common prefixes
+Only anchors that occur twice can hold a repeated string.  Where all regions of one are equal, all their
+strings are repeated; the regions of the others, equal ones once, are the shards: each shard gets a suffix array by induced sorting, and its permuted common prefixes
 tell which starts share ``length`` bytes with another.  An anchor with more than
 ``HOT`` different regions (a passage in very many texts) would make one shard too large: its strings are
 counted one by one instead, which gives the same starts.
@@ -85,9 +85,13 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(map(np.concatenate, (texts, hashes, firsts, lasts)))
 
 
-def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+def _raw(texts: list) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+
+
+def _digest(region: bytes) -> int:
+    """64 bits that stand, beside the anchor's 64, for a region."""
+    return int.from_bytes(hashlib.blake2b(region, digest_size=8).digest(), "little", signed=True)
 
 
 def repeated_in_shard(regions: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
@@ -115,7 +119,7 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 KEY = ["id", "hash_of_text"]
-RUNS = "array<struct<a:int,b:int>>"
+REGION = ["anchor", "digest"]
 
 
 def repeated_passages(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -134,104 +138,78 @@ def repeated_passages(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            data, ends = _joined(batch.column(2).to_pylist())
-            text, hashes, first, last = anchors(data, ends, length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text, pa.int64())), batch.column(1).take(pa.array(text, pa.int64())), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*KEY, "anchor", "first", "last"])
-
-    places = shared.put("places", rows.select(*KEY, "text").mapInArrow(find, "id long, hash_of_text long, anchor long, first int, last int"))
-    twice = shared.put("twice", places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    asked = places.join(twice, "anchor").groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "first", "last")).alias("asked"))
-    texts = shared.put("texts", rows.join(asked, KEY, "left"))
+            raws = _raw(batch.column(2).to_pylist())
+            text, hashes, first, last = anchors(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws]), length)
+            digests = [_digest(raws[t][a:b]) for t, a, b in zip(text.tolist(), first.tolist(), (last + length).tolist())]
+            which = pa.array(text, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(hashes, pa.int64()), pa.array(digests, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*KEY, *REGION, "first", "last"])
+
+    places = shared.put("places", rows.select(*KEY, "text").mapInArrow(find, "id long, hash_of_text long, anchor long, digest long, first int, last int"))
+    twice = shared.put("twice", places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1"))
+    # where all regions of an anchor are equal, every string of theirs is repeated
+    kept = shared.put("kept", places.join(twice.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"))
     shared.drop("places")
-    wanted = texts.where(F.col("asked").isNotNull()).select(*KEY, "text", "asked")
+    one = F.min(F.struct(*KEY, "first", "last")).alias("one")
+    mixed = shared.put("mixed", kept.where("mixed").groupBy(*REGION).agg(F.count(F.lit(1)).alias("n"), one))
+    hot = mixed.groupBy("anchor").agg((F.count(F.lit(1)) > HOT).alias("hot"))
+    asked = mixed.join(hot, "anchor").select(*REGION, "n", "hot", "one.*").groupBy(*KEY).agg(F.collect_list(F.struct(*REGION, "n", "hot", "first", "last")).alias("asked"))
 
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Each asked region: its row's key, anchor, first start, digest, bytes."""
+    def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            for i, h, t, asked in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                raw = t.encode("utf-8", "surrogatepass")
-                for x in asked:
-                    part = raw[x["first"]:x["last"] + length]
-                    yield i, h, x["anchor"], x["first"], hashlib.blake2b(part, digest_size=16).digest(), part
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.binary()), pa.array([v[0] for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.int64())], ["anchor", "digest", "region", "n"])
-
-        for _, _, anchor, _, digest, part in regions(batches):
-            if (anchor, digest) in held:
-                held[anchor, digest][1] += 1
-            else:
-                held[anchor, digest] = [part, 1]
-                if len(held) >= 20_000:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
-
-    parts = shared.put("regions", wanted.mapInArrow(distinct, "anchor long, digest binary, region binary, n long"))
-    size = parts.agg(F.sum(F.length("region"))).first()[0] or 0
+            out = []
+            for raw, asked in zip(_raw(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                out += [(x["anchor"], x["digest"], x["n"], x["hot"], raw[x["first"]:x["last"] + length]) for x in asked]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], [*REGION, "n", "hot", "region"])
+
+    # rows of equal id and text hold the same regions: any of them will do
+    chosen = rows.select(*KEY, "text").join(asked, KEY).select("text", "asked").mapInArrow(cut_regions, "anchor long, digest long, n long, hot boolean, region binary")
+    parts = shared.put("regions", chosen)
+    shared.drop("mixed")
+    size = parts.where("not hot").agg(F.sum(F.length("region"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    hot = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("anchor")
 
     def sort(table: pa.Table) -> pa.Table:
-        held: dict[bytes, list] = {}
-        for digest, region, n in zip(table["digest"].to_pylist(), table["region"].to_pylist(), table["n"].to_pylist()):
-            if digest in held:
-                held[digest][1] += n
-            else:
-                held[digest] = [region, n]
+        held = {(a, d): (r, n) for a, d, r, n in zip(*(table[c].to_pylist() for c in (*REGION, "region", "n")))}
         names = sorted(held)
         found = repeated_in_shard([held[x][0] for x in names], np.array([held[x][1] for x in names]), length)
         ends = np.cumsum([len(held[x][0]) + 1 for x in names])
-        out = []
         a, b = _runs(found)
         owner = np.searchsorted(ends, a, side="right")  # separators are never found, so no run crosses one
         begin = np.concatenate([[0], ends])[owner]
-        for o, x, y in zip(owner.tolist(), (a - begin).tolist(), (b - begin).tolist()):
-            out.append((names[o], x, y))
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({"digest": pa.array(cols[0], pa.binary()), "a": pa.array(cols[1], pa.int32()), "b": pa.array(cols[2], pa.int32())})
+        keys = np.array(names, np.int64).reshape(-1, 2)[owner]
+        return pa.table({"anchor": keys[:, 0], "digest": keys[:, 1], "a": pa.array(a - begin, pa.int32()), "b": pa.array(b - begin, pa.int32())})
 
-    cold = parts.join(hot, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sorted_ = cold.groupBy("shard").applyInArrow(sort, "digest binary, a int, b int")
+    cold = parts.where("not hot").select(*REGION, "region", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    sorted_ = cold.groupBy("shard").applyInArrow(sort, "anchor long, digest long, a int, b int")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, region, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for anchor, digest, region, n in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 some = len(region) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * some, pa.binary()), pa.array(range(some), pa.int32()), pa.array([n] * some, pa.int64()),
-                                                  pa.array([hashlib.blake2b(region[s:s + length], digest_size=16).digest() for s in range(some)], pa.binary())], ["digest", "a", "n", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * some, pa.int64()), pa.array([digest] * some, pa.int64()), pa.array(range(some), pa.int32()), pa.array([n] * some, pa.int64()),
+                                                  pa.array([hashlib.blake2b(region[s:s + length], digest_size=16).digest() for s in range(some)], pa.binary())], [*REGION, "a", "n", "string"])
 
-    single = parts.join(hot, "anchor", "left_semi").groupBy("digest").agg(F.first("region").alias("region"), F.sum("n").alias("n")).select("digest", "region", "n")
-    each = single.mapInArrow(strings, "digest binary, a int, n long, string binary")
+    single = parts.where("hot").dropDuplicates(REGION).select(*REGION, "region", "n")
+    each = shared.put("strings", single.mapInArrow(strings, "anchor long, digest long, a int, n long, string binary"))
     often = each.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1")
-    counted = each.join(often, "string").select("digest", "a", F.col("a").alias("b"))
-    found = shared.put("found", sorted_.unionByName(counted).groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+    counted = each.join(often, "string").select(*REGION, "a", F.col("a").alias("b"))
+    found = shared.put("found", sorted_.unionByName(counted).groupBy(*REGION).agg(F.collect_list(F.struct("a", "b")).alias("runs")))
     shared.drop("regions")
+    shared.drop("strings")
 
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for i, h, _, first, digest, _ in regions(batches):
-            held.append((i, h, first, digest))
-            if len(held) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], [*KEY, "first", "digest"])
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], [*KEY, "first", "digest"])
+    def run(a, b):
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
 
-    met = wanted.mapInArrow(where, "id long, hash_of_text long, first int, digest binary").join(found, "digest")
-    covered = met.groupBy(*KEY).agg(F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))).alias("runs"))
-    joined = texts.select(*KEY, "doc_id", "text").join(covered, KEY, "left").select("doc_id", "text", "runs")
+    whole = kept.where("not mixed").select(*KEY, F.array(run(F.col("first"), F.col("last"))).alias("runs"))
+    some = kept.where("mixed").join(found, REGION).select(*KEY, F.transform("runs", lambda r: run(r["a"] + F.col("first"), r["b"] + F.col("first"))).alias("runs"))
+    covered = whole.unionByName(some).groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    joined = rows.join(covered, KEY, "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            spans, kept, sizes = [], [], []
-            for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = t.encode("utf-8", "surrogatepass")
+            spans, rest, sizes = [], [], []
+            for raw, runs in zip(_raw(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
                 gone: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"] + length) for r in runs or ()):
                     if gone and a <= gone[-1][1]:
@@ -239,8 +217,8 @@ def repeated_passages(docs: DataFrame, length: int = 200) -> DataFrame:
                     else:
                         gone.append([a, b])
                 spans.append([{"start": a, "end": b} for a, b in gone])
-                kept.append(b"".join(raw[x:y] for x, y in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(raw)])))
+                rest.append(b"".join(raw[x:y] for x, y in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(raw)])))
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
