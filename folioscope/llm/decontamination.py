@@ -10,7 +10,7 @@ A randomised SVD over the passages of all documents gives the latent space: one
 ``A'(A G)`` for a Gaussian ``G``, a second the small matrix ``Q'A'A Q``; both sums are made
 in the tasks and only matrices as wide as the benchmark's terms come to the driver.
 A third pass projects each passage and keeps the items at a cosine of ``COSINE`` and more.  Such a
-candidate is verified where it is found: the longest common subsequence of the item's
+candidate is verified where it is found: its own terms must hold ``SHARE`` of the item's weight, and the longest common subsequence of the item's
 words and the words around the passage must hold ``EXACT`` of the item, or ``PARAPHRASE`` of it while
 ``ANSWER`` of its answer (its last sentence) is there in order.
 
@@ -34,8 +34,10 @@ WINDOW, STRIDE = 32, 16
 COMMON, RAREST = 0.01, 8
 RANK, EXTRA = 96, 16
 COSINE = 0.4
+SHARE = 0.4
 EXACT, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 ITEMS = 4000
+FOUND = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
 _WORD = re.compile(r"\w+")
 
 
@@ -79,14 +81,12 @@ class _Passages:
         sizes = np.array([len(d) for d in docs])
         self.blocks = -(-sizes // STRIDE)
         flat = np.concatenate(docs) if docs else np.empty(0, np.int32)
-        doc = np.repeat(np.arange(len(docs)), sizes)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block = np.repeat(np.cumsum(self.blocks) - self.blocks, sizes) + place // STRIDE
         kept = (flat >= 0) & (weight[flat] > 0)
         self.term, self.block, self.n = flat[kept], block[kept], int(self.blocks.sum())
         self.doc_of_block = np.repeat(np.arange(len(docs)), self.blocks)
         self.weight = weight[self.term].astype(np.float32)
-        del doc
 
     def projected(self, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks that have terms, and the sum of their weighted rows of ``to``."""
@@ -148,6 +148,18 @@ class LatentSearch:
             kept[sorted({self.terms[w] for w in ws}, key=lambda t: (df[t], t))[:RAREST]] = True
         self.weight = np.where(kept, np.log((1 + blocks) / (1 + df)) + 1e-3, 0.0)
 
+    def _item_passages(self) -> np.ndarray:
+        """Windows of the items' weighted terms as rows; ``self.owner`` has the item of each."""
+        rows, self.owner = [], []
+        for k, (_, ws, _) in enumerate(self.items):
+            ids = np.array([self.terms[w] for w in ws])
+            for at in range(0, max(len(ids) - WINDOW, 0) + STRIDE // 2, STRIDE // 2):
+                v = np.zeros(len(self.terms))
+                np.add.at(v, ids[at:at + WINDOW], self.weight[ids[at:at + WINDOW]])
+                rows.append(v)
+                self.owner.append(k)
+        return np.array(rows)
+
     def _fit(self) -> None:
         """Randomised SVD of the passages: ``self.basis`` has the right singular vectors."""
         n, width = len(self.terms), min(RANK + EXTRA, len(self.terms))
@@ -175,6 +187,11 @@ class LatentSearch:
         y = np.zeros((n, width))
         for r in self.rows.select("terms").mapInArrow(sketch, "term long, row binary").groupBy("term").applyInArrow(add, "term long, row binary").collect():
             y[r["term"]] = np.frombuffer(r["row"], float)
+        # the items are passages too; counted so often that they weigh as much as all others together
+        g = shown.value[1].astype(float)
+        self.asked = self._item_passages()
+        times = (g * y).sum() / width / max((self.asked ** 2).sum(), 1e-12)
+        y += times * (self.asked.T @ (self.asked @ g))
         q = np.linalg.qr(y)[0]
         shown_q = self.shared.spark.sparkContext.broadcast((self.weight, q.astype(np.float32)))
 
@@ -192,29 +209,26 @@ class LatentSearch:
 
         made = self.rows.select("terms").mapInArrow(small, "term long, row binary").groupBy("term").applyInArrow(add_small, "term long, row binary").collect()
         gram = np.frombuffer(made[0]["row"], float).reshape(q.shape[1], -1) if made else np.zeros((q.shape[1],) * 2)
-        values, vectors = np.linalg.eigh(gram)
+        own = self.asked @ q
+        values, vectors = np.linalg.eigh(gram + times * (own.T @ own))
         self.singular = np.sqrt(np.maximum(values[::-1][:RANK], 0))
         self.basis = (q @ vectors[:, ::-1][:, :RANK]).astype(np.float32)
 
     def found(self) -> DataFrame:
         """``(doc_id, text_hash, item_id, cosine, common, answer)`` of verified passages."""
-        asked, owner = [], []
-        for k, (_, ws, _) in enumerate(self.items):
-            ids = np.array([self.terms[w] for w in ws])
-            for at in range(0, max(len(ids) - WINDOW, 0) + STRIDE // 2, STRIDE // 2):
-                v = np.zeros(len(self.terms))
-                np.add.at(v, ids[at:at + WINDOW], self.weight[ids[at:at + WINDOW]])
-                asked.append(v @ self.basis)
-                owner.append(k)
-        asked, owner = np.array(asked, np.float32), np.array(owner)
+        if not self.terms:
+            return self.shared.spark.createDataFrame([], FOUND)
+        held, owner = self.asked > 0, np.array(self.owner)
+        asked = (self.asked @ self.basis).astype(np.float32)
+        least = SHARE * (held * self.weight).sum(axis=1)
         norm = np.linalg.norm(asked, axis=1)
         asked = asked / np.maximum(norm, 1e-12)[:, None]
         texts = [([self.terms[w] for w in ws], [self.terms[w] for w in answer]) for _, ws, answer in self.items]
-        shown = self.shared.spark.sparkContext.broadcast((self.weight, self.basis, asked, owner, texts, [i for i, _, _ in self.items]))
+        shown = self.shared.spark.sparkContext.broadcast((self.weight, self.basis, asked, owner, held, least, texts, [i for i, _, _ in self.items]))
         kind = pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "common": pa.float64(), "answer": pa.float64()})
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight, basis, asked, owner, texts, names = shown.value
+            weight, basis, asked, owner, held, least, texts, names = shown.value
             for batch in _sliced(batches):
                 docs = _docs_of(batch)
                 p = _Passages(docs, weight)
@@ -227,22 +241,28 @@ class LatentSearch:
                 x[follows] += x[np.flatnonzero(follows) + 1]
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 first = np.cumsum(p.blocks) - p.blocks
+                begin = np.append(np.searchsorted(p.block, blocks), len(p.block))
+                stop = begin[np.arange(len(blocks)) + 1 + follows]
                 tried: dict[tuple, tuple] = {}
                 for at in range(0, len(x), 4096):
                     cosine = x[at:at + 4096] @ asked.T
                     rows, cols = np.nonzero(cosine >= COSINE)
+                    # the weight that passage and item share, over the passage's terms
+                    sizes = (stop - begin[:-1])[at + rows]
+                    pair = np.repeat(np.arange(len(rows)), sizes)
+                    term = np.arange(sizes.sum()) + np.repeat(begin[at + rows] - np.cumsum(sizes) + sizes, sizes)
+                    shared = np.bincount(pair, weights=p.weight[term] * held[cols[pair], p.term[term]], minlength=len(rows))
+                    enough = shared >= least[cols]
+                    rows, cols = rows[enough], cols[enough]
                     for r, c in zip(rows.tolist(), cols.tolist()):
                         block = int(blocks[at + r])
                         d, k = int(p.doc_of_block[block]), int(owner[c])
                         item, answer = texts[k]
-                        begin = (block - int(first[d])) * STRIDE
-                        near = docs[d][max(0, begin - len(item)):begin + WINDOW + len(item)]
-                        # no more can be common than what the two share as sets
+                        place = (block - int(first[d])) * STRIDE
+                        near = docs[d][max(0, place - len(item)):place + WINDOW + len(item)]
                         if (d, k, block) in tried:
                             continue
                         tried[d, k, block] = ()
-                        if np.isin(near, item).sum() < PARAPHRASE * len(item):
-                            continue
                         near = near.tolist()
                         common = common_subsequence(item, near) / len(item)
                         there = common_subsequence(answer, near) / len(answer)
@@ -256,10 +276,7 @@ class LatentSearch:
                         [ids[d] for (d, _), _ in hits], [hashes[d] for (d, _), _ in hits], [names[k] for (_, k), _ in hits],
                         [v[2] for _, v in hits], [v[0] for _, v in hits], [v[1] for _, v in hits]), kind)], schema=kind)
 
-        plain = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
-        if not self.terms:
-            return self.shared.spark.createDataFrame([], plain)
-        return self.rows.mapInArrow(search, plain)
+        return self.rows.mapInArrow(search, FOUND)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
