@@ -14,6 +14,7 @@ from folioscope.session import tune, work_dir
 
 # Text bytes that a Python step holds at once; a longer text is a batch alone.
 BATCH_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Shared:
@@ -21,14 +22,20 @@ class Shared:
 
     def __init__(self, spark: SparkSession):
         self.spark = tune(spark)
-        # every step is stored, so shuffle files are of no use once it has been
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.root = work_dir(spark)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back, so that it is never computed again."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        """Write ``df`` and read it back, so that it is never computed again.
+
+        Its shuffle files are of no use from then on and go with the write.
+        """
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
