@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import Shared, text_batches
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 RESERVED = 0.5
 # Good-Turing discounts counts up to this.
 DISCOUNTED = 5
