@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line is the set of its runs of ``WIDTH`` characters, lower-cased.  Its signature has ``MINIMA`` minima:
-the smallest ``hash xor c`` over its runs, for as many constants ``c`` - the run whose hash lies nearest
+A line is the set of its runs of ``WIDTH`` characters, lower-cased.  Its signature, made of the runs
+that begin a word, has ``MINIMA`` minima: the smallest ``hash xor c`` over its runs, for as many constants ``c`` - the run whose hash lies nearest
 to ``c``, so two lines agree with the probability of their Jaccard similarity.  ``BANDS`` bands of
 four minima each (every minimum is in two bands) send a pair of similarity 0.8 to a common
 bucket with a probability of about 0.99, and pairs of unlike lines to none.
@@ -40,6 +40,16 @@ def runs_of(line: Column) -> Column:
     return F.when(F.char_length(line) < WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1)))
 
 
+def signing_runs(line: Column) -> Column:
+    """The runs a signature is made of: those that begin behind anything but a Latin letter, or with a letter of another script.
+
+    The text itself says which they are, so copies take the same ones; they are a sixth of all runs of a Latin text.
+    """
+    low = F.lower(line)
+    begun = F.regexp_extract_all(low, F.lit(rf"(?s)(?:(?<![a-z\u00df-\u024f])|(?=[^\x00-\u024f]))(?=(.{{{WIDTH}}}))"), F.lit(1))
+    return F.when(F.char_length(line) < WIDTH, F.array(low)).otherwise(begun)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``(id, text_hash, line_no, line)`` of the lines that hold more than blanks."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -56,18 +66,20 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose texts (line_id, line) are similar enough."""
     left = texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.array_distinct(runs_of(F.col("line_a"))).alias("runs_a"), F.array_distinct(runs_of(F.col("line_b"))).alias("runs_b"))
+    runs = F.struct(F.array_distinct(runs_of(F.col("line_a"))).alias("a"), F.array_distinct(runs_of(F.col("line_b"))).alias("b"))
+    # a generator, so that the runs of a pair are made once and not for every use of them
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(F.array(runs)).alias("runs"))
     # before the sets are compared: sizes too far apart cannot be similar
-    sizes = F.least(F.size("runs_a"), F.size("runs_b")) >= SIMILARITY * F.greatest(F.size("runs_a"), F.size("runs_b"))
-    both = F.size(F.array_intersect("runs_a", "runs_b"))
-    return met.where(sizes).select("a", "b", F.size("runs_a").alias("n_a"), F.size("runs_b").alias("n_b"), both.alias("both")).where(F.col("both") >= SIMILARITY * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    low, high = F.least(F.size("runs.a"), F.size("runs.b")), F.greatest(F.size("runs.a"), F.size("runs.b"))
+    sized = met.where(low >= SIMILARITY * high).select("a", "b", (F.size("runs.a") + F.size("runs.b")).alias("sizes"), F.explode(F.array(F.size(F.array_intersect("runs.a", "runs.b")))).alias("both"))
+    return sized.where(F.col("both") >= SIMILARITY * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Shared]:
     """``(h1, h2, first_id, first_line)`` of every line that has copies or near copies, and where the one that stays is."""
     shared = Shared(docs.sparkSession)
     place = (F.col("id").cast("decimal(38,0)") * (1 << 31) + F.col("line_no")).alias("place")
-    runs = _named(_lines(docs)).select("h1", "h2", place, F.explode(runs_of(F.col("line"))).alias("run"), "line_no")
+    runs = _named(_lines(docs)).select("h1", "h2", place, F.explode(signing_runs(F.col("line"))).alias("run"), "line_no")
     hashed = runs.select("h1", "h2", "place", F.xxhash64("run").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{i}") for i in range(MINIMA)]
     signed = hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"), *minima)
