@@ -28,8 +28,8 @@ from folioscope.llm.suffixes import permuted_common_prefixes, suffix_array
 
 PIECE = 32
 # Bytes of regions in a shard, roughly.
-SHARD_BYTES = 2 << 20
-HOT = 2000
+SHARD_BYTES = 1 << 20
+HOT = 1000
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5851F42D4C957F2D)
 _PLACE = 24  # bits of a key that hold a position
 
