@@ -143,6 +143,7 @@ def test_pipeline(spark, tmp_path):
         seen.append({r.doc_id for r in table.select("doc_id").collect()})
     clean = {i for i in range(200) if i % 4}
     assert clean <= seen[0] and len(seen[0] & {i for i in range(200) if i % 4 == 0}) <= 3
-    assert seen[1] == seen[0] and clean <= seen[2] and 301 not in seen[2]
+    # 301 has lost all its lines as copies; of the texts that are empty now one stays
+    assert seen[1] == seen[0] and clean <= seen[2] and seen[2] & {301, 302, 303} == {301}
     assert seen[3] == seen[2] - {300} and seen[4] == seen[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen[4]
