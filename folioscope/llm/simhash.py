@@ -52,6 +52,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     A-Z are lower-cased; words are what white space parts; a text of fewer than ``width``
     words is one shingle, one without words (also null) has the fingerprint 0.
     """
+    return shingled(docs, width).mapInArrow(_counted, "doc_id long, text_hash long, fp long")
+
+
+def shingled(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, hashes, text_hash)``: the XXH64 of each run of ``width`` words, repeats included."""
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), text_hash(docs).alias("text_hash"))
     n = F.size("words")
@@ -59,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     joined = F.transform(F.arrays_zip(*shifted), lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{i}"] for i in range(width)])))
     whole = F.xxhash64(F.array_join("words", " "))
     hashes = F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, F.array(whole)).otherwise(joined)
-    return rows.select("doc_id", hashes.alias("hashes"), "text_hash").mapInArrow(_counted, "doc_id long, text_hash long, fp long")
+    return rows.select("doc_id", hashes.alias("hashes"), "text_hash")
 
 
 def _keys(fp: Column, masks: list[int]) -> Column:
@@ -97,7 +102,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     links = held.join(asked, "key").where(near & (F.col("fp") < F.col("other")) & (F.col("label") != F.col("other_label")))
     joined = components(shared, compacted(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))), "links")
     classes = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("label"))
-    members = shared.put("members", prints.join(classes, "fp"))
+    return kept_of_classes(shared.put("members", prints.join(classes, "fp")))
+
+
+def kept_of_classes(members: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, fp, component_id, kept)`` of documents (doc_id, text_hash, fp) with the ``label`` of their component."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     out = members.join(members.groupBy("label").agg(first), "label").withColumn("component_id", F.col("first.doc_id"))
     return out.select("doc_id", "text_hash", "fp", "component_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
@@ -105,5 +114,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 
 def without_near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that are kept of their component; rows equal in id and text are one document."""
-    gone = near_duplicates(docs, width, distance).where("not kept").select("doc_id", "text_hash").distinct()
+    return without_gone(docs, near_duplicates(docs, width, distance).where("not kept"))
+
+
+def without_gone(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those named in ``rows`` (doc_id, text_hash)."""
+    gone = rows.select("doc_id", "text_hash").distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (text_hash(docs) == gone["text_hash"]), "left_anti")
