@@ -3,16 +3,16 @@
 Benchmark items are the stated queries; their words are the terms.  A document becomes a
 row of term numbers, its passages are windows of ``WINDOW`` words every ``STRIDE``, and a
 passage is the TF-IDF vector of its terms, with document frequencies counted over all
-documents.  Words in more than ``COMMON`` of the blocks are left out of the vectors, but
-never the ``RAREST`` rarest of an item.
+documents.
 
 A randomised SVD over the passages of all documents gives the latent space: one pass sums
 ``A'(A G)`` for a Gaussian ``G``, a second the small matrix ``Q'A'A Q``; both sums are made
 in the tasks and only matrices as wide as the benchmark's terms come to the driver.
 A third pass projects each passage and keeps the items at a cosine of ``COSINE`` and more.  Such a
-candidate is verified where it is found: its own terms must hold ``SHARE`` of the item's weight, and the longest common subsequence of the item's
-words and the words around the passage must hold ``EXACT`` of the item, or ``PARAPHRASE`` of it while
-``ANSWER`` of its answer (its last sentence) is there in order.
+candidate is verified where it is found: the longest common subsequence of the item's words and the words
+around the passage must hold ``EXACT`` of the item, or ``PARAPHRASE`` of it while ``ANSWER`` of its answer (its
+last sentence, or the rarest words of an item of one sentence) is there in order.  Before that is computed, the
+words around must hold so many of the item's in any order; this drops nothing that would be accepted.
 
 Items are taken in blocks of ``ITEMS``, so the broadcast terms and vectors have a bound.
 """
@@ -31,10 +31,11 @@ from folioscope.llm.common import Shared, text_batches
 from folioscope.llm.lm import opened, squeezed
 
 WINDOW, STRIDE = 32, 16
-COMMON, RAREST = 0.01, 8
+RAREST = 8
 RANK, EXTRA = 96, 16
-COSINE = 0.4
-SHARE = 0.4
+COSINE = 0.15
+# Passages that a step compares with the items at once.
+ROWS = 512
 EXACT, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 ITEMS = 4000
 FOUND = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
@@ -53,6 +54,13 @@ def answer_of(text: str) -> list[str]:
     return []
 
 
+def rarest(item: list[int], df: np.ndarray) -> list[int]:
+    """The rarest third of an item's words, at most ``RAREST``, in the item's order: what is checked where no last sentence stands apart."""
+    first = {t: i for i, t in reversed(list(enumerate(item)))}
+    chosen = sorted(first, key=lambda t: (df[t], first[t]))[:max(1, min(RAREST, len(item) // 3))]
+    return sorted(chosen, key=first.get)
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit rows."""
     places: dict[int, int] = {}
@@ -143,10 +151,9 @@ class LatentSearch:
         counts = dict(self.rows.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
         blocks = max(counts.pop(-1, 0), 1)
         df = np.array([counts.get(i, 0) for i in range(n)])
-        kept = df <= COMMON * blocks
-        for _, ws, _ in self.items:
-            kept[sorted({self.terms[w] for w in ws}, key=lambda t: (df[t], t))[:RAREST]] = True
-        self.weight = np.where(kept, np.log((1 + blocks) / (1 + df)) + 1e-3, 0.0)
+        self.df = df
+        # common words too: a paraphrase may keep those alone, besides the answer
+        self.weight = np.log((1 + blocks) / (1 + df)) + 1e-3
 
     def _item_passages(self) -> np.ndarray:
         """Windows of the items' weighted terms as rows; ``self.owner`` has the item of each."""
@@ -218,17 +225,25 @@ class LatentSearch:
         """``(doc_id, text_hash, item_id, cosine, common, answer)`` of verified passages."""
         if not self.terms:
             return self.shared.spark.createDataFrame([], FOUND)
-        held, owner = self.asked > 0, np.array(self.owner)
+        owner = np.array(self.owner)
         asked = (self.asked @ self.basis).astype(np.float32)
-        least = SHARE * (held * self.weight).sum(axis=1)
         norm = np.linalg.norm(asked, axis=1)
         asked = asked / np.maximum(norm, 1e-12)[:, None]
-        texts = [([self.terms[w] for w in ws], [self.terms[w] for w in answer]) for _, ws, answer in self.items]
+        texts = []
+        for _, ws, answer in self.items:
+            item = [self.terms[w] for w in ws]
+            texts.append((item, rarest(item, self.df) if len(answer) == len(ws) else [self.terms[w] for w in answer]))
+        # the last column is for words that are no terms
+        held = np.zeros((len(texts), len(self.terms) + 1), bool)
+        for k, (item, _) in enumerate(texts):
+            held[k, item] = True
+        least = np.array([PARAPHRASE * len(item) for item, _ in texts])
         shown = self.shared.spark.sparkContext.broadcast((self.weight, self.basis, asked, owner, held, least, texts, [i for i, _, _ in self.items]))
         kind = pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "common": pa.float64(), "answer": pa.float64()})
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, basis, asked, owner, held, least, texts, names = shown.value
+            length = np.array([len(item) for item, _ in texts])
             for batch in _sliced(batches):
                 docs = _docs_of(batch)
                 p = _Passages(docs, weight)
@@ -241,35 +256,38 @@ class LatentSearch:
                 x[follows] += x[np.flatnonzero(follows) + 1]
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 first = np.cumsum(p.blocks) - p.blocks
-                begin = np.append(np.searchsorted(p.block, blocks), len(p.block))
-                stop = begin[np.arange(len(blocks)) + 1 + follows]
+                flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+                start = np.cumsum(sizes) - sizes
+                doc = p.doc_of_block[blocks]
+                place = (blocks - first[doc]) * STRIDE
                 tried: dict[tuple, tuple] = {}
-                for at in range(0, len(x), 4096):
-                    cosine = x[at:at + 4096] @ asked.T
+                for at in range(0, len(x), ROWS):
+                    cosine = x[at:at + ROWS] @ asked.T
                     rows, cols = np.nonzero(cosine >= COSINE)
-                    # the weight that passage and item share, over the passage's terms
-                    sizes = (stop - begin[:-1])[at + rows]
-                    pair = np.repeat(np.arange(len(rows)), sizes)
-                    term = np.arange(sizes.sum()) + np.repeat(begin[at + rows] - np.cumsum(sizes) + sizes, sizes)
-                    shared = np.bincount(pair, weights=p.weight[term] * held[cols[pair], p.term[term]], minlength=len(rows))
-                    enough = shared >= least[cols]
-                    rows, cols = rows[enough], cols[enough]
-                    for r, c in zip(rows.tolist(), cols.tolist()):
-                        block = int(blocks[at + r])
-                        d, k = int(p.doc_of_block[block]), int(owner[c])
+                    # an item's best window at each passage
+                    order = np.lexsort((-cosine[rows, cols], owner[cols], rows))
+                    rows, cols = rows[order], cols[order]
+                    new = np.ones(len(rows), bool)
+                    new[1:] = (rows[1:] != rows[:-1]) | (owner[cols[1:]] != owner[cols[:-1]])
+                    rows, cols = rows[new], cols[new]
+                    owners, d_of = owner[cols], doc[at + rows]
+                    low = np.maximum(place[at + rows] - length[owners], 0)
+                    high = np.minimum(place[at + rows] + WINDOW + length[owners], sizes[d_of])
+                    # no subsequence is longer than the words around that are the item's
+                    spread = high - low
+                    pair = np.repeat(np.arange(len(rows)), spread)
+                    word = np.arange(spread.sum()) + np.repeat(start[d_of] + low - np.cumsum(spread) + spread, spread)
+                    shared = np.bincount(pair[held[owners[pair], flat[word]]], minlength=len(rows))
+                    for i in np.flatnonzero(shared >= least[owners]).tolist():
+                        d, k = int(d_of[i]), int(owners[i])
                         item, answer = texts[k]
-                        place = (block - int(first[d])) * STRIDE
-                        near = docs[d][max(0, place - len(item)):place + WINDOW + len(item)]
-                        if (d, k, block) in tried:
-                            continue
-                        tried[d, k, block] = ()
-                        near = near.tolist()
+                        near = docs[d][low[i]:high[i]].tolist()
                         common = common_subsequence(item, near) / len(item)
                         there = common_subsequence(answer, near) / len(answer)
                         if common >= EXACT or (common >= PARAPHRASE and there >= ANSWER):
                             best = tried.get((d, k), (0.0, 0.0, 0.0))
-                            tried[d, k] = max(best, (common, there, float(cosine[r, c])))
-                hits = [(key, v) for key, v in tried.items() if len(key) == 2]
+                            tried[d, k] = max(best, (common, there, float(cosine[rows[i], cols[i]])))
+                hits = list(tried.items())
                 if hits:
                     ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((
