@@ -86,6 +86,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers whose mod-97 holds, tried from the longest match down to shorter ends before a blank."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 4
+        while end > start and len(account := text[start:end].replace(" ", "")) >= 15:
+            if mod97(account):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, bool, float]]:
     """``(kind, start, end, base, score)`` of a text, by kind and start, in code points."""
     if not text or not _MAY_HOLD.search(text):
@@ -105,7 +119,7 @@ def spans(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, bool,
     found = [(kind, a, b, True, _score(kind, text, a, b, ok)) for kind, a, b, ok in base]
     if _DIGITS.search(text):
         taken = sorted((a, b) for _, a, b, _ in base)
-        more = [("iban", *m.span(), True) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        more = [("iban", a, b, True) for a, b in _accounts(text)]
         more += [("national_id", *m.span(), False) for m in _NATIONAL_ID.finditer(text)]
         more += [("local_phone", *m.span(), False) for m in _LOCAL_PHONE.finditer(text)]
         for kind, a, b, ok in more:
