@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covertree, decontamination, hardnegatives, linededup, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
+from folioscope.llm import collocations, covertree, decontamination, hardnegatives, linededup, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -130,3 +130,30 @@ def op13(spark, sf_dir):
     """Hard negatives of every hundredth vector against all vectors."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardnegatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+_PHRASES = r"""WITH pieces AS (SELECT lang, p, row_number() OVER () AS piece FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+  words AS (SELECT lang, piece, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+  ns AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+  tokens AS (SELECT lang, piece, unnest(w) AS w, unnest(range(len(w))) AS i FROM words),
+  nexts AS (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM tokens WINDOW p AS (PARTITION BY piece ORDER BY i)),
+  grams AS (SELECT lang, 1 AS k, w1 AS phrase FROM nexts UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM nexts WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM nexts WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM nexts WHERE w4 IS NOT NULL),
+  f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+  split AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+  cuts AS (SELECT s.lang, s.phrase, s.f AS a, c, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * s.f) // (l.f + r.f) AS BIGINT) AS score
+    FROM split s, (SELECT unnest(range(1, 4)) AS c) JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(w[1:c], ' ')
+    JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(w[c + 1:s.k], ' ') WHERE c < s.k),
+  low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+  inner_ AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(f) AS longest FROM split, (SELECT unnest(range(2, 4)) AS j), LATERAL (SELECT unnest(range(1, k - j + 2)) AS i)
+    WHERE j < k GROUP BY ALL),
+  kept AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+  FROM kept JOIN ns USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query("op11_collocations", _PHRASES)
+def op11(spark, sf_dir):
+    """The best 2,000 phrases of every language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
