@@ -168,9 +168,9 @@ def _negatives(most: int, low: int, high: int):
                 fit = np.flatnonzero((rl != al[i]) & (ri != ai[i]))
                 s, ids = scores[fit], ri[fit]
                 for p in wanted[i]:
-                    # the band as whole scores: low * p <= 100 * s <= high * p
-                    best, floor_, top = int(p["positive_score"]), *_band(int(p["positive_score"]), low, high)
-                    inside = np.flatnonzero((s >= floor_) & (s <= top))
+                    best = int(p["positive_score"])
+                    least, top = _band(best, low, high)
+                    inside = np.flatnonzero((s >= least) & (s <= top))
                     for j in inside[_best(s[inside], ids[inside], most)].tolist():
                         out.append((at[i], ai[i], p["positive_id"], p["nth"], best, ids[j], int(s[j])))
         return _table(out, schema)
@@ -180,9 +180,7 @@ def _negatives(most: int, low: int, high: int):
 
 def _band(positive: int, low: int, high: int) -> tuple[int, int]:
     """Least and greatest whole score ``s`` with ``low * positive <= 100 * s <= high * positive``."""
-    bounds = -(-low * positive // 100), high * positive // 100
-    edge = 1 << 63
-    return max(bounds[0], -edge), min(bounds[1], edge - 1)
+    return -(-low * positive // 100), high * positive // 100
 
 
 def hard_negatives(
