@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import collocations, covertree, decontamination, hardnegatives, linededup, lm, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
+from folioscope.llm import collocations, covertree, decontamination, hardnegatives, linededup, lm, neighbours, packing, pii, simhash, suffixdedup, tokenfiles, toxicity
 from folioscope.llm.common import share_of
 from folioscope.session import tune, work_dir
 
@@ -157,3 +157,10 @@ _PHRASES = r"""WITH pieces AS (SELECT lang, p, row_number() OVER () AS piece FRO
 def op11(spark, sf_dir):
     """The best 2,000 phrases of every language over all documents."""
     return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+@query("op12_nearest")
+def op12(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one, by a neighbour graph over all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
