@@ -28,28 +28,29 @@ from folioscope.operators.skew import top_per_key
 LONGEST = 4
 # Words of a chunk, and distinct ones (a chunk ends at either), and suffixes that a group may hold.
 CHUNK, CHUNK_WORDS = 2_000_000, 400_000
-BUDGET = 2_000_000
+BUDGET = 200_000
 # Prefixes that are extended, at most, at a level: the list of them is sent to every task.
 EXTENDED = 1_000_000
 
 # fixed values: what parts pieces, and words
-_BREAKS = ".,;:!?\n\x0b\x0c\r"
-_BLANKS = " \t"
-_TABLE = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **dict.fromkeys(_BREAKS, " \n "), "\t": " "})
+_BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+_UPPER = bytes(range(65, 91))
+# all of them are single bytes of UTF-8, so texts are cut as bytes
+_TABLE = bytes.maketrans(_UPPER + _BREAKS + _BLANKS, _UPPER.lower() + b"\n" * len(_BREAKS) + b"  ")
 _KEY = ["w1", "w2", "w3", "w4"]
 
 
 class _Numbers(dict):
     """Numbers words in the order they come; a break is -1 and what lies between two blanks -2."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self) - 2
         return n
 
 
 def _new_numbers() -> _Numbers:
     known = _Numbers()
-    dict.update(known, {"\n": -1, "": -2})
+    dict.update(known, {b"\n": -1, b"": -2})
     return known
 
 
@@ -68,7 +69,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number
         known, parts = held.pop(lang)
         tokens = np.concatenate(parts)
-        words = list(known)[2:]
+        words = [w.decode() for w in list(known)[2:]]
         counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
         number += 1
         return pa.RecordBatch.from_arrays([
@@ -79,8 +80,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             known, parts = held.setdefault(lang, (_new_numbers(), []))
-            pieces = text.translate(_TABLE).split(" ")
-            pieces.append("\n")
+            pieces = text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
+            pieces.append(b"\n")
             tokens = np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces))
             parts.append(tokens[tokens != -2])
         while held and (sum(len(p) for _, parts in held.values() for p in parts) >= CHUNK or sum(len(k) for k, _ in held.values()) >= CHUNK_WORDS):
@@ -114,7 +115,7 @@ def _suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def _distinct(rows: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and how often each occurs."""
     if not len(rows):
-        return rows, np.empty(0, np.int64)
+        return rows, np.zeros(0, np.int64)
     order = np.lexsort(rows.T[::-1])
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
@@ -190,7 +191,7 @@ class Phrases:
 
     def __init__(self, docs: DataFrame, least: int, budget: int = BUDGET):
         self.shared, self.least = Shared(docs.sparkSession), least
-        rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+        rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
         self.chunks = self.shared.put("chunks", rows.mapInArrow(_chunks, CHUNKS))
         self.totals = self.chunks.groupBy("lang").agg(F.sum("total").alias("n"))
         self._words()
@@ -222,11 +223,21 @@ class Phrases:
             sent = spark.sparkContext.broadcast(self.extended)
 
             def below(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+                held, size = [], 0
                 for tokens in _tokens(batches):
                     windows, lengths = _suffixes(tokens, depth)
-                    windows = windows[(sent.value.find(windows, depth - 1) >= 0) & (lengths >= depth)]
-                    rows, counts = _distinct(windows)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(counts, pa.int64())], names=[*_KEY[:depth], "f"])
+                    windows = windows[lengths >= depth]
+                    held.append(_distinct(windows[sent.value.find(windows, depth - 1) >= 0]))
+                    size += len(held[-1][0])
+                    if size > CHUNK:
+                        yield counted(held, depth)
+                        held, size = [], 0
+                if held:
+                    yield counted(held, depth)
+
+            def counted(held: list, depth: int) -> pa.RecordBatch:
+                rows, counts = _distinct(*map(np.concatenate, zip(*held)))
+                return pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(counts, pa.int64())], names=[*_KEY[:depth], "f"])
 
             keys = _KEY[:depth]
             kind = ", ".join(f"{k} long" for k in keys) + ", f long"
