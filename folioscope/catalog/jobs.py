@@ -17,6 +17,7 @@ from folioscope.catalog.registry import query
 from folioscope.functions import text as tx
 from folioscope.operators import changes as ch
 from folioscope.operators import ledger as lg_
+from folioscope.operators import moves as mv
 from folioscope.operators.parse import index_rows, parse_pages
 from folioscope.plans import corpus, embed, ingest, responses
 from folioscope.session import work_dir, written
@@ -327,6 +328,57 @@ def k3(spark, d):
     return ch.apply_changes(I.pages(spark, d).select("path", "size"), ops)
 
 
+# families of three paths each: chains, a swap, cycles, taken and protected targets; and one chain through all documents
+STEPS = """(VALUES (0, 1, 'move', 1, 2), (0, 2, 'move', 2, 3), (0, 3, 'delete', 2, 0), (0, 4, 'upsert', 1, 0),
+  (1, 1, 'move', 1, 3), (1, 2, 'upsert', 2, 0), (1, 3, 'move', 2, 1), (1, 4, 'move', 3, 2),
+  (2, 1, 'upsert', 2, 0), (2, 2, 'move', 1, 2), (2, 3, 'delete', 2, 0), (2, 4, 'move', 1, 2), (2, 5, 'move', 2, 1),
+  (3, 1, 'move', 1, 4), (3, 2, 'move', 1, 3), (3, 3, 'move', 3, 3), (4, 1, 'move', 1, 2), (4, 2, 'move', 2, 3), (4, 3, 'move', 3, 1), (4, 4, 'move', 1, 2),
+  (5, 1, 'delete', 1, 0), (5, 2, 'move', 1, 2), (5, 3, 'upsert', 3, 0), (5, 4, 'move', 3, 1)) AS t(m, k, op, x, y)"""
+PLACE = """CASE {n} WHEN 1 THEN 'sources/doc-' || doc_id || '.md' WHEN 2 THEN 'moved/' || doc_id || '.md' WHEN 3 THEN 'kept/' || doc_id || '.md' WHEN 4 THEN '_schema.md' END"""
+MOVE_LOG = f"""SELECT k * 10000000 + doc_id AS seq, op, {PLACE.format(n='x')} AS path, {PLACE.format(n='y')} AS dst, k * 10000000 + doc_id AS size
+    FROM {{labels}} JOIN {STEPS} ON doc_id % 6 = m
+  UNION ALL SELECT 90000000 + doc_id, 'move', 'chain/' || doc_id, 'chain/' || (doc_id + 1), NULL FROM {{labels}}
+  UNION ALL SELECT 80000000 + doc_id, 'upsert', 'chain/' || doc_id, NULL, doc_id FROM {{labels}} WHERE doc_id % 50 = 0"""
+# the families' three places after each step, in order; the chains' ends by arithmetic
+MOVED = f"""WITH RECURSIVE ops AS (SELECT * FROM {STEPS}),
+  fam AS (SELECT doc_id, (SELECT size FROM pages_ p WHERE p.path = 'sources/doc-' || l.doc_id || '.md') AS a FROM (SELECT doc_id FROM labels) l),
+  st(doc_id, k, p1, p2, p3, note) AS (SELECT doc_id, 0, CAST(a AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM fam
+    UNION ALL SELECT doc_id, s.k + 1,
+      CASE WHEN ok AND y = 1 THEN given WHEN (ok OR op = 'delete') AND x = 1 THEN NULL WHEN op = 'upsert' AND x = 1 THEN (s.k + 1) * 10000000 + doc_id ELSE p1 END,
+      CASE WHEN ok AND y = 2 THEN given WHEN (ok OR op = 'delete') AND x = 2 THEN NULL WHEN op = 'upsert' AND x = 2 THEN (s.k + 1) * 10000000 + doc_id ELSE p2 END,
+      CASE WHEN ok AND y = 3 THEN given WHEN (ok OR op = 'delete') AND x = 3 THEN NULL WHEN op = 'upsert' AND x = 3 THEN (s.k + 1) * 10000000 + doc_id ELSE p3 END,
+      CASE WHEN op <> 'move' THEN NULL WHEN y = 4 THEN 'denied' WHEN given IS NULL THEN 'not-found' WHEN ok THEN 'moved' ELSE 'exists' END
+    FROM (SELECT s.*, o.op, o.x, o.y, [p1, p2, p3][o.x] AS given,
+        o.op = 'move' AND [p1, p2, p3][o.x] IS NOT NULL AND o.y < 4 AND o.y <> o.x AND [p1, p2, p3][o.y] IS NULL AS ok FROM st s JOIN ops o ON o.m = s.doc_id % 6 AND o.k = s.k + 1) s),
+  ends AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+  links AS (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS run FROM labels),
+  starts AS (SELECT l.doc_id, run, lead(l.doc_id) OVER (PARTITION BY run ORDER BY l.doc_id) AS next FROM links l WHERE l.doc_id % 50 = 0),
+  tails AS (SELECT run, max(doc_id) + 1 AS tail FROM links GROUP BY run),
+  chains AS (SELECT doc_id, CASE WHEN next IS NULL THEN tail ELSE next - 1 END AS place FROM starts JOIN tails USING (run))"""
+
+
+def move_log(spark, d):
+    return spark.sql(MOVE_LOG, labels=I.table(spark, d, "labels"))
+
+
+@query("K3_moves", MOVED.replace("WITH RECURSIVE ", "WITH RECURSIVE pages_ AS (" + I.PAGES + "), ") + """
+  SELECT path, size FROM pages_ WHERE path NOT IN (SELECT 'sources/doc-' || doc_id || '.md' FROM labels)
+  UNION ALL SELECT 'sources/doc-' || doc_id || '.md', p1 FROM ends WHERE p1 IS NOT NULL UNION ALL SELECT 'moved/' || doc_id || '.md', p2 FROM ends WHERE p2 IS NOT NULL
+  UNION ALL SELECT 'kept/' || doc_id || '.md', p3 FROM ends WHERE p3 IS NOT NULL UNION ALL SELECT 'chain/' || place, doc_id FROM chains""")
+def k3_moves(spark, d):
+    """Pages after a log of writes, deletions and moves."""
+    return mv.replay(I.pages(spark, d).select("path", "size"), move_log(spark, d))[0]
+
+
+@query("K3_move_outcomes", MOVED.replace("WITH RECURSIVE ", "WITH RECURSIVE pages_ AS (" + I.PAGES + "), ") + """
+  SELECT k * 10000000 + doc_id AS seq, note AS status FROM st WHERE note IS NOT NULL
+  UNION ALL SELECT 90000000 + l.doc_id, CASE WHEN c.doc_id IS NULL THEN 'not-found' WHEN l.doc_id + 1 = c.next THEN 'exists' ELSE 'moved' END
+  FROM labels l LEFT JOIN (SELECT s.doc_id, s.next, s.run FROM starts s) c ON c.run = (SELECT run FROM links x WHERE x.doc_id = l.doc_id) AND c.doc_id <= l.doc_id AND (c.next IS NULL OR l.doc_id < c.next)""")
+def k3_outcomes(spark, d):
+    """What became of each move of the log."""
+    return mv.replay(I.pages(spark, d).select("path", "size"), move_log(spark, d))[1].select("seq", "status")
+
+
 @query("K4_refresh_due", """SELECT event_id, (1706745600 - epoch(ts)) >= 86400 AS due FROM events""")
 def k4(spark, d):
     """Which entities are due when each was last refreshed at its event time."""

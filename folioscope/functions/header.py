@@ -128,15 +128,31 @@ def read_block(fence: str, block: str) -> dict:
 
 @F.pandas_udf(HEADER)
 def _read_blocks(fence: pd.Series, block: pd.Series) -> pd.DataFrame:
-    rows = [None if b is None else read_block(f, b) for f, b in zip(fence, block)]
+    """Blocks that the native reading leaves; equal ones of a batch are read once, null ones not at all."""
     blank = {f.name: None for f in HEADER.fields}
-    return pd.DataFrame([blank if r is None else r for r in rows], columns=HEADER.names)
+    known: dict[tuple, dict] = {}
+    rows = []
+    for key in zip(fence, block):
+        if key[1] is None:
+            rows.append(blank)
+            continue
+        if key not in known:
+            known[key] = read_block(*key)
+        rows.append(known[key])
+    return pd.DataFrame(rows, columns=HEADER.names)
+
+
+def _once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """Add a struct ``name`` of ``columns``, each computed once.
+
+    The optimizer merges projections, and so repeats an expression at every place that uses it;
+    it does not look through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _plain_header(lines: Column) -> dict[str, Column]:
-    """Columns of a block that matches ``_PLAIN``, from its lines."""
-    keys = F.transform(lines, lambda l: F.substring_index(l, ":", 1))
-    raw = F.transform(lines, lambda l: F.trim(F.regexp_replace(l, r"\A[^:]*: +", "")))
+def _plain_header(keys: Column, raw: Column) -> dict[str, Column]:
+    """Columns of a block that matches ``_PLAIN``, from the keys and values of its lines."""
     items = lambda v: F.filter(
         F.transform(F.split(F.regexp_replace(v, r"\A\[|\]\z", ""), ","), lambda i: F.trim(i)),
         lambda i: i != "")
@@ -179,39 +195,28 @@ def with_header(df: DataFrame, text: str = "content") -> DataFrame:
     """Add ``header`` (``HEADER``; its fields are null where there is no block) and ``body``.
 
     ``body`` is the text after the block, or the whole text when the block
-    cannot be read.  The input is read twice, once for the rows with plain headers; store it where that is dear.  A leading byte-order mark belongs to neither.
+    cannot be read.  The text is read once; blocks that are not plain go to Python, without their page.
     """
-    # each step is a column of its own, so that no expression is repeated
-    found = (
-        df.withColumn("_text", strip_bom(F.col(text)))
-        .withColumn("_whole", F.regexp_extract("_text", WHOLE, 0))
-        .withColumn("_fence", F.regexp_extract("_whole", BLOCK, 1))
-        .withColumn("_block", F.regexp_replace(F.regexp_replace("_whole", BLOCK, ""), r"[^\n]*\n?\z", ""))
-    )
-    keys = F.regexp_extract_all("_block", F.lit(rf"(?md)^({_KEY}):"), 1)
-    yaml = F.col("_fence").isin("---", "---yaml")
-    opened = F.col("_whole") != ""
-    plain = yaml & F.col("_block").rlike(_PLAIN)
-    typed = (
-        found.withColumn("_keys", keys)
-        .withColumn("_kind", F.when(~opened, 0).when(
-            plain & (F.size("_keys") == F.size(F.array_distinct("_keys"))), 1).otherwise(2))
-        .withColumn("_lines", F.when(F.col("_kind") == 1, F.regexp_extract_all(
-            "_block", F.lit(r"(?md)^([^\n]+)$"), 1)))
-    )
-    after = F.substring("_text", F.char_length("_whole") + 1, F.lit(2**31 - 1))
-    odd = F.col("_kind") == 2
-    # plain rows never stand in a plan with Python: those that need it are a branch of their own
-    plain_fields = _plain_header(F.col("_lines"))
-    easy = typed.where(~odd).withColumns({
-        "body": F.when(F.col("_kind") == 1, after).otherwise(F.col("_text")),
-        "header": F.struct(*[F.when(F.col("_kind") == 1, plain_fields[name]).cast(HEADER[name].dataType).alias(name) for name in HEADER.names])})
-    read = typed.where(odd).withColumn("_other", _read_blocks("_fence", "_block"))
-    hard = read.withColumns({
-        "body": F.when(F.col("_other.ok"), after).otherwise(F.col("_text")),
-        "header": F.struct(*[F.col("_other")[name].alias(name) for name in HEADER.names])})
-    columns = [*df.columns, "body", "header"]
-    return easy.select(*columns).unionByName(hard.select(*columns))
+    text_ = strip_bom(F.col(text))
+    found = _once(df, "_t", text=text_, whole=F.regexp_extract(text_, WHOLE, 0))
+    whole = F.col("_t.whole")
+    found = _once(found, "_b", fence=F.regexp_extract(whole, BLOCK, 1), block=F.regexp_replace(F.regexp_replace(whole, BLOCK, ""), r"[^\n]*\n?\z", ""))
+    fence, block = F.col("_b.fence"), F.col("_b.block")
+    plain = fence.isin("---", "---yaml") & block.rlike(_PLAIN)
+    lines = F.when(plain, F.regexp_extract_all(block, F.lit(r"(?md)^([^\n]+)$"), 1))
+    found = _once(found, "_l", keys=F.transform(lines, lambda l: F.substring_index(l, ":", 1)), raw=F.transform(lines, lambda l: F.trim(F.regexp_replace(l, r"\A[^:]*: +", ""))))
+    keys = F.col("_l.keys")
+    kind = F.when(whole == "", 0).when(keys.isNotNull() & (F.size(keys) == F.size(F.array_distinct(keys))), 1).otherwise(2)
+    found = _once(found, "_k", kind=kind)
+    kind = F.col("_k.kind")
+    odd = lambda c: F.when(kind == 2, c)
+    read = found.withColumn("_other", _read_blocks(odd(fence), odd(block)))
+    fields = _plain_header(keys, F.col("_l.raw"))
+    opened = (kind == 1) | F.coalesce(F.col("_other.ok"), F.lit(False))
+    after = F.substring(F.col("_t.text"), F.char_length(whole) + 1, F.lit(2**31 - 1))
+    header = F.struct(*[F.when(kind == 1, fields[n]).otherwise(F.col("_other")[n]).cast(HEADER[n].dataType).alias(n) for n in HEADER.names])
+    parts = _once(read, "_p", body=F.when(opened, after).otherwise(F.col("_t.text")), header=header)
+    return parts.select(*df.columns, F.col("_p.body").alias("body"), F.col("_p.header").alias("header"))
 
 
 def field_count(header: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import paths as pt
@@ -13,14 +13,21 @@ from folioscope.functions import paths as pt
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the greatest ``order`` of each key (an upsert); of equal ones, one of them.
 
-    The winning order is found on narrow columns by a partial aggregate, so the versions of a
-    much-changed key are reduced before they are shuffled; wide columns are moved once and not sorted in.
+    One aggregate with map-side combine: for rows of narrow columns.  A null ``order`` comes first.
     """
-    best = rows.groupBy(*keys).agg(F.max(order).alias("_best"))
-    same = [rows[k].eqNullSafe(best[k]) for k in keys]
-    first = rows.join(best, [*same, rows[order].eqNullSafe(best["_best"])], "left_semi")
-    one = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return first.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(order)).alias("_row")
+    return rows.groupBy(*keys).agg(best).select(*[k if k in keys else F.col("_row")[k].alias(k) for k in rows.columns])
+
+
+def last_changes(changes: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """The last change of each key, for rows of any width.  No two changes of a key may have one ``order``.
+
+    The winner is found on narrow columns; wide ones are neither sorted nor held in an aggregate.
+    """
+    best = changes.groupBy(*keys).agg(F.max(order).alias("_best"))
+    same = [changes[k].eqNullSafe(best[k]) for k in keys]
+    return changes.join(best, [*same, changes[order] == best["_best"]], "left_semi")
 
 
 def apply_changes(
@@ -28,14 +35,16 @@ def apply_changes(
     changes: DataFrame,
     keys: Sequence[str] = ("path",),
     protected: Sequence[str] = (pt.SCHEMA_PAGE,),
+    unique: bool = False,
 ) -> DataFrame:
     """``base`` after the last change of each key.
 
     ``changes`` has the columns of ``base`` plus ``op`` (``upsert`` or
-    ``delete``) and ``seq``.  Changes to protected paths are ignored.
+    ``delete``) and ``seq``, the place in the log (a number no other change of the key has).  With ``unique`` each key
+    changes once at most.  Changes to protected paths are ignored.  For moves see ``operators/moves.py``.
     """
-    allowed = changes.where(~F.col(keys[0]).isin(list(protected)))
-    last = latest_per_key(allowed, keys, "seq")
+    allowed = changes.where(~F.col(keys[0]).isin(list(protected))) if protected else changes
+    last = allowed if unique else last_changes(allowed, keys)
     kept = base.join(last.select(*keys), list(keys), "left_anti")
     return kept.unionByName(last.where(F.col("op") == "upsert").select(*base.columns))
 

@@ -45,7 +45,7 @@ def check_consistency(scan: DataFrame, pages: DataFrame, content: DataFrame | Ca
         "path", *[F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns if c != "path"],
         F.lit("delete").alias("op"), F.lit(1).alias("seq"))
     # the schema page is protected from writes, not from indexing
-    updated = apply_changes(pages, ops.unionByName(gone), protected=())
+    updated = apply_changes(pages, ops.unionByName(gone), protected=(), unique=True)
     return changes, updated, errors
 
 

@@ -78,7 +78,7 @@ def store_vectors(embeddings: DataFrame, made: DataFrame, model: str, now: Colum
     ops = made.where(F.col("outcome") == "embedded").select(
         "path", "content_hash", F.lit(model).alias("model"), "vector", "dims", now.alias("updated_at"),
         F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
-    return apply_changes(embeddings, ops, keys=("path", "model"), protected=())
+    return apply_changes(embeddings, ops, keys=("path", "model"), protected=(), unique=True)
 
 
 def outcome_counts(made: DataFrame) -> DataFrame:

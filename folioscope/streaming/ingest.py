@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.functions import text as tx
 from folioscope.operators import gates
-from folioscope.operators.changes import apply_changes, latest_per_key
+from folioscope.operators.changes import apply_changes, last_changes
 from folioscope.plans import ingest
 from folioscope.session import written
 from folioscope.sources.snapshots import SnapshotStore
@@ -27,6 +27,12 @@ def open_store(spark: SparkSession, root: str, buckets: int = 16) -> SnapshotSto
     return SnapshotStore(spark, root, TABLES, buckets)
 
 
+def newest_seen(seen: DataFrame) -> DataFrame:
+    """The newest observation of each file; the content of equally new ones is told apart by its hash."""
+    tie = F.struct("mtime", F.xxhash64("content"))
+    return last_changes(seen.withColumn("_order", tie), ["source_path"], "_order").drop("_order").dropDuplicates(["source_path"])
+
+
 # what a later run may decide otherwise: it waits for time, for its turn, for another try or another model
 OPEN = ("deferred", "not-examined", "digest", "already-refused", "exhausted")
 
@@ -52,7 +58,7 @@ def ingest_batch(
     columns = [f.name for f in schemas.SOURCES.fields]
     seen = store.read("pending", manifest=manifest).unionByName(batch.select(*columns))
     # several observations of one file: the newest stands
-    gated = gates.gate(latest_per_key(seen, ["source_path"], "mtime"), types, at)
+    gated = gates.gate(newest_seen(seen), types, at)
     passed = F.col("gate") == "pass"
     sources = written(gated.select(
         *[c for c in columns if c != "content"], F.when(F.col("gate") != "skipped", F.col("content")).alias("content"),
@@ -75,7 +81,7 @@ def ingest_batch(
     store.commit(
         {
             "ledger": (ingest.merge_ledger(store.read("ledger", lb, manifest), new_rows), lb),
-            "pages": (apply_changes(store.read("pages", pb, manifest), ops), pb),
+            "pages": (apply_changes(store.read("pages", pb, manifest), ops, unique=True), pb),
             "pending": (waiting, None),
         },
         info={"now": now.isoformat()} | ({} if batch_id is None else {"batch_id": batch_id}),
