@@ -38,10 +38,13 @@ REVERSE, POOL, STEP = 20, 256, 40
 # A search ends when fewer than this part of a full round is left to expand.
 LEFT = 0.02
 # Bytes of the vectors that a block of meetings or of the graph may need, and queries of a part.
-BLOCK_BYTES, PART = 96 << 20, 512
+BLOCK_BYTES, PART = 64 << 20, 512
 
 LISTS = "home int, node long, vec binary, ids array<long>, scores array<float>, fresh array<boolean>, worst float, added int"
 FOUND = pa.schema({"node": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float32())})
+# finds for one home (a part of the nodes) in one row: the nodes, how many finds each has, and the finds
+FINDS = "to int, nodes array<long>, sizes array<int>, ids array<long>, scores array<float>"
+_FINDS = pa.schema({"to": pa.int32(), "nodes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float32())})
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -59,6 +62,33 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(cells), np.float32).reshape(len(cells), -1)
 
 
+def home_of(nodes: np.ndarray, homes: int) -> np.ndarray:
+    """``pmod(xxhash64(node), homes)`` as Spark computes it."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = map(u, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    h = (u(42 + 8) + p5) ^ (turned(np.asarray(nodes, np.int64).view(u) * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> u(33))) * p2
+    h = (h ^ (h >> u(29))) * p3
+    return np.mod((h ^ (h >> u(32))).view(np.int64), homes)
+
+
+def _dealt(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int, homes: int) -> pa.Table:
+    """The best ``most`` distinct ids of each node, one row for each home that has some."""
+    found = _grouped(node, ids, scores, most)
+    if not found.num_rows:
+        return _FINDS.empty_table()
+    nodes, (ids, sizes), (scores, _) = np.asarray(found["node"]), _flat(found["ids"]), _flat(found["scores"])
+    to = home_of(nodes, homes)
+    order = np.argsort(to, kind="stable")
+    rows = np.argsort(np.repeat(to, sizes), kind="stable")
+    parts, counts = np.unique(to, return_counts=True)
+    finds = np.bincount(np.searchsorted(parts, to), weights=sizes, minlength=len(parts)).astype(np.int64)
+    return pa.Table.from_arrays([pa.array(parts.astype(np.int32)), _lists(nodes[order], counts, pa.int64()), _lists(sizes[order].astype(np.int32), counts, pa.int32()),
+                                 _lists(ids[rows], finds, pa.int64()), _lists(scores[rows], finds, pa.float32())], schema=_FINDS)
+
+
 def _grouped(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int, schema: pa.Schema = FOUND) -> pa.Table:
     """The best ``most`` distinct ids of each node, one row a node."""
     order = np.lexsort((ids, node))
@@ -72,16 +102,19 @@ def _grouped(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int, s
     return pa.Table.from_arrays([pa.array(names, pa.int64()), _lists(ids[kept], sizes, pa.int64()), _lists(scores[kept], sizes, pa.float32())], schema=schema)
 
 
-def _start(table: pa.Table) -> pa.Table:
+def _start(homes: int):
     """Best neighbours inside one random block."""
-    nodes, vectors = np.asarray(table["node"]), _vectors(table["vec"])
-    scores = vectors @ vectors.T
-    np.fill_diagonal(scores, -np.inf)
-    best = min(START_BEST, len(nodes) - 1)
-    if best < 1:
-        return FOUND.empty_table()
-    at = np.argpartition(-scores, best - 1, axis=1)[:, :best]
-    return _grouped(np.repeat(nodes, best), nodes[at].reshape(-1), np.take_along_axis(scores, at, 1).reshape(-1), best)
+    def start(table: pa.Table) -> pa.Table:
+        nodes, vectors = np.asarray(table["node"]), _vectors(table["vec"])
+        scores = vectors @ vectors.T
+        np.fill_diagonal(scores, -np.inf)
+        best = min(START_BEST, len(nodes) - 1)
+        if best < 1:
+            return _FINDS.empty_table()
+        at = np.argpartition(-scores, best - 1, axis=1)[:, :best]
+        return _dealt(np.repeat(nodes, best), nodes[at].reshape(-1), np.take_along_axis(scores, at, 1).reshape(-1), best, homes)
+
+    return start
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
@@ -113,8 +146,8 @@ def _merge(degree: int, turn: int, sample: int):
         scores, fresh = _flat(lists["scores"])[0], _flat(lists["fresh"])[0]
         at = np.repeat(np.arange(len(nodes)), sizes)
         fresh = fresh & ~_sampled(at, nodes[at], ids, fresh, turn, sample) if len(at) else fresh.astype(bool)
-        new_ids, new_sizes = _flat(finds["ids"])
-        new_at = np.repeat(np.searchsorted(nodes, np.asarray(finds["node"])), new_sizes)
+        new_ids = _flat(finds["ids"])[0]
+        new_at = np.repeat(np.searchsorted(nodes, _flat(finds["nodes"])[0]), _flat(finds["sizes"])[0])
         at, ids = np.concatenate([at, new_at]).astype(np.int64), np.concatenate([ids, new_ids]).astype(np.int64)
         scores = np.concatenate([scores, _flat(finds["scores"])[0]]).astype(np.float32)
         is_new = np.arange(len(at)) >= len(at) - len(new_at)
@@ -157,11 +190,11 @@ def _tell(turn: int, sample: int):
     return tell
 
 
-def _meet(each: int, degree: int, width: int, turn: int):
+def _meet(each: int, degree: int, width: int, turn: int, homes: int):
     """Compares all that were told to one vector, at most ``width`` at a time; finds for each of them."""
     def meet(told: pa.Table, vectors: pa.Table) -> pa.Table:
         if not told.num_rows or not vectors.num_rows:
-            return FOUND.empty_table()
+            return _FINDS.empty_table()
         vectors = vectors.sort_by("node")
         names, matrix, worst = np.asarray(vectors["node"]), _vectors(vectors["vec"]), np.asarray(vectors["worst"])
         ids, sizes = _flat(told["told"])
@@ -182,8 +215,8 @@ def _meet(each: int, degree: int, width: int, turn: int):
         is_fresh = np.zeros(member.shape, bool)
         is_fresh[group, place] = fresh
         out, best = [], min(each, width - 1)
-        for a in range(0, len(member), 1024):
-            m, f = member[a:a + 1024], is_fresh[a:a + 1024]
+        for a in range(0, len(member), 512):
+            m, f = member[a:a + 512], is_fresh[a:a + 512]
             v = matrix[m]
             s = v @ v.transpose(0, 2, 1)
             s[~((m >= 0)[:, :, None] & (m >= 0)[:, None, :] & (f[:, :, None] | f[:, None, :]))] = -np.inf
@@ -194,7 +227,7 @@ def _meet(each: int, degree: int, width: int, turn: int):
             out.append((m[g, i], m[g, near[g, i, j]], score[g, i, j]))
         u, v, s = (np.concatenate(c) for c in zip(*out))
         sure = u >= 0
-        return _grouped(names[u[sure]], names[v[sure]], s[sure], degree)
+        return _dealt(names[u[sure]], names[v[sure]], s[sure], degree, homes)
 
     return meet
 
@@ -239,14 +272,14 @@ class Index:
         blank = self.nodes.select(self._home("node").alias("home"), "node", "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("scores"),
                                   F.array().cast("array<boolean>").alias("fresh"), F.lit(float("-inf")).cast("float").alias("worst"), F.lit(0).alias("added"))
         dealt = self.nodes.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))).withColumn("block", F.pmod(F.xxhash64("node", "try"), F.lit(blocks)))
-        finds = dealt.groupBy("try", "block").applyInArrow(_start, "node long, ids array<long>, scores array<float>")
+        finds = dealt.groupBy("try", "block").applyInArrow(_start(self.homes), FINDS)
         lists, turn = self._merged(blank, finds, -1), 0
         self.turns: list[int] = []
         while True:
             told = self._told(lists, turn)
-            meet = _meet(EACH, self.degree, 2 * self.sample, turn)
+            meet = _meet(EACH, self.degree, 2 * self.sample, turn, self.homes)
             wanted = told.select(F.col("block").alias("of"), F.explode("told").alias("node")).distinct().join(lists.select("node", "vec", "worst"), "node")
-            finds = told.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(meet, "node long, ids array<long>, scores array<float>")
+            finds = told.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(meet, FINDS)
             merged = self._merged(lists, finds, turn)
             shared.drop(f"lists-{turn - 1}")
             shared.drop(f"told-{turn}")
@@ -258,7 +291,6 @@ class Index:
         self.lists = lists
 
     def _merged(self, lists: DataFrame, finds: DataFrame, turn: int) -> DataFrame:
-        finds = finds.withColumn("to", self._home("node"))
         return self.shared.put(f"lists-{turn}", lists.groupBy("home").cogroup(finds.groupBy("to")).applyInArrow(_merge(self.degree, turn, self.sample), LISTS))
 
     def _told(self, lists: DataFrame, turn: int) -> DataFrame:
