@@ -66,12 +66,13 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, length: int) -> np.ndarray:
     return np.array(cuts[::-1], np.int64)
 
 
-def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, and what ending there costs."""
+def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window may end, none more than ``length`` behind the one before, and what ending there costs."""
+    stride = min(STRIDE, length)
     known = np.union1d(doc_ends, sentence_ends)
     gaps = np.diff(known, prepend=0)
     more = np.maximum((gaps - 1) // stride, 0)
-    more[gaps <= 2 * stride] = 0
+    more[gaps <= min(2 * stride, length)] = 0
     first = np.repeat(known - gaps, more)
     nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
     inner = first + nth * stride
@@ -83,7 +84,7 @@ def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = ST
 
 def _segment_pieces(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, sentence_ends: np.ndarray, length: int, first: int) -> tuple[pa.RecordBatch, int]:
     doc_ends = np.cumsum(lengths)
-    places, costs = candidates(doc_ends, sentence_ends, min(STRIDE, length))
+    places, costs = candidates(doc_ends, sentence_ends, length)
     cuts = best_cuts(places, costs, length)
     ends = np.union1d(cuts, doc_ends)
     starts = np.concatenate([[0], ends[:-1]])

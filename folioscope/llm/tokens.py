@@ -14,14 +14,15 @@ import re
 import numpy as np
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+# plain letters; not U+0130, which becomes a letter and a mark in lower case
+_LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
 # White space but for its last character, words, anything else up to white space, that last character.
 PIECE = re.compile(
     f"[{_SPACE}]+(?![^{_SPACE}])| ?[{_LETTER}]+(?![^{_SPACE}.,;:!?])| ?[^{_SPACE}]+|[{_SPACE}]")
 SENTENCE_END = re.compile(f"[.!?][\"')]*$|^[{_SPACE}]*\\n[{_SPACE}]*$")
 # Pieces a worker remembers, and their characters, before it starts anew.
-REMEMBERED = 1_200_000
-REMEMBERED_CHARS = 24_000_000
+REMEMBERED = 600_000
+REMEMBERED_CHARS = 12_000_000
 
 
 class _Numbers(dict):
@@ -44,9 +45,20 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        # literals that the tokenizer takes out of a text before it cuts words
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.literals = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self._forget()
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text; a literal of the tokenizer is a piece, and parts what is before it from what follows."""
+        if self.literals is None or not self.literals.search(text):
+            return PIECE.findall(text)
+        out: list[str] = []
+        for i, part in enumerate(self.literals.split(text)):
+            out += [part] if i % 2 else PIECE.findall(part)
+        return out
+
     def _forget(self) -> None:
         self.known, self.used, self.chars = _Numbers(), 1, 0
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -83,7 +95,7 @@ class PieceEncoder:
         closing = []
         for text in texts:
             if text:
-                pieces += PIECE.findall(text)
+                pieces += self.pieces(text)
             closing.append(len(pieces))
             pieces.append(None)
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
