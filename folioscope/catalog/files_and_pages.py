@@ -12,7 +12,7 @@ from folioscope.functions import paths as pt
 from folioscope.functions import text as tx
 from folioscope.operators import changes as ch
 from folioscope.operators import gates, listing
-from folioscope.operators.parse import index_rows, parse_pages, tag_rows
+from folioscope.operators.parse import index_rows, parse_pages, parse_with, tag_rows
 from folioscope.operators.rows import unnest
 from folioscope.plans import corpus
 from folioscope.session import work_dir, written
@@ -31,13 +31,23 @@ def gated(spark, d):
     return gates.gate(I.sources(spark, d), I.types(spark, d), now(), I.MAX_BYTES)
 
 
-@query("A1_scan_sources", with_("pages_") + """SELECT regexp_extract(path, '[^/]*$') AS name, size
-  FROM pages_ WHERE path LIKE 'sources/%'""")
+FOLDERS = ["sources", "concepts", "entities", "notes/es"]
+# every fiftieth page has a twin with a hidden name
+TWINS = "SELECT regexp_replace(path, '([^/]*)$', '.\\1') AS path, content, size FROM {pages} WHERE doc_id % 50 = 0"
+
+
+@query("A1_scan_sources", with_("pages_") + f"""SELECT regexp_extract(path, '^(.*)/', 1) AS folder, regexp_extract(path, '[^/]*$') AS name, size
+  FROM (SELECT path, size FROM pages_ WHERE contains(path, '/') UNION ALL SELECT path, size FROM ({TWINS.format(pages='pages_')}))""")
 def a1(spark, d):
+    """Four folders, one of them named twice, each listed by its own task."""
     root = work_dir(spark)
-    files.write_pages(I.pages(spark, d).where(F.col("path").startswith("sources/")), root)
-    found = files.scan_sources(spark, [f"{root}/sources", f"{root}/sources/"])
-    return found.select(pt.base_name(F.col("source_path")).alias("name"), "size")
+    pages = I.pages(spark, d).where(F.contains("path", F.lit("/")))
+    hidden = F.concat(F.regexp_extract("path", "^(.*/)", 1), F.lit("."), pt.base_name(F.col("path")))
+    twins = pages.where("doc_id % 50 = 0").withColumn("path", hidden)
+    files.write_pages(pages.unionByName(twins), root)
+    found = files.scan_sources(spark, [f"{root}/{f}" for f in [*FOLDERS, "sources/"]])
+    folder = F.substring(F.col("source_dir"), len(root) + 2, 1000)
+    return found.select(folder.alias("folder"), pt.base_name(F.col("source_path")).alias("name"), "size")
 
 
 @query("A2_type_gate", with_("sources") + """SELECT source_path, CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'md'
@@ -63,6 +73,15 @@ def a5(spark, d):
     return I.documents(spark, d).select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
 
 
+@query("A5_streamed_hash", with_("pages_") + "SELECT path, sha256(content) AS content_hash FROM pages_")
+def a5_streamed(spark, d):
+    """Hashes of files, read piece by piece."""
+    root = work_dir(spark)
+    files.write_pages(I.pages(spark, d), root)
+    found = files.with_hash(files.scan_pages(spark, root).withColumn("source_path", F.concat(F.lit(root + "/"), "path")))
+    return found.select("path", "content_hash")
+
+
 @query("A6_scan_pages", with_("pages_") + "SELECT path, size FROM pages_ WHERE path NOT LIKE 'notes/es/%'")
 def a6(spark, d):
     root = work_dir(spark)
@@ -332,6 +351,25 @@ def b15(spark, d):
     return parsed(spark, d).select("path", F.array_join("warnings", "; ").alias("warnings"))
 
 
+def outline_parser(path, content):
+    """A small dialect: ``key:: value`` lines are fields, and pages without a team are refused."""
+    fields = dict(line.split(":: ", 1) for line in content.split("\n") if line.startswith(("status:: ", "owner:: ")))
+    if fields.get("owner", "team es") == "team es":
+        raise ValueError("no such team")
+    return {"title": "Outline " + fields["status"], "category": "legal" if fields["status"] == "src1" else None, "tags": [fields["owner"], fields["status"], fields["owner"]], "fields": fields}
+
+
+@query("B_custom_parser", with_("pages_") + """SELECT path, 'Outline ' || source AS title, CASE WHEN source = 'src1' THEN 'legal' ELSE '' END AS category,
+    'team ' || lang || ',' || source AS tags, source AS status, CAST(NULL AS VARCHAR) AS message FROM pages_ WHERE path <> '_schema.md' AND lang <> 'es'
+  UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'ValueError: no such team' FROM pages_ WHERE path = '_schema.md' OR lang = 'es'""")
+def b_custom(spark, d):
+    """Pages by a parser of the user; those it fails on are error rows."""
+    good, errors = parse_with(I.pages(spark, d), outline_parser, "outline")
+    none = F.lit(None).cast("string")
+    rows = good.select("path", "title", "category", F.array_join("tags", ",").alias("tags"), F.col("fields")["status"].alias("status"), none.alias("message"))
+    return rows.unionByName(errors.select("path", none.alias("title"), none.alias("category"), none.alias("tags"), none.alias("status"), "message"))
+
+
 @query("B16_slug", """SELECT doc_id, CASE WHEN slug = '' THEN 'src-' || left(sha256(text), 8) ELSE slug END AS slug FROM (
   SELECT doc_id, text, trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_extract(name, '[^/]*$'), '\\.[^.]*$', '')), ' ', '-'),
     '[^\\p{L}\\p{Nd}._-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM (SELECT doc_id, text, text || '.txt' AS name FROM documents))""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.catalog import inputs as I
@@ -262,7 +263,7 @@ def k1(spark, d):
     """A landing folder is drained twice; the second run finds nothing to do."""
     root = work_dir(spark)
     landed(spark, d).write.parquet(f"{root}/landing")
-    store = si.open_store(spark, f"{root}/store", 4)
+    store = si.open_store(spark, f"{root}/store")
     for _ in range(2):
         si.run_ingest(spark, f"{root}/landing", store, I.types(spark, d), I.MODEL, f"{root}/checkpoint", lambda: FIRST)
     return store.read("ledger").select("source_path", "content_hash", "status", "attempts", "wiki_page")
@@ -273,7 +274,7 @@ def k1(spark, d):
 def k2(spark, d):
     """Files that are still settling are taken in by the next run."""
     root = work_dir(spark)
-    store = si.open_store(spark, f"{root}/store", 4)
+    store = si.open_store(spark, f"{root}/store")
     rows, later = landed(spark, d), FIRST + dt.timedelta(hours=1)
     si.ingest_batch(rows, store, I.types(spark, d), I.MODEL, FIRST)
     si.ingest_batch(rows.limit(0), store, I.types(spark, d), I.MODEL, later)
@@ -281,6 +282,29 @@ def k2(spark, d):
     return store.read("ledger").select("source_path", F.when(first, "first").otherwise("second").alias("run"))
 
 
+@query("K1_sweep_then_ingest", PLAN_IN.rstrip().rstrip(",") + f""", won AS (SELECT source_path, content_hash, row_number() OVER (PARTITION BY source_dir ORDER BY source_path) AS nth,
+    count(*) OVER (PARTITION BY source_dir) AS n, CAST(regexp_extract(source_dir, '(\\d+)$', 1) AS INT) AS num, regexp_extract(source_path, 'Doc (\\d+)', 1) AS doc
+  FROM (SELECT *, regexp_extract(source_path, '^(.*)/', 1) AS source_dir FROM ({PLAN})) WHERE action NOT IN ('skipped', 'deferred') OR error = 'exceeds max file size')
+  SELECT source_path, CASE WHEN nth = 1 AND num % 2 = 0 AND n > 1 THEN 'superseded' ELSE 'success' END AS status,
+    CASE WHEN nth = 1 AND num % 2 = 0 AND n > 1 THEN 'sources/_archived/doc-' || doc || '-' || left(content_hash, 8) || '.md' ELSE 'sources/doc-' || doc || '.md' END AS page FROM won""")
+def k1_sweep(spark, d):
+    """Of some folders one file is gone, of one folder two: the second run sweeps before it plans."""
+    root = work_dir(spark)
+    landed(spark, d).write.parquet(f"{root}/landing")
+    store = si.open_store(spark, f"{root}/store")
+    run = lambda **more: si.run_ingest(spark, f"{root}/landing", store, I.types(spark, d), I.MODEL, f"{root}/checkpoint", lambda: FIRST, **more)
+    run()
+    first = store.read("ledger")
+    num = F.regexp_extract("source_dir", r"(\d+)$", 1).cast("int")
+    nth = F.row_number().over(Window.partitionBy("source_dir").orderBy("source_path"))
+    gone = first.select("source_dir", "source_path", num.alias("num"), nth.alias("nth")).where("(nth = 1 and num % 2 = 0) or (nth <= 2 and num = 1)")
+    there = landed(spark, d).select("source_path").join(written(gone, "gone"), "source_path", "left_anti")
+    run(dirs=I.types(spark, d).select("source_dir", F.lit("ok").alias("state")), snapshot=there)
+    pages = store.read("pages").select("path", F.regexp_extract("path", r"doc-(\d+)", 1).alias("doc"))
+    return store.read("ledger").select("source_path", "status", F.regexp_extract("source_path", r"Doc (\d+)", 1).alias("doc")).join(pages, "doc").select(
+        "source_path", "status", F.col("path").alias("page"))
+
+
 def failing(where: str, kind: str):
     """A digest function that fails with ``kind`` for the files of one folder."""
     def digest(batch):
@@ -292,7 +316,7 @@ def failing(where: str, kind: str):
 
 def runs(spark, d, *steps):
     """The ledger after runs with ``(model, digest function)`` each; files land with the first."""
-    store = si.open_store(spark, f"{work_dir(spark)}/store", 4)
+    store = si.open_store(spark, f"{work_dir(spark)}/store")
     rows, later = landed(spark, d), FIRST + dt.timedelta(hours=1)
     for i, (model, fn) in enumerate(steps):
         si.ingest_batch(rows if i == 0 else rows.limit(0), store, I.types(spark, d), model, later, i, fn=fn)
@@ -396,3 +420,35 @@ def k5(spark, d):
         "ts", F.col("ts").cast("timestamp"))
     rows = rollup.run_rollup(spark, stream, "ts", "event_type", f"{root}/out", f"{root}/checkpoint")
     return rows.select("kind", F.unix_seconds("window_start").alias("window_start"), "n")
+
+
+# three files land one after another; windows are closed a week after they end
+LATE = """WITH e AS (SELECT event_id, event_type AS kind, epoch(ts) AS t, CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS window_start, event_id % 3 AS b FROM events),
+  h AS (SELECT b, max(max(t)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 604800 AS horizon FROM e GROUP BY b),
+  r AS (SELECT e.*, coalesce(window_start + 604800 <= horizon, false) AS late FROM e JOIN h USING (b))"""
+
+
+def member_rollup(spark, d):
+    root, e = work_dir(spark), I.table(spark, d, "events")
+    for b in range(3):
+        e.where(F.col("event_id") % 3 == b).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rollup.run_member_rollup(spark, stream, "ts", "event_type", "event_id", f"{root}/out", f"{root}/checkpoint")
+
+
+@query("K5_window_members", LATE + " SELECT kind, window_start, event_id AS member FROM r WHERE NOT late")
+def k5_members(spark, d):
+    """What each window holds."""
+    members = member_rollup(spark, d)[0]
+    return members.select("kind", F.unix_seconds("window_start").alias("window_start"), "member")
+
+
+@query("K5_on_time_and_late", LATE + """ SELECT kind, window_start, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS n_late,
+  (SELECT count(*) FROM events) AS n_all FROM r GROUP BY kind, window_start""")
+def k5_late(spark, d):
+    """On-time and late rows of each window; together they are all rows."""
+    members, late = member_rollup(spark, d)
+    both = members.select("kind", "window_start", F.lit(0).alias("l")).unionByName(late.select("kind", "window_start", F.lit(1).alias("l")))
+    counts = both.groupBy("kind", "window_start").agg(F.count_if(F.col("l") == 0).alias("n"), F.count_if(F.col("l") == 1).alias("n_late"))
+    total = both.agg(F.count(F.lit(1)).alias("n_all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("kind", F.unix_seconds("window_start").alias("window_start"), "n", "n_late", "n_all")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.catalog import inputs as I
+from folioscope.catalog.files_and_pages import FOLDERS as PAGE_FOLDERS
 from folioscope.catalog.files_and_pages import GATED, gated, now
 from folioscope.catalog.inputs import with_
 from folioscope.catalog.registry import query
+from folioscope.functions import paths as pt
 from folioscope.functions import text as tx
 from folioscope.operators import changes as ch
 from folioscope.operators import ledger as lg_
 from folioscope.operators import linkgraph as lg
-from folioscope.operators.parse import link_rows, parse_pages, tag_rows
+from folioscope.operators import linkindex as li
+from folioscope.operators.parse import index_rows, link_rows, parse_pages, tag_rows
 from folioscope.operators.search import corpus_stats, search_text
 from folioscope.operators.vectors import count_by_model, stale_pages
 from folioscope.plans import corpus, embed, ingest, responses
-from folioscope.session import written
+from folioscope.session import work_dir, written
+from folioscope.sources import files
 
 FULL = with_("pages_", "parsed", "links", "tags", "resolved")
 
@@ -109,6 +115,38 @@ def c8(spark, d):
     return lg.orphan_pages(link_rows(parsed), small(parsed))
 
 
+def kept_links(spark, d):
+    """Links of an older corpus, brought up to date by a batch of changes: pages are new, gone, or link elsewhere."""
+    now_ = written(parse_pages(I.pages(spark, d)).select("path", "type", "links"), "linked")
+    kind = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(8))
+    other = F.array(F.lit("Topic of old"), F.concat(F.lit("doc-"), F.length("path").cast("string")))
+    older = now_.where(kind > 0).withColumn("links", F.when(kind == 1, other).otherwise(F.col("links")))
+    gone = now_.where(kind == 2).select(F.concat(F.lit("gone/Copy-"), pt.base_name(F.col("path"))).alias("path"), "type", "links")
+    shadow = now_.where(kind == 3).select(F.concat(F.lit("aside/"), pt.base_name(F.col("path"))).alias("path"), "type", "links")
+    index = li.LinkIndex(spark, f"{work_dir(spark)}/links")
+    upsert, delete = F.lit("upsert").alias("op"), F.lit("delete").alias("op")
+    index.apply(older.unionByName(gone).unionByName(shadow).select("*", upsert), 0)
+    index.apply(now_.where(kind < 2).select("*", upsert).unionByName(gone.unionByName(shadow).select("*", delete)), 1)
+    return index
+
+
+@query("C6_kept_resolution", FULL + "SELECT link, target FROM resolved WHERE target IS NOT NULL")
+def c6_kept(spark, d):
+    """Resolution after a batch of changes, of the texts there are."""
+    index = kept_links(spark, d)
+    return index.resolved().join(index.links().select("link").distinct(), "link", "left_semi")
+
+
+@query("C7_kept_broken_links", FULL + BROKEN)
+def c7_kept(spark, d):
+    return kept_links(spark, d).broken()
+
+
+@query("C8_kept_orphans", FULL + ORPHANS)
+def c8_kept(spark, d):
+    return kept_links(spark, d).orphans()
+
+
 SNAPSHOT = """SELECT source_dir, source_path FROM {sources} WHERE lang <> 'es' AND source_path NOT LIKE '%0.txt'"""
 
 
@@ -265,6 +303,26 @@ def d10(spark, d):
         F.count(F.lit(1)).alias("n_pages"), F.count_if(recent).alias("n_recent"))
 
 
+LISTED = """SELECT 'index' AS listing, path, title FROM parsed WHERE path NOT IN ('_schema.md', '_index.md')
+  UNION ALL SELECT 'digest', path, title FROM parsed WHERE path LIKE 'sources/%' AND (1709251200 - epoch(indexed_at)) < 604800"""
+
+
+def listings(spark, d):
+    pages = index_rows(I.pages(spark, d)).select("path", "title", "indexed_at")
+    return corpus.listings(pages, now())
+
+
+@query("D10_listing_counts", FULL + f"SELECT listing, count(*) AS n FROM ({LISTED}) GROUP BY listing")
+def d10_counts(spark, d):
+    return listings(spark, d)[0]
+
+
+@query("D10_listing_members", FULL + f"SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY path) AS nth, path, title FROM ({LISTED})")
+def d10_members(spark, d):
+    """Members of the index and of the summary, in order."""
+    return listings(spark, d)[1]
+
+
 @query("D11_consistency_counts", with_("pages_") + f"""SELECT count(*) FILTER (WHERE change = 'added') AS added,
   count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'updated') AS updated FROM ({CHANGES})""")
 def d11(spark, d):
@@ -345,19 +403,24 @@ def e6(spark, d):
 
 # --- set operations --------------------------------------------------------
 
-@query("H1_union_of_folders", with_("sources") + "SELECT source_dir, count(*) AS n FROM sources GROUP BY source_dir")
+@query("H1_union_of_folders", with_("pages_") + "SELECT regexp_extract(path, '^(.*)/', 1) AS folder, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM pages_ WHERE contains(path, '/') GROUP BY 1")
 def h1(spark, d):
-    src = I.sources(spark, d).select("source_dir", "source_path", "lang")
-    parts = [src.where(F.col("lang") == lang) for lang in ("en", "fr", "de", "es")]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    return both.groupBy("source_dir").agg(F.count(F.lit(1)).alias("n"))
+    """The union of one scan for each folder."""
+    root = work_dir(spark)
+    files.write_pages(I.pages(spark, d), root)
+    scans = [files.scan_sources(spark, [f"{root}/{f}"]) for f in PAGE_FOLDERS]
+    whole = functools.reduce(lambda a, b: a.unionByName(b), scans)
+    folder = F.substring(F.col("source_dir"), len(root) + 2, 1000)
+    return whole.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("H2_union_of_issues", FULL + f"SELECT path, kind, message FROM ({ISSUES})")
+@query("H2_union_of_issues", FULL + f"""SELECT kind, message, count(*) AS n, min(path) AS first FROM (SELECT path, kind, message FROM ({ISSUES})
+    UNION ALL SELECT path, 'parse', 'read: denied' FROM pages_ WHERE doc_id % 97 = 0) GROUP BY kind, message""")
 def h2(spark, d):
-    return corpus.lint(stored_parse(spark, d))
+    """Issues of all four kinds, pages that could not be read among them, by message."""
+    errors = I.pages(spark, d).where("doc_id % 97 = 0").select("path", F.lit("read: denied").alias("message"))
+    issues = corpus.lint(stored_parse(spark, d), errors)
+    return issues.groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
 
 
 @query("H3_removed_pages", with_("pages_") + f"""SELECT path FROM ({INDEXED.format(pages='pages_')}) EXCEPT SELECT path FROM pages_""")

@@ -17,23 +17,30 @@ def member_line(path, title):
     return F.concat(F.lit("- [["), link, F.lit("|"), title, F.lit("]]\n"))
 
 
-def assemble(heads: DataFrame, lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """``(path, part, content)``: each head followed by its lines in order.
+def numbered(lines: DataFrame) -> DataFrame:
+    """``path, sort_key, line`` with ``number``, a line's place in its list from 0.
 
-    ``heads`` has ``path, head``; ``lines`` has ``path, sort_key, line``.  A page is its
-    rows in order of ``part``: lines ``part * lines_per_part`` and on, the head before those of
-    part 0.  A page without lines has no row.  Lines are numbered by one distributed sort: each task numbers
-    what it holds of a page, and starts where the tasks before it ended.  So parts depend on the
-    order alone, and no task or cell holds a whole list.
+    Lines are numbered by one distributed sort: each task numbers what it holds of a list, and starts where
+    the tasks before it ended.
     """
     ranged = lines.select("path", "sort_key", "line").repartitionByRange("path", "sort_key").sortWithinPartitions("path", "sort_key", "line")
     stored = written(ranged.withColumns({"_task": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "lines")
     held = stored.groupBy("path", "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("path").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of a page
     starts = held.select("path", "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    part = F.floor((F.col("_id") + F.col("_shift")) / lines_per_part)
-    numbered = stored.join(starts, ["path", "_task"]).select("path", part.alias("part"), "_id", "line")
-    entries = F.array_sort(F.collect_list(F.struct("_id", "line")))
-    text = numbered.groupBy("path", "part").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "").alias("lines"))
+    return stored.join(starts, ["path", "_task"]).select("path", "sort_key", "line", (F.col("_id") + F.col("_shift")).alias("number"))
+
+
+def assemble(heads: DataFrame, lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """``(path, part, content)``: each head followed by its lines in order.
+
+    ``heads`` has ``path, head``; ``lines`` has ``path, sort_key, line``.  A page is its
+    rows in order of ``part``: lines ``part * lines_per_part`` and on, the head before those of
+    part 0.  A page without lines has no row.  Parts depend on the
+    order alone, and no task or cell holds a whole list.
+    """
+    rows = numbered(lines).select("path", F.floor(F.col("number") / lines_per_part).alias("part"), "number", "line")
+    entries = F.array_sort(F.collect_list(F.struct("number", "line")))
+    text = rows.groupBy("path", "part").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "").alias("lines"))
     first = heads.select("path", "head", F.lit(0).cast("bigint").alias("part"))
     return text.join(first, ["path", "part"], "left").select("path", "part", F.concat(F.coalesce("head", F.lit("")), "lines").alias("content"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import header as hd
 from folioscope.functions import paths as pt
 from folioscope.operators import linkgraph as lg
-from folioscope.operators.assemble import LINES_PER_PART, assemble, member_line
+from folioscope.operators.assemble import LINES_PER_PART, assemble, member_line, numbered
 from folioscope.operators.changes import apply_changes, change_class
 from folioscope.operators.parse import index_rows, link_rows, parse_pages, tag_rows
 from folioscope.operators.rows import unnest
@@ -155,8 +155,32 @@ def synthesize(parsed: DataFrame, today: str, lines_per_part: int = LINES_PER_PA
     return assemble(heads, lines, lines_per_part)
 
 
+def indexed_members(pages: DataFrame) -> DataFrame:
+    """Pages that the index page lists: all but the two special ones."""
+    return pages.where(~F.col("path").isin(pt.SCHEMA_PAGE, pt.INDEX_PAGE))
+
+
+def recent_members(pages: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Sources indexed in the last ``days``, which the summary page lists."""
+    age = F.unix_micros(now) - F.unix_micros("indexed_at")
+    return pages.where(F.col("path").startswith("sources/") & (age < days * 86_400_000_000))
+
+
+def listings(pages: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``(counts, members)`` of both generated lists: ``(listing, n)`` and ``(listing, nth, path, title)`` in path order.
+
+    Members are rows, numbered by one distributed sort; no cell holds a list.
+    """
+    both = indexed_members(pages).select(F.lit("index").alias("path"), F.col("path").alias("sort_key"), lg.display_title().alias("line")).unionByName(
+        recent_members(pages, now, days).select(F.lit("digest").alias("path"), F.col("path").alias("sort_key"), lg.display_title().alias("line")))
+    rows = numbered(both)
+    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select(F.col("path").alias("listing"), "n")
+    return counts, rows.select(F.col("path").alias("listing"), (F.col("number") + 1).alias("nth"), F.col("sort_key").alias("path"), F.col("line").alias("title"))
+
+
 def page_list(members: DataFrame, target: str, head: Column, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """One generated page that lists ``members`` ``(path, title)`` in path order."""
+    """One generated page that lists ``members`` ``(path, title)`` in path order; they are read once."""
+    members = written(members.select("path", "title"), "members")
     lines = members.select(
         F.lit(target).alias("path"), F.col("path").alias("sort_key"),
         member_line(F.col("path"), lg.display_title()).alias("line"))
@@ -168,8 +192,7 @@ def page_list(members: DataFrame, target: str, head: Column, lines_per_part: int
 def digest_recent(pages: DataFrame, now: Column, today: str, days: int = 7,
                   lines_per_part: int = LINES_PER_PART) -> DataFrame:
     """The summary page of sources indexed in the last ``days``; none, no page."""
-    age = F.unix_micros(now) - F.unix_micros("indexed_at")
-    recent = pages.where(F.col("path").startswith("sources/") & (age < days * 86_400_000_000))
+    recent = recent_members(pages, now, days)
     head = F.concat(
         F.lit(f"---\ntitle: Weekly Digest {today}\ntype: synthesis\ngenerated_at: {today}\n---\n\n"
               f"# Weekly Digest — {today}\n\n_Recent {days} day(s), "),
@@ -182,7 +205,7 @@ def build_index_page(pages: DataFrame, today: str, lines_per_part: int = LINES_P
 
     An empty corpus gives a page without entries.
     """
-    listed = pages.where(~F.col("path").isin(pt.SCHEMA_PAGE, pt.INDEX_PAGE))
+    listed = written(indexed_members(pages).select("path", "title"), "listed")
     head = F.concat(
         F.lit(f"---\ntitle: Index\ntype: index\n---\n\n# Wiki Index\n\n_Generated {today}. "),
         F.col("_rows").cast("string"), F.lit(" pages._\n\n"))

@@ -1,12 +1,12 @@
 """Folders of files as tables.
 
 Spark's own file index hides names that start with ``_`` or ``.`` and follows
-links, so mounted folders are listed by tasks.  Other file systems are read
-through the binary file source.
+links, so folders are listed by tasks: mounted ones directly, URIs through the client of their file system.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator, Sequence
 
@@ -15,59 +15,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions import paths as pt
+from folioscope.session import written
 
 LISTED = "source_dir string, source_path string, size long, mtime timestamp, error string"
-FOUND = "path string, size long, mtime timestamp"
 
 
 def _when(seconds: float) -> pd.Timestamp:
     return pd.Timestamp(seconds, unit="s").floor("us")
 
 
-def _is_uri(folder: str) -> bool:
-    return "://" in folder
+def _local(folder: str) -> str | None:
+    """The mounted path of a folder, or None where only a file system client reaches it."""
+    if "://" not in folder and not folder.startswith("file:"):
+        return folder
+    return "/" + folder.split(":", 1)[1].lstrip("/") if folder.startswith("file:") else None
+
+
+def _remote(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def _children(folder: str) -> Iterator[tuple[str, bool, int, pd.Timestamp]]:
+    """``(name, is_folder, size, mtime)`` of what lies directly in a folder, links left out, names of any form."""
+    mounted = _local(folder)
+    if mounted is not None:
+        with os.scandir(mounted) as entries:
+            for e in entries:
+                if e.is_symlink():
+                    continue
+                stat = e.stat(follow_symlinks=False)
+                yield e.name, e.is_dir(follow_symlinks=False), stat.st_size, _when(stat.st_mtime)
+        return
+    from pyarrow import fs
+
+    client, path = _remote(folder)
+    if client.get_file_info(path).type == fs.FileType.NotFound:
+        raise FileNotFoundError(2, "No such file or directory", folder)
+    for info in client.get_file_info(fs.FileSelector(path)):
+        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, _when((info.mtime_ns or 0) / 1e9)
+
+
+def _reader(path: str):
+    """An open stream over a file of a mounted or a remote folder."""
+    mounted = _local(path)
+    if mounted is not None:
+        return open(mounted, "rb")
+    client, name = _remote(path)
+    return client.open_input_stream(name)
 
 
 def scan_sources(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
     """Plain files directly in each folder; one error row per unreadable folder.
 
     ``source_dir, source_path, size, mtime, error``.  A folder named twice is
-    listed once; each is listed by its own task.
+    listed once; each is listed by its own task, be it mounted or a URI.
     """
     distinct = list(dict.fromkeys(f.rstrip("/") or "/" for f in folders))
-    mounted = [f for f in distinct if not _is_uri(f)]
-    remote = [f for f in distinct if _is_uri(f)]
+    columns = ["source_dir", "source_path", "size", "mtime", "error"]
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for folder in frame["source_dir"]:
                 rows = []
                 try:
-                    with os.scandir(folder) as entries:
-                        for e in entries:
-                            if e.is_symlink() or e.is_dir(follow_symlinks=False):
-                                continue
-                            stat = e.stat(follow_symlinks=False)
-                            rows.append((folder, os.path.join(folder, e.name), stat.st_size, _when(stat.st_mtime), None))
-                            if len(rows) == 10_000:
-                                yield pd.DataFrame(rows, columns=["source_dir", "source_path", "size", "mtime", "error"])
-                                rows = []
+                    for name, is_dir, size, mtime in _children(folder):
+                        if is_dir:
+                            continue
+                        rows.append((folder, f"{folder.rstrip('/')}/{name}", size, mtime, None))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
                 except OSError as exc:
                     kind = "missing" if isinstance(exc, FileNotFoundError) else "error"
                     rows.append((folder, None, None, pd.NaT, f"{kind}: {exc.strerror}"))
-                yield pd.DataFrame(rows, columns=["source_dir", "source_path", "size", "mtime", "error"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    out = spark.createDataFrame([], LISTED)
-    if mounted:
-        out = spark.createDataFrame([(f,) for f in mounted], "source_dir string").repartition(
-            len(mounted)).mapInPandas(listing, LISTED)
-    for folder in remote:
-        files = spark.read.format("binaryFile").load(folder)
-        out = out.unionByName(files.select(
-            F.lit(folder).alias("source_dir"), F.col("path").alias("source_path"), F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"), F.lit(None).cast("string").alias("error")))
-    return out
+    if not distinct:
+        return spark.createDataFrame([], LISTED)
+    return spark.createDataFrame([(f,) for f in distinct], "source_dir string").repartition(len(distinct)).mapInPandas(listing, LISTED)
 
 
 def folder_states(listing: DataFrame) -> DataFrame:
@@ -90,7 +117,7 @@ def with_content(rows: DataFrame, path: str = "source_path") -> DataFrame:
             for i in range(len(frame)):  # one file per batch: files may be large
                 part = frame.iloc[[i]].copy()
                 try:
-                    with open(part[path].iloc[0], "rb") as f:
+                    with _reader(part[path].iloc[0]) as f:
                         data = f.read()
                 except OSError:
                     data = None
@@ -100,69 +127,82 @@ def with_content(rows: DataFrame, path: str = "source_path") -> DataFrame:
     return rows.mapInPandas(read, schema)
 
 
+def with_hash(rows: DataFrame, path: str = "source_path", chunk: int = 1 << 20) -> DataFrame:
+    """Add ``content_hash``, read ``chunk`` bytes at a time: no task holds a whole file.  Null if the file is gone."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("content_hash", T.StringType())])
+
+    def digest(name: str) -> str | None:
+        running = hashlib.sha256()
+        try:
+            with _reader(name) as f:
+                while part := f.read(chunk):
+                    running.update(part)
+        except OSError:
+            return None
+        return running.hexdigest()
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield frame.assign(content_hash=pd.Series([digest(p) for p in frame[path]], index=frame.index, dtype=object))[[f.name for f in schema.fields]]
+
+    return rows.mapInPandas(hashed, schema)
+
+
 def scan_pages(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Markdown files below ``root`` as ``path, size, mtime`` (paths are relative).
 
-    Excluded folders are not entered.  Each folder at the top is walked by its
-    own task.
+    Folders are listed level by level: those found on one level are dealt to all tasks on the
+    next, so a deep or lopsided tree is no task's own.  Excluded folders are not entered.
     """
-    if _is_uri(root):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-            "pathGlobFilter", "*.[mM][dD]").load(root)
-        lead = root.rstrip("/") + "/"
-        rel = F.substring(F.col("path"), F.locate(lead, F.col("path")) + len(lead), 2**31 - 1)
-        rows = files.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-        return rows.where(~pt.excluded(F.col("path"), exclude))
-
     hidden = [e.rstrip("/") for e in exclude]
 
     def kept(rel: str) -> bool:
         return not any(rel == h or rel.startswith(h + "/") for h in hidden)
 
-    def walk(top: str, deep: bool) -> Iterator[tuple]:
-        stack = [top]
-        while stack:
-            here = stack.pop()
-            with os.scandir(os.path.join(root, here)) as entries:
-                for e in entries:
-                    rel = f"{here}/{e.name}" if here else e.name
-                    if e.is_symlink() or not kept(rel):
-                        continue
-                    if e.is_dir(follow_symlinks=False):
-                        if deep:
-                            stack.append(rel)
-                    elif e.name.lower().endswith(".md"):
-                        stat = e.stat(follow_symlinks=False)
-                        yield rel, stat.st_size, _when(stat.st_mtime)
-
-    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for _ in range(len(frame)):
-                names = [e.name for e in os.scandir(root)
-                         if e.is_dir(follow_symlinks=False) and not e.is_symlink() and kept(e.name)]
-                yield pd.DataFrame({"top": ["", *names]})
-
-    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for top in frame["top"]:
-                yield pd.DataFrame(list(walk(top, deep=top != "")), columns=["path", "size", "mtime"])
-
-    folders = spark.range(1).mapInPandas(tops, "top string")
-    cores = spark.sparkContext.defaultParallelism
-    return folders.repartition(cores).mapInPandas(walked, FOUND)
+            for here in frame["folder"]:
+                rows = []
+                for name, is_dir, size, mtime in _children(f"{root.rstrip('/')}/{here}" if here else root):
+                    rel = f"{here}/{name}" if here else name
+                    if kept(rel) and (is_dir or name.lower().endswith(".md")):
+                        rows.append((rel, is_dir, size, mtime))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime"])
+
+    frontier, n, files, depth = spark.createDataFrame([("",)], "folder string"), 1, None, 0
+    while n:
+        tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+        listed = written(frontier.repartition(tasks).mapInPandas(level, "path string, is_dir boolean, size long, mtime timestamp"), f"level-{depth}")
+        found = listed.where(~F.col("is_dir")).select("path", "size", "mtime")
+        files = found if files is None else files.unionByName(found)
+        frontier, depth = listed.where("is_dir").select(F.col("path").alias("folder")), depth + 1
+        n = frontier.count()
+    return files
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
-    """Each page as a file below ``root`` (a mounted folder), written by tasks."""
+    """Each page as a file below ``root``, written by tasks."""
+    def put(target: str, data: bytes) -> None:
+        mounted = _local(target)
+        if mounted is None:
+            client, name = _remote(target)
+            client.create_dir(os.path.dirname(name), recursive=True)
+            with client.open_output_stream(name) as f:
+                f.write(data)
+            return
+        os.makedirs(os.path.dirname(mounted), exist_ok=True)
+        draft = f"{mounted}.{os.getpid()}.tmp"
+        with open(draft, "wb") as f:
+            f.write(data)
+        os.replace(draft, mounted)  # a repeated task leaves one whole file
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
-                target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                draft = f"{target}.{os.getpid()}.tmp"
-                with open(draft, "w", encoding="utf-8", newline="") as f:
-                    f.write(content)
-                os.replace(draft, target)  # a repeated task leaves one whole file
+                put(f"{root.rstrip('/')}/{path}", content.encode("utf-8"))
             yield pd.DataFrame({"n": [len(frame)]})
 
     pages.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()

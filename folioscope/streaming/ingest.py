@@ -7,104 +7,145 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope import schemas
 from folioscope.functions import text as tx
 from folioscope.operators import gates
-from folioscope.operators.changes import apply_changes, last_changes
+from folioscope.operators.changes import latest_per_key
+from folioscope.operators.ledger import KEY
 from folioscope.plans import ingest
 from folioscope.session import written
-from folioscope.sources.snapshots import SnapshotStore
+from folioscope.sources.runs import RunStore
 
-TABLES = {
-    "ledger": (schemas.LEDGER, "source_path"),
-    "pages": (schemas.PAGES, "path"),
-    "pending": (schemas.SOURCES, "source_path"),
-}
+
+def _with(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more]])
 
 
-def open_store(spark: SparkSession, root: str, buckets: int = 16) -> SnapshotStore:
-    return SnapshotStore(spark, root, TABLES, buckets)
+# a file that waits is known by name, size, time and hash; its bytes lie with the run that first saw them
+PENDING = T.StructType([*[f for f in schemas.SOURCES.fields if f.name != "content"], T.StructField("content_hash", T.StringType()),
+                        T.StructField("seen_in", T.IntegerType()), T.StructField("settled", T.BooleanType())])
+TABLES = {
+    "ledger": (schemas.LEDGER, KEY, None),
+    "pages": (_with(schemas.PAGES, ("removed", T.BooleanType())), ["path"], "removed"),
+    "pending": (PENDING, ["source_path"], "settled"),
+    "contents": (schemas.SOURCES, ["source_path"], None),
+}
 
 
-def newest_seen(seen: DataFrame) -> DataFrame:
-    """The newest observation of each file; the content of equally new ones is told apart by its hash."""
-    tie = F.struct("mtime", F.xxhash64("content"))
-    return last_changes(seen.withColumn("_order", tie), ["source_path"], "_order").drop("_order").dropDuplicates(["source_path"])
+def open_store(spark: SparkSession, root: str) -> RunStore:
+    return RunStore(spark, root, TABLES)
 
 
 # what a later run may decide otherwise: it waits for time, for its turn, for another try or another model
 OPEN = ("deferred", "not-examined", "digest", "already-refused", "exhausted")
 
 
+def _observed(batch: DataFrame, waiting: DataFrame, number: int) -> DataFrame:
+    """The newest observation of each file, without its bytes; of equally new ones the one of the greatest hash."""
+    names = ["source_dir", "source_path", "size", "mtime"]
+    new = batch.select(*names, F.lit(None).cast("string").alias("content_hash"), F.lit(number).alias("seen_in"), F.xxhash64("content").alias("_tie"))
+    old = waiting.select(*names, "content_hash", "seen_in", F.lit(None).cast("long").alias("_tie"))
+    order = F.struct("mtime", "seen_in", "_tie")
+    return latest_per_key(new.unionByName(old).withColumn("_order", order), ["source_path"], "_order").drop("_order")
+
+
+def _contents(batch: DataFrame, store: RunStore, wanted: DataFrame, number: int) -> DataFrame:
+    """``wanted`` (observations) with their bytes: from the batch, or from the runs that first saw them."""
+    here = batch.select("source_path", "mtime", "content", F.xxhash64("content").alias("_tie")).dropDuplicates(["source_path", "mtime", "_tie"])
+    new = wanted.where(F.col("seen_in") == number).join(here, (wanted["source_path"] == here["source_path"]) & wanted["mtime"].eqNullSafe(here["mtime"]) & wanted["_tie"].eqNullSafe(here["_tie"])).select(
+        *[wanted[c] for c in wanted.columns], "content")
+    # at most one number a run
+    runs = [r[0] for r in wanted.where(F.col("seen_in") != number).select("seen_in").distinct().collect()]
+    kept = store.rows("contents", runs).select("source_path", F.col("run").alias("seen_in"), "content")
+    return new.unionByName(wanted.where(F.col("seen_in") != number).join(kept, ["source_path", "seen_in"]).select(*wanted.columns, "content"))
+
+
 def ingest_batch(
-    batch: DataFrame, store: SnapshotStore, types: DataFrame, model: str, now: dt.datetime,
+    batch: DataFrame, store: RunStore, types: DataFrame, model: str, now: dt.datetime,
     batch_id: int | None = None, origin: str = "scheduled", limit: int = 0,
     fn: Callable | None = None, schema_text: str = "",
 ) -> None:
-    """One run: plan, digest, record, and publish all three tables together.
+    """One run: plan, digest, record; its rows are appended and appear together.
 
     Files whose outcome may still change wait in ``pending`` and are planned again by every run: those still
     settling or not reached, those that failed or were refused, and those out of attempts (another model may
-    take them).  Names, sizes and times decide first; only what passes is hashed, and
-    only what may be needed again is stored.  A batch at or below the last published one is skipped: a replay
+    take them).  Names, sizes and times decide first; only what passes is hashed, once, and
+    bytes are read again only to be digested.  A batch at or below the last finished one is skipped: a replay
     after a lost driver must not spend a second attempt on a failing file.
     """
-    manifest = store.manifest()
-    if batch_id is not None and batch_id <= manifest["info"].get("batch_id", -1):
+    if batch_id is not None and batch_id <= store.info().get("batch_id", -1):
         return
+    number = (store.runs() or [0])[-1] + 1
     at = F.lit(now).cast("timestamp")
-    ledger, pages = store.read("ledger", manifest=manifest), store.read("pages", manifest=manifest)
-    columns = [f.name for f in schemas.SOURCES.fields]
-    seen = store.read("pending", manifest=manifest).unionByName(batch.select(*columns))
-    # several observations of one file: the newest stands
-    gated = gates.gate(newest_seen(seen), types, at)
-    passed = F.col("gate") == "pass"
-    sources = written(gated.select(
-        *[c for c in columns if c != "content"], F.when(F.col("gate") != "skipped", F.col("content")).alias("content"),
-        F.when(passed, tx.content_hash(F.col("content"))).alias("content_hash")), "sources")
+    batch = batch.select(*[f.name for f in schemas.SOURCES.fields])
+    seen = written(gates.gate(_observed(batch, store.read("pending"), number), types, at), "seen")
+    unread = seen.where((F.col("gate") == "pass") & F.col("content_hash").isNull()).select("source_path", "seen_in", "mtime", "_tie")
+    hashes = written(_contents(batch, store, unread, number).select("source_path", tx.content_hash(F.col("content")).alias("_hash")), "hashes")
+    sources = written(seen.join(hashes, "source_path", "left").withColumn("content_hash", F.coalesce("content_hash", "_hash")).drop("_hash"), "sources")
+    # the ledger rows of these files; names of pages are checked against all
+    ledger, pages = store.read("ledger"), store.read("pages")
     plan = written(
-        ingest.plan_ingest(sources.drop("content"), types, ledger, pages, model, at, limit), "plan")
-    todo = plan.where(F.col("action") == "digest").select("source_path", "content_hash").join(
-        sources, ["source_path", "content_hash"])
-    results = written(ingest.digest_sources(todo, fn, schema_text=schema_text), "results")
+        ingest.plan_ingest(sources.drop("seen_in", "_tie"), types, ledger.join(sources.select("source_path"), "source_path", "left_semi"), pages, model, at, limit), "plan")
+    todo = plan.where(F.col("action") == "digest").select(*KEY).join(sources.select("source_path", "content_hash", "source_dir", "size", "mtime", "seen_in", "_tie"), KEY)
+    results = written(ingest.digest_sources(_contents(batch, store, todo, number).drop("seen_in", "_tie"), fn, schema_text=schema_text), "results")
     done = written(ingest.outcomes(plan, results, ledger), "outcomes")
 
     new_rows = ingest.ledger_rows(done, model, origin, at)
-    new_pages = ingest.new_pages(done, at)
     won = done.where(F.col("error_class").isNull()).select("source_path")
-    waiting = plan.where(F.col("action").isin(*OPEN)).select("source_path").join(won, "source_path", "left_anti").join(
-        sources, "source_path").select(*columns)
-
-    lb, pb = store.touched("ledger", new_rows), store.touched("pages", new_pages.select("path"))
-    ops = new_pages.select("*", F.lit("upsert").alias("op"), F.lit(1).alias("seq"))
-    store.commit(
-        {
-            "ledger": (ingest.merge_ledger(store.read("ledger", lb, manifest), new_rows), lb),
-            "pages": (apply_changes(store.read("pages", pb, manifest), ops, unique=True), pb),
-            "pending": (waiting, None),
-        },
-        info={"now": now.isoformat()} | ({} if batch_id is None else {"batch_id": batch_id}),
-        based_on=manifest,
-    )
+    mine = ledger.join(won, "source_path", "left_semi")
+    aged = mine.where(F.col("status") == "success").join(new_rows.select(*KEY), KEY, "left_anti").withColumn("status", F.lit("superseded"))
+    waits = plan.where(F.col("action").isin(*OPEN)).select("source_path").join(won, "source_path", "left_anti")
+    open_ = sources.join(waits, "source_path", "left_semi")
+    settled = store.read("pending").join(waits, "source_path", "left_anti")
+    first_seen = open_.where(F.col("seen_in") == number)
+    names = [f.name for f in PENDING.fields if f.name != "settled"]
+    # what waits as before is not written again
+    fresh = open_.select(*names).exceptAll(store.read("pending").select(*names))
+    store.append({
+        "contents": _contents(batch, store, first_seen.select("source_dir", "source_path", "size", "mtime", "seen_in", "_tie"), number),
+        "ledger": new_rows.unionByName(aged.select(*new_rows.columns)),
+        "pages": ingest.new_pages(done, at).withColumn("removed", F.lit(False)),
+        "pending": fresh.withColumn("settled", F.lit(False)).unionByName(settled.select(*names).withColumn("settled", F.lit(True))),
+    }, info={"now": now.isoformat()} | ({} if batch_id is None else {"batch_id": batch_id}))
+
+
+def sweep(store: RunStore, dirs: DataFrame, snapshot: DataFrame) -> None:
+    """A run of its own: archive the pages of files that are gone (``ingest.sweep_orphans``), before what is there is planned."""
+    ledger, pages = store.read("ledger"), store.read("pages")
+    found = written(ingest.sweep_orphans(ledger, dirs, snapshot, pages.select("path")), "swept")
+    acted = found.where(F.col("action") == "archived")
+    rows = ledger.join(acted.select(F.col("path").alias("source_path"), "content_hash"), KEY, "left_semi").withColumn("status", F.lit("superseded"))
+    target = acted.groupBy(F.col("wiki_page").alias("path")).agg(F.min("archived_page").alias("_to"))
+    moved = pages.join(target, "path")
+    away = moved.drop("_to").withColumn("removed", F.lit(True))
+    put = moved.withColumn("path", F.col("_to")).drop("_to").withColumn("removed", F.lit(False))
+    store.append({"ledger": rows, "pages": away.unionByName(put.select(*away.columns))})
 
 
 def run_ingest(
-    spark: SparkSession, landing: str, store: SnapshotStore, types: DataFrame, model: str, checkpoint: str,
+    spark: SparkSession, landing: str, store: RunStore, types: DataFrame, model: str, checkpoint: str,
     now: Callable[[], dt.datetime], fn: Callable | None = None, limit: int = 0, files_per_batch: int | None = None,
+    schema_text: str = "", dirs: DataFrame | None = None, snapshot: DataFrame | None = None,
 ) -> None:
-    """Take in everything that has landed since the last call, and what is pending, then stop."""
+    """Sweep, then take in everything that has landed since the last call, and what is pending, then stop.
+
+    ``dirs`` and ``snapshot`` tell what the source folders hold now; without them nothing is swept.
+    """
+    if dirs is not None and snapshot is not None:
+        sweep(store, dirs, snapshot)
     reader = spark.readStream.schema(schemas.SOURCES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     query = (
         reader.parquet(landing).writeStream
-        .foreachBatch(lambda df, i: ingest_batch(df, store, types, model, now(), i, "scheduled", limit, fn))
+        .foreachBatch(lambda df, i: ingest_batch(df, store, types, model, now(), i, "scheduled", limit, fn, schema_text))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    before = store.manifest()["version"]
+    before = store.runs()
     query.awaitTermination()
-    if store.manifest()["version"] == before:  # nothing landed, but time has passed or a failure may be tried again
-        ingest_batch(spark.createDataFrame([], schemas.SOURCES), store, types, model, now(), None, "scheduled", limit, fn)
+    if store.runs() == before:  # nothing landed, but time has passed or a failure may be tried again
+        ingest_batch(spark.createDataFrame([], schemas.SOURCES), store, types, model, now(), None, "scheduled", limit, fn, schema_text)

@@ -41,3 +41,38 @@ def run_rollup(
     query.awaitTermination()
     rows = spark.read.schema(ROWS).parquet(f"{out}/batch=*")
     return latest_per_key(rows, ["kind", "window_start"], "batch_id").drop("batch_id")
+
+
+def run_member_rollup(
+    spark: SparkSession, stream: DataFrame, time: str, kind: str, member: str, out: str, checkpoint: str, delay: str = "7 days",
+    window: str = "7 days",
+) -> tuple[DataFrame, DataFrame]:
+    """Drain ``stream``; ``(members, late)``, both ``kind, window_start, member, time``: what each window holds, and what came too late for it.
+
+    A window is closed once a row has been seen in an earlier batch that is ``delay`` past its end; rows for closed windows
+    are late and kept in a table of their own, so on-time and late rows together are all rows.  Batches append and a replay overwrites
+    its own folder.  No state grows with the stream: what a batch needs to know of those before it is one time each.
+    """
+    def save(df: DataFrame, batch_id: int) -> None:
+        rows = df.select(F.col(kind).alias("kind"), F.window(time, window).alias("_w"), F.col(member).alias("member"), F.col(time).alias("time"))
+        horizon = _seen(spark, out, batch_id).agg(F.max("newest").alias("newest")).select((F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("horizon"))
+        # one row
+        closed = rows.crossJoin(F.broadcast(horizon)).withColumn("late", F.coalesce(F.col("_w.end") <= F.col("horizon"), F.lit(False)))
+        closed.select("kind", F.col("_w.start").alias("window_start"), "member", "time", "late").write.mode("overwrite").partitionBy("late").parquet(f"{out}/rows/batch={batch_id}")
+        df.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kinds = dict(stream.dtypes)
+    schema = f"kind {kinds[kind]}, window_start timestamp, member {kinds[member]}, time timestamp, batch int, late boolean"
+    rows = spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows/batch=*")
+    columns = ["kind", "window_start", "member", "time"]
+    return rows.where(~F.col("late")).select(*columns), rows.where("late").select(*columns)
+
+
+def _seen(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """The newest time of each batch before ``batch_id``."""
+    schema = "newest timestamp, batch int"
+    if not batch_id:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{out}/seen").parquet(f"{out}/seen/batch=*").where(F.col("batch") < batch_id)

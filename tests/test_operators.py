@@ -250,7 +250,7 @@ def test_url_slugs(spark):
 
 
 def test_replayed_batch_spends_no_attempt(spark, tmp_path):
-    store = si.open_store(spark, str(tmp_path / "store"), 2)
+    store = si.open_store(spark, str(tmp_path / "store"))
     types = spark.createDataFrame([("/d", ["md"])], "source_dir string, types array<string>")
     old = NOW - dt.timedelta(hours=1)
     rows = spark.createDataFrame([("/d", "/d/good.md", bytearray(b"Some text."), 10, old), ("/d", "/d/blank.md", bytearray(b"  "), 2, old),
@@ -270,14 +270,28 @@ def test_replayed_batch_spends_no_attempt(spark, tmp_path):
     assert store.read("ledger").where("source_path = '/d/blank.md'").first()["attempts"] == 2
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path):
-    store = si.open_store(spark, str(tmp_path / "store"), 2)
-    rows = spark.createDataFrame([("/d", "/d/a.md", bytearray(b"x"), 1, NOW)], schemas.SOURCES)
-    read = store.manifest()
-    store.commit({"pending": (rows, None)}, based_on=read)
-    with pytest.raises(RuntimeError, match="version 0 was read"):
-        store.commit({"pending": (rows.limit(0), None)}, based_on=read)
-    assert store.read("pending").count() == 1
+def test_second_writer_of_a_run_fails(spark, tmp_path):
+    store = si.open_store(spark, str(tmp_path / "store"))
+    row = ("/d", "/d/a.md", 1, NOW, "h", 1, False)
+    rows = spark.createDataFrame([row], si.PENDING)
+    assert store.append({"pending": rows}, {"batch_id": 4}) == 1
+    with pytest.raises(RuntimeError, match="run 1 was finished"):
+        store.finish(1, {})
+    # a run without its marker is not read, and its number is written anew
+    rows.withColumn("source_path", F.lit("/d/lost.md")).write.parquet(f"{store.root}/pending/run=2")
+    assert [r["source_path"] for r in store.read("pending").collect()] == ["/d/a.md"]
+    assert store.append({"pending": rows.withColumn("settled", F.lit(True))}) == 2
+    assert store.read("pending").count() == 0 and store.info() == {"batch_id": 4}
+
+
+def test_waiting_bytes_are_stored_once(spark, tmp_path):
+    store = si.open_store(spark, str(tmp_path / "store"))
+    types = spark.createDataFrame([("/d", ["md"])], "source_dir string, types array<string>")
+    rows = spark.createDataFrame([("/d", "/d/blank.md", bytearray(b"  "), 2, NOW - dt.timedelta(hours=1))], schemas.SOURCES)
+    for i in range(5):
+        si.ingest_batch(rows if i == 0 else rows.limit(0), store, types, "m", NOW, i)
+    assert store.rows("contents").count() == 1 and store.rows("pending").count() == 1
+    assert store.read("ledger").first()["attempts"] == 3 and store.rows("ledger").count() == 3
 
 
 def test_cuts_fall_between_characters(spark):

@@ -10,7 +10,7 @@ from oracle import compare, connect
 SF_DIR = "/root/testdata/sf0.001"
 QUICK = ["A2_type_gate", "A14_move_page", "B5_frontmatter_tags", "B7_wikilinks", "C5_consistency_diff", "D1_run_report_counts",
          "E1_apply_limit", "E3_supersede", "E4_slug_winner", "F2_phrase_search", "F4_all_nearest", "J3_sweep_orphans",
-         "J5_classify_responses", "J9_synthesize", "J11_index_page", "K3_apply_changes", "K5_rolling_summary"]
+         "J5_classify_responses", "J9_synthesize", "J11_index_page", "K3_apply_changes", "K5_rolling_summary", "K3_moves", "F2_phrase_search_indexed", "C7_kept_broken_links", "A1_scan_sources", "K5_on_time_and_late"]
 
 
 @pytest.fixture(scope="module")
