@@ -27,7 +27,7 @@ from folioscope.operators.skew import top_per_key
 
 LONGEST = 4
 # Words of a chunk, and distinct ones (a chunk ends at either), and suffixes that a group may hold.
-CHUNK, CHUNK_WORDS = 2_000_000, 400_000
+CHUNK, CHUNK_WORDS = 4_000_000, 800_000
 BUDGET = 200_000
 # Prefixes that are extended, at most, at a level: the list of them is sent to every task.
 EXTENDED = 1_000_000
@@ -153,7 +153,7 @@ class Extended:
         if not len(prefixes):
             return np.full(len(windows), -1)
         # both in one sort: a window's place is that of the extended prefix it equals
-        both = np.concatenate([prefixes, windows[:, :depth]])
+        both = np.concatenate([prefixes.astype(windows.dtype), windows[:, :depth]])
         order = np.lexsort(both.T[::-1])
         new = np.concatenate([[True], (both[order][1:] != both[order][:-1]).any(axis=1)])
         run = np.empty(len(both), np.int64)
@@ -180,10 +180,10 @@ class Extended:
         return group, level
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _tokens(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[np.ndarray]:
     for batch in batches:
         for cell in batch.column(0):
-            yield opened(cell.as_py(), np.int64)
+            yield opened(cell.as_py(), np.int64).astype(kind)
 
 
 class Phrases:
@@ -206,7 +206,17 @@ class Phrases:
         asked = self.chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select(
             "chunk", "at", "lang", F.col("_w.words").alias("name"), F.col("_w.counts").alias("count"))
         often = asked.groupBy("lang", "name").agg(F.sum("count").alias("f")).where(F.col("f") >= self.least)
-        self.words = self.shared.put("words", often.withColumn("word", F.monotonically_increasing_id()))
+        # numbers without gaps: small ones take few bytes in every window
+        counted = self.shared.put("counted", often.withColumn("_id", F.monotonically_increasing_id()))
+        task, at, first = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1), 0
+        starts = []
+        for r in counted.groupBy(task.alias("task")).count().orderBy("task").collect():  # a row for each task
+            starts.append((r.task, first))
+            first += r["count"]
+        shift = self.shared.spark.createDataFrame(starts, "task long, first long")
+        numbered = counted.withColumn("task", task).join(F.broadcast(shift), "task").select("lang", "name", "f", (at + F.col("first")).alias("word"))
+        self.words = self.shared.put("words", numbered)
+        self.kind = np.int32 if first < (1 << 31) - 1 else np.int64
         numbers = asked.join(self.words.select("lang", "name", "word"), ["lang", "name"]).select(F.col("chunk").alias("of"), "at", "word")
         coded = self.chunks.select("chunk", "tokens").groupBy("chunk").cogroup(numbers.groupBy("of")).applyInArrow(_renumber, "chunk long, tokens binary")
         self.coded = self.shared.put("coded", coded).select("tokens")
@@ -220,11 +230,11 @@ class Phrases:
         for depth in range(2, LONGEST):
             if not len(self.extended.levels[-1][0]):
                 break
-            sent = spark.sparkContext.broadcast(self.extended)
+            sent, kind_ = spark.sparkContext.broadcast(self.extended), self.kind
 
             def below(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
-                for tokens in _tokens(batches):
+                for tokens in _tokens(batches, kind_):
                     windows, lengths = _suffixes(tokens, depth)
                     windows = windows[lengths >= depth]
                     held.append(_distinct(windows[sent.value.find(windows, depth - 1) >= 0]))
@@ -237,7 +247,7 @@ class Phrases:
 
             def counted(held: list, depth: int) -> pa.RecordBatch:
                 rows, counts = _distinct(*map(np.concatenate, zip(*held)))
-                return pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(counts, pa.int64())], names=[*_KEY[:depth], "f"])
+                return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows.T), pa.array(counts, pa.int64())], names=[*_KEY[:depth], "f"])
 
             keys = _KEY[:depth]
             kind = ", ".join(f"{k} long" for k in keys) + ", f long"
@@ -246,21 +256,21 @@ class Phrases:
 
     def _subtrees(self) -> None:
         """Stores ``phrases``: ``w1 .. w4`` (-1 beyond its end), ``depth``, ``f`` and ``before``, the counts of its beginnings of 2 words and more."""
-        sent, least = self.coded.sparkSession.sparkContext.broadcast(self.extended), self.least
+        sent, least, kind_ = self.coded.sparkSession.sparkContext.broadcast(self.extended), self.least, self.kind
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for tokens in _tokens(batches):
+            for tokens in _tokens(batches, kind_):
                 rows, counts = _distinct(_suffixes(tokens, LONGEST)[0])
                 group, level = sent.value.group(rows, (rows >= 0).sum(axis=1))
                 kept = level >= 0
                 for at in range(0, int(kept.sum()), 1 << 18):
                     part = np.flatnonzero(kept)[at:at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(group[part]), *(pa.array(c) for c in rows[part].T), pa.array(counts[part], pa.int64())], names=["group", *_KEY, "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[part]), *(pa.array(c, pa.int64()) for c in rows[part].T), pa.array(counts[part], pa.int64())], names=["group", *_KEY, "n"])
 
         kind = "group long, w1 long, w2 long, w3 long, w4 long, n long"
 
         def subtrees(table: pa.Table) -> pa.Table:
-            return _read_tree(np.stack([np.asarray(table[k]) for k in _KEY], axis=1), np.asarray(table["n"]), sent.value, least)
+            return _read_tree(np.stack([np.asarray(table[k]).astype(kind_) for k in _KEY], axis=1), np.asarray(table["n"]), sent.value, least)
 
         nodes = self.coded.mapInArrow(deal, kind).groupBy("group").applyInArrow(subtrees, NODES)
         whole = [r for depth in range(2, LONGEST) if depth < len(self.extended.levels) for r in _extended_nodes(self.extended, depth)]
@@ -306,7 +316,7 @@ def _read_tree(rows: np.ndarray, n: np.ndarray, extended: Extended, least: int)
         words = leaves[node].copy()
         words[:, depth:] = -1
         before = pa.ListArray.from_arrays(np.arange(len(node) + 1, dtype=np.int32) * (depth - 2), counted[node, 1:depth - 1].reshape(-1))
-        parts.append(pa.table([*(pa.array(c) for c in words.T), pa.array(np.full(len(node), depth, np.int32)), pa.array(counted[node, depth - 1]), before], schema=_NODES))
+        parts.append(pa.table([*(pa.array(c, pa.int64()) for c in words.T), pa.array(np.full(len(node), depth, np.int32)), pa.array(counted[node, depth - 1]), before], schema=_NODES))
     return pa.concat_tables(parts)
 
 
