@@ -38,7 +38,7 @@ REVERSE, POOL, STEP = 20, 256, 40
 # A search ends when fewer than this part of a full round is left to expand.
 LEFT = 0.02
 # Bytes of the vectors that a block of meetings or of the graph may need, and queries of a part.
-BLOCK_BYTES, PART = 64 << 20, 512
+BLOCK_BYTES, PART = 32 << 20, 256
 
 LISTS = "home int, node long, vec binary, ids array<long>, scores array<float>, fresh array<boolean>, worst float, added int"
 FOUND = pa.schema({"node": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float32())})
@@ -58,8 +58,20 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), np.float32).reshape(len(cells), -1)
+    """Vectors of equal length as rows, read where they lie."""
+    whole = column.combine_chunks()
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    if not len(whole):
+        return np.empty((0, 1), np.float32)
+    stops = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[stops[0]:stops[-1]]
+    return np.ascontiguousarray(data).view(np.float32).reshape(len(whole), -1)
+
+
+def _freed(table: pa.Table) -> pa.Table:
+    """``table``; what the work before it no longer uses goes back to the system, as a worker lives on."""
+    pa.default_memory_pool().release_unused()
+    return table
 
 
 def home_of(nodes: np.ndarray, homes: int) -> np.ndarray:
@@ -195,8 +207,8 @@ def _meet(each: int, degree: int, width: int, turn: int, homes: int):
     def meet(told: pa.Table, vectors: pa.Table) -> pa.Table:
         if not told.num_rows or not vectors.num_rows:
             return _FINDS.empty_table()
-        vectors = vectors.sort_by("node")
-        names, matrix, worst = np.asarray(vectors["node"]), _vectors(vectors["vec"]), np.asarray(vectors["worst"])
+        order = np.argsort(np.asarray(vectors["node"]))
+        names, matrix, worst = np.asarray(vectors["node"])[order], _vectors(vectors["vec"])[order], np.asarray(vectors["worst"])[order]
         ids, sizes = _flat(told["told"])
         fresh = _flat(told["fresh"])[0]
         at, part = (np.repeat(np.asarray(told[c]), sizes) for c in ("at", "part"))
@@ -227,7 +239,7 @@ def _meet(each: int, degree: int, width: int, turn: int, homes: int):
             out.append((m[g, i], m[g, near[g, i, j]], score[g, i, j]))
         u, v, s = (np.concatenate(c) for c in zip(*out))
         sure = u >= 0
-        return _dealt(names[u[sure]], names[v[sure]], s[sure], degree, homes)
+        return _freed(_dealt(names[u[sure]], names[v[sure]], s[sure], degree, homes))
 
     return meet
 
@@ -371,15 +383,15 @@ def _bundle(lists: pa.Table, vectors: pa.Table) -> pa.Table:
     ids, sizes = _flat(lists["ids"])
     known = np.asarray(vectors["node"])
     cells = (np.asarray(lists["node"]), np.cumsum(sizes), np.searchsorted(known, ids).astype(np.int32), known)
-    data = [*(c.tobytes() for c in cells), b"".join(vectors["vec"].to_pylist())]
-    return pa.table([lists["home"][:1], *(pa.array([d], pa.binary()) for d in data)], schema=schema)
+    data = [*(c.tobytes() for c in cells), _vectors(vectors["vec"]).tobytes()]
+    return _freed(pa.table([lists["home"][:1], *(pa.array([d], pa.binary()) for d in data)], schema=schema))
 
 
 def _expand(front: pa.Table, block: pa.Table) -> pa.Table:
     """Neighbours of the nodes to expand that beat the worst of the query's pool."""
     if not front.num_rows or not block.num_rows:
         return FOUND.empty_table()
-    row = block.to_pylist()[0]
+    row = {c: block[c][0].as_buffer() for c in ("nodes", "stops", "links", "ids", "vectors")}
     nodes, stops, ids = (np.frombuffer(row[c], np.int64) for c in ("nodes", "stops", "ids"))
     links = np.frombuffer(row["links"], np.int32)
     if not len(ids):
@@ -419,7 +431,7 @@ def _pooled(pools: pa.Table, found: pa.Table) -> pa.Table:
         done &= set(order) | set(p["todo"])
         todo = [x for x in order if x not in done][:STEP]
         out.append(p | {"ids": order, "scores": [best[x] for x in order], "done": sorted(done), "todo": todo})
-    return pa.Table.from_pylist(out, schema=pools.schema)
+    return _freed(pa.Table.from_pylist(out, schema=pools.schema))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

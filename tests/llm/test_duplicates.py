@@ -130,3 +130,16 @@ def test_embeddings(spark, monkeypatch):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(want, key=str)
     assert covertree.near_duplicates(table.limit(0)).count() == 0
     assert covertree.near_duplicates(table.where(F.col("vec_id") == 502)).collect()[0].n_links == 0
+
+
+def test_embeddings_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(90, 6))
+    v = np.concatenate([base, base[:60] + 0.2 * rng.normal(size=(60, 6))])
+    scales = 10.0 ** rng.choice([-300, -200, -160, 0, 150, 200, 300], len(v))
+
+    def links(rows):
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>").repartition(2)
+        return sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.near_duplicates(table, 0.9).collect())
+
+    assert links(v * scales[:, None]) == links(v) and sum(n for _, n, _ in links(v)) > 60

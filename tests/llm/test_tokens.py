@@ -1,5 +1,6 @@
 """Packing and token files: exact round trips."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -18,7 +19,6 @@ def plain_ids(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     return [x.ids + [end] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -29,6 +29,10 @@ def crc(ids):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_tokenizers_ids(name):
     texts = [t for _, t in pairs(documents())] + ["a\n\n b  c\n", "don't   stop's\t\tx", "É̀a x²y 12ab,foo;bar  ", "\x1c\x1d a\x85b", "é,", "we'LL 'S", "a.b!c?d", "　x  y"]
+    texts += ["a <|endoftext|> b", "x<|endoftext|><|startoftext|>y.", "<|ENDOFTEXT|>", "GELDİ, ok", "İ, İ.", "aİ, b", "<|endoftext|>" * 3]
+    rng = random.Random(11)
+    parts = ["İ", "ı", "ß", "ſ", "é", "e\u0301", "A", "b", "'s", "'LL", ",", ".", "!", " ", "  ", "\n", "\t", "\xa0", "12", "²", "漢", "<|endoftext|>", "<|", "|>", "Ǆ", "ŉ", "\u0345", "ﬁ", "😀"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(6000)]
     code = PieceEncoder(tokenizer(name))
     for _ in range(2):  # fresh, then remembered
         ids, offsets, _ = code.encode(texts, 7)
@@ -36,7 +40,7 @@ def test_pieces_give_the_tokenizers_ids(name):
     assert code.encode([], 7)[0].tolist() == []
 
 
-@pytest.mark.parametrize("length", [1024, 16])
+@pytest.mark.parametrize("length", [1024, 40, 16, 3])
 def test_packing(spark, length):
     docs = spark.createDataFrame(documents(), DOCS).repartition(3)
     pieces = packing.pack(docs, tokenizer("byte_bpe_50k.json"), length).collect()
