@@ -38,7 +38,7 @@ REVERSE, POOL, STEP = 20, 256, 40
 # A search ends when fewer than this part of a full round is left to expand.
 LEFT = 0.02
 # Bytes of the vectors that a block of meetings or of the graph may need, and queries of a part.
-BLOCK_BYTES, PART = 32 << 20, 256
+BLOCK_BYTES, PART = 96 << 20, 256
 
 LISTS = "home int, node long, vec binary, ids array<long>, scores array<float>, fresh array<boolean>, worst float, added int"
 FOUND = pa.schema({"node": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float32())})
