@@ -115,18 +115,25 @@ def c8(spark, d):
     return lg.orphan_pages(link_rows(parsed), small(parsed))
 
 
+_LINKS: dict[tuple[str, str], li.LinkIndex] = {}
+
+
 def kept_links(spark, d):
-    """Links of an older corpus, brought up to date by a batch of changes: pages are new, gone, or link elsewhere."""
+    """Links of an older corpus, brought up to date by a batch of changes: pages are new, gone, or link elsewhere; stored once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _LINKS and _LINKS[key].versions():
+        return _LINKS[key]
     now_ = written(parse_pages(I.pages(spark, d)).select("path", "type", "links"), "linked")
     kind = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(8))
     other = F.array(F.lit("Topic of old"), F.concat(F.lit("doc-"), F.length("path").cast("string")))
     older = now_.where(kind > 0).withColumn("links", F.when(kind == 1, other).otherwise(F.col("links")))
     gone = now_.where(kind == 2).select(F.concat(F.lit("gone/Copy-"), pt.base_name(F.col("path"))).alias("path"), "type", "links")
     shadow = now_.where(kind == 3).select(F.concat(F.lit("aside/"), pt.base_name(F.col("path"))).alias("path"), "type", "links")
-    index = li.LinkIndex(spark, f"{work_dir(spark)}/links")
+    index = li.LinkIndex(spark, f"{work_dir(spark)}/links", 16)
     upsert, delete = F.lit("upsert").alias("op"), F.lit("delete").alias("op")
     index.apply(older.unionByName(gone).unionByName(shadow).select("*", upsert), 0)
     index.apply(now_.where(kind < 2).select("*", upsert).unionByName(gone.unionByName(shadow).select("*", delete)), 1)
+    _LINKS[key] = index
     return index
 
 
