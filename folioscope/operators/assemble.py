@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,27 @@ def assemble(heads: DataFrame, lines: DataFrame, lines_per_part: int = LINES_PER
     text = rows.groupBy("path", "part").agg(F.array_join(F.transform(entries, lambda e: e["line"]), "").alias("lines"))
     first = heads.select("path", "head", F.lit(0).cast("bigint").alias("part"))
     return text.join(first, ["path", "part"], "left").select("path", "part", F.concat(F.coalesce("head", F.lit("")), "lines").alias("content"))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, state = None, None
+    for batch in batches:
+        done = []
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if name != path:
+                if state is not None:
+                    done.append((path, state.hexdigest()))
+                path, state = name, hashlib.sha256()
+            state.update(content.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], ["path", "content_hash"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([state.hexdigest()])], ["path", "content_hash"])
+
+
+def page_digests(parts: DataFrame) -> DataFrame:
+    """``(path, content_hash)`` of whole pages: the SHA-256 of all parts of ``assemble`` in their order.
+
+    Parts run through the digest one after another, so no cell holds a page.
+    """
+    ordered = parts.select("path", "part", F.encode("content", "UTF-8").alias("content")).repartition("path").sortWithinPartitions("path", "part")
+    return ordered.select("path", "content").mapInArrow(_digests, "path string, content_hash string")
