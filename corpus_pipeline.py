@@ -15,7 +15,7 @@ from folioscope.llm import decontamination, linededup, neardocs, packing, toxici
 from folioscope.llm.catalog import table, tokenizer
 from folioscope.llm.common import Shared
 
-#: No statement of SQL has a learned model, MinHash or a tokenizer; the tests compare with plain versions.
+#: No statement of SQL has a learned model, SimHash, MinHash or a tokenizer; the tests compare with plain versions.
 ORACLE_SQL = None
 
 
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a Jaccard similarity of 0.8 or more over runs of five words."""
+    """One document of each group of near copies: found by SimHash, beyond its reach by MinHash, of a Jaccard similarity of 0.8 or more over runs of five words."""
     return neardocs.without_near_copies(docs, width=5)
 
 

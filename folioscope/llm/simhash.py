@@ -26,6 +26,14 @@ BITS = 64
 SHINGLES = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half the hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), SHINGLES):
+        counts += np.unpackbits(hashes[at:at + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hashes = batch.column(1)
@@ -34,11 +42,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops = np.cumsum(sizes)
         prints = np.zeros(len(sizes), np.uint64)
         for i, (stop, size) in enumerate(zip(stops.tolist(), sizes.tolist())):
-            counts = np.zeros(BITS, np.int64)
-            for at in range(stop - size, stop, SHINGLES):
-                bits = np.unpackbits(flat[at:min(at + SHINGLES, stop)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts += bits.sum(axis=0, dtype=np.int32)
-            prints[i] = np.packbits(2 * counts > size, bitorder="little").view(np.uint64)[0]
+            prints[i] = majority(flat[stop - size:stop])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
@@ -89,7 +93,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
         raise ValueError("the two halves cover distances up to 3")
     shared = Shared(docs.sparkSession)
     prints = shared.put("prints", fingerprints(docs, width))
-    distinct = shared.put("distinct", prints.select("fp").distinct())
+    labelled, _, links = near_prints(shared, shared.put("distinct", prints.select("fp").distinct()), distance)
+    joined = components(shared, compacted(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))), "links")
+    classes = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("label"))
+    return kept_of_classes(shared.put("members", prints.join(classes, "fp")))
+
+
+def near_prints(shared: Shared, distinct: DataFrame, distance: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(labelled, stars, links)`` of distinct fingerprints (fp): the components (fp, label) of the first round's pairs
+    (a, b), and the pairs (fp, other) of different ones, with their labels."""
     buckets = distinct.select("fp", _keys(F.col("fp"), [0]).alias("key"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     # one round of stars: every fingerprint of a bucket against its smallest
@@ -100,9 +112,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     held = labelled.select("fp", "label", _keys(F.col("fp"), [0]).alias("key"))
     asked = labelled.select(F.col("fp").alias("other"), F.col("label").alias("other_label"), _keys(F.col("fp"), BALL).alias("key"))
     links = held.join(asked, "key").where(near & (F.col("fp") < F.col("other")) & (F.col("label") != F.col("other_label")))
-    joined = components(shared, compacted(links.select(F.col("label").alias("a"), F.col("other_label").alias("b"))), "links")
-    classes = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("label"))
-    return kept_of_classes(shared.put("members", prints.join(classes, "fp")))
+    return labelled, stars, links.select("fp", "other", "label", "other_label")
 
 
 def kept_of_classes(members: DataFrame) -> DataFrame:
