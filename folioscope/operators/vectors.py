@@ -13,7 +13,7 @@ from folioscope.operators.skew import top_per_key
 from folioscope.session import bounded_rows
 
 DEFAULT_K = 5
-QUERY_BLOCK = 4096      # queries sent to every task as one matrix
+QUERY_BLOCK = 4096      # queries of one matrix
 CORPUS_BLOCK = 100_000  # vectors of one block when the queries are many
 SLICE = 2048            # vectors scored at a time inside a task
 _HITS = "query_path string, path string, score double"
@@ -84,9 +84,11 @@ class _Best:
         if own:
             scores[tuple(np.array(own).T)] = -np.inf
         least = self.least
-        if len(paths) > self.k:
+        better = scores >= least[:, None]
+        if len(paths) > self.k and np.count_nonzero(better) > 4 * self.k * len(self.names):
             least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
-        q, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            better = scores >= least[:, None]
+        q, j = np.nonzero(better & (scores > -np.inf))
         query, score = np.concatenate([self.query, q]), np.concatenate([self.score, scores[q, j]])
         path = np.concatenate([self.path, paths[j]])
         order = np.lexsort((np.unique(path, return_inverse=True)[1], -score, query))
@@ -118,8 +120,11 @@ def _one_pass(corpus: DataFrame, names: list[str], vectors: list, k: int) -> Dat
 
 
 def _blocked(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, n_corpus: int, query_block: int) -> DataFrame:
-    """Exact block join: every query block meets every corpus block once, in as many groups as there are cores at least."""
-    q_blocks = max(1, -(-n_queries // query_block))
+    """Exact block join: every query block meets every corpus block once, in as many groups as there are cores at least.
+
+    The corpus is copied once for every block of queries, so blocks are as large as a task may hold.
+    """
+    q_blocks = max(1, -(-n_queries // max(query_block, QUERY_BLOCK)))
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     c_blocks = max(1, -(-n_corpus // CORPUS_BLOCK), -(-cores // q_blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
