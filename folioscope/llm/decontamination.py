@@ -12,7 +12,7 @@ A third pass projects each passage and keeps the items at a cosine of ``COSINE``
 candidate is verified where it is found: the longest common subsequence of the item's words and the words
 around the passage must hold ``EXACT`` of the item, or ``PARAPHRASE`` of it while ``ANSWER`` of its answer (its
 last sentence, or the rarest words of an item of one sentence) is there in order.  Before that is computed, the
-words around must hold so many of the item's in any order; this drops nothing that would be accepted.
+different words around must make up so much of both in any order; this drops nothing that would be accepted.
 
 Items are taken in blocks of ``ITEMS``, so the broadcast terms and vectors have a bound.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ RANK, EXTRA = 96, 16
 COSINE = 0.15
 # Passages that a step compares with the items at once.
 ROWS = 512
+# Rows that are added up in one go.
+PART = 16
 EXACT, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 ITEMS = 4000
 FOUND = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
@@ -77,11 +80,34 @@ def _term_rows(batches: Iterator[pa.RecordBatch], terms: dict[str, int]) -> Iter
     for batch in text_batches(batches):
         rows = []
         for t in batch.column(2).to_pylist():
-            found = [terms.get(w, -1) for w in words(t)] if t else []
-            rows.append(squeezed(np.array(found, np.int32)) if any(x >= 0 for x in found) else None)
+            found = np.fromiter(map(terms.get, words(t or ""), repeat(-1)), np.int32)
+            rows.append(squeezed(found) if (found >= 0).any() else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "terms"])
 
 
+def _sums(rows: np.ndarray, index: np.ndarray, begin: np.ndarray, add: np.ufunc = np.add) -> np.ndarray:
+    """Sums (or maxima) of ``rows[index]`` over the runs of ``index`` that begin at ``begin``, none empty."""
+    size = np.diff(np.append(begin, len(index)))
+    while True:
+        # parts of at most PART rows, the longest first: the n-th rows of those that have so many are added at once
+        parts = -(-size // PART)
+        at = np.cumsum(parts) - parts
+        first = np.repeat(begin - PART * at, parts) + PART * np.arange(parts.sum())
+        length = np.minimum(np.repeat(begin + size, parts) - first, PART)
+        order = np.argsort(-length, kind="stable")
+        first, more = first[order], np.searchsorted(-length[order], -np.arange(PART))
+        total = rows[index[first]]
+        for j in range(1, PART):
+            if not more[j]:
+                break
+            add(total[:more[j]], rows[index[first[:more[j]] + j]], out=total[:more[j]])
+        rows = np.empty_like(total)
+        rows[order] = total
+        if len(rows) == len(begin):
+            return rows
+        index, begin, size = np.arange(len(rows)), at, parts
+
+
 class _Passages:
     """Weighted terms of a batch of documents, by stride blocks of words."""
 
@@ -92,12 +118,12 @@ class _Passages:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block = np.repeat(np.cumsum(self.blocks) - self.blocks, sizes) + place // STRIDE
         kept = (flat >= 0) & (weight[flat] > 0)
+        self.place = np.flatnonzero(kept)
         self.term, self.block, self.n = flat[kept], block[kept], int(self.blocks.sum())
         self.doc_of_block = np.repeat(np.arange(len(docs)), self.blocks)
-        self.weight = weight[self.term].astype(np.float32)
 
     def projected(self, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks that have terms, and the sum of their weighted rows of ``to``."""
+        """Blocks that have terms, and the sum of their rows of ``to``."""
         if not len(self.term):
             return np.empty(0, np.int64), np.empty((0, to.shape[1]), np.float32)
         begin = np.flatnonzero(np.concatenate([[True], self.block[1:] != self.block[:-1]]))
@@ -105,9 +131,17 @@ class _Passages:
         for at in range(0, len(begin), 4096):  # so many blocks at once
             stop = min(at + 4096, len(begin))
             a, b = begin[at], begin[stop] if stop < len(begin) else len(self.term)
-            out[at:stop] = np.add.reduceat(to[self.term[a:b]] * self.weight[a:b, None], begin[at:stop] - a, axis=0)
+            out[at:stop] = _sums(to, self.term[a:b], begin[at:stop] - a)
         return self.block[begin], out
 
+    def before(self) -> np.ndarray:
+        """For each term the place of the same one before it in its document, -1 if there is none."""
+        key = self.doc_of_block[self.block] * (int(self.term.max(initial=0)) + 1) + self.term
+        order = np.argsort(key, kind="stable")
+        out, again = np.full(len(key), -1), key[order[1:]] == key[order[:-1]]
+        out[order[1:][again]] = self.place[order[:-1][again]]
+        return out
+
 
 def _docs_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [opened(x, np.int32) if x else np.empty(0, np.int32) for x in batch.column(batch.schema.get_field_index("terms")).to_pylist()]
@@ -174,16 +208,17 @@ class LatentSearch:
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, g = shown.value
+            to = (g * weight[:, None]).astype(np.float32)
             total = np.zeros((n, width))
             for batch in _sliced(batches):
                 p = _Passages(_docs_of(batch), weight)
-                blocks, x = p.projected(g)
+                blocks, x = p.projected(to)
                 if not len(blocks):
                     continue
                 order = np.argsort(p.term, kind="stable")
-                term, row, w = p.term[order], np.searchsorted(blocks, p.block[order]), p.weight[order]
+                term, row = p.term[order], np.searchsorted(blocks, p.block[order])
                 begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[begin]] += np.add.reduceat(x[row] * w[:, None], begin, axis=0)
+                total[term[begin]] += _sums(x, row, begin) * weight[term[begin], None]
             some = np.flatnonzero(total.any(axis=1))
             yield pa.record_batch({"term": some, "row": pa.array([total[i].tobytes() for i in some.tolist()], pa.binary())})
 
@@ -204,9 +239,10 @@ class LatentSearch:
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight, basis = shown_q.value
+            to = (basis * weight[:, None]).astype(np.float32)
             total = np.zeros((basis.shape[1], basis.shape[1]))
             for batch in _sliced(batches):
-                x = _Passages(_docs_of(batch), weight).projected(basis)[1].astype(float)
+                x = _Passages(_docs_of(batch), weight).projected(to)[1].astype(float)
                 total += x.T @ x
             yield pa.record_batch({"term": pa.array([0], pa.int64()), "row": pa.array([total.tobytes()], pa.binary())})
 
@@ -233,60 +269,71 @@ class LatentSearch:
         for _, ws, answer in self.items:
             item = [self.terms[w] for w in ws]
             texts.append((item, rarest(item, self.df) if len(answer) == len(ws) else [self.terms[w] for w in answer]))
-        # the last column is for words that are no terms
-        held = np.zeros((len(texts), len(self.terms) + 1), bool)
+        # how often each item has each term; no item has more of one than it has words
+        longest = max(len(item) for item, _ in texts)
+        held = np.zeros((len(self.terms), len(texts)), np.min_scalar_type(longest))
         for k, (item, _) in enumerate(texts):
-            held[k, item] = True
-        least = np.array([PARAPHRASE * len(item) for item, _ in texts])
-        shown = self.shared.spark.sparkContext.broadcast((self.weight, self.basis, asked, owner, held, least, texts, [i for i, _, _ in self.items]))
+            np.add.at(held[:, k], item, 1)
+        shown = self.shared.spark.sparkContext.broadcast((self.weight, self.basis, asked, owner, held, texts, [i for i, _, _ in self.items]))
         kind = pa.schema({"doc_id": pa.int64(), "text_hash": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "common": pa.float64(), "answer": pa.float64()})
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight, basis, asked, owner, held, least, texts, names = shown.value
+            weight, basis, asked, owner, held, texts, names = shown.value
+            to = (basis * weight[:, None]).astype(np.float32)
             length = np.array([len(item) for item, _ in texts])
+            windows = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            # items of like length, which look at equally many words around a passage
+            kind_of = np.ceil(np.log2(length)).astype(int)
+            groups = [(g, int(length[g].max()), np.ascontiguousarray(held[:, g])) for g in (np.flatnonzero(kind_of == n) for n in np.unique(kind_of))]
             for batch in _sliced(batches):
                 docs = _docs_of(batch)
                 p = _Passages(docs, weight)
-                blocks, x = p.projected(basis)
+                blocks, x = p.projected(to)
                 if not len(blocks):
                     continue
+                before = p.before()
                 # a window is two blocks of a document
                 follows = np.zeros(len(blocks), bool)
                 follows[:-1] = (blocks[1:] == blocks[:-1] + 1) & (p.doc_of_block[blocks[1:]] == p.doc_of_block[blocks[:-1]])
                 x[follows] += x[np.flatnonzero(follows) + 1]
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 first = np.cumsum(p.blocks) - p.blocks
-                flat, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+                sizes = np.array([len(d) for d in docs])
                 start = np.cumsum(sizes) - sizes
                 doc = p.doc_of_block[blocks]
                 place = (blocks - first[doc]) * STRIDE
                 tried: dict[tuple, tuple] = {}
                 for at in range(0, len(x), ROWS):
-                    cosine = x[at:at + ROWS] @ asked.T
-                    rows, cols = np.nonzero(cosine >= COSINE)
                     # an item's best window at each passage
-                    order = np.lexsort((-cosine[rows, cols], owner[cols], rows))
-                    rows, cols = rows[order], cols[order]
-                    new = np.ones(len(rows), bool)
-                    new[1:] = (rows[1:] != rows[:-1]) | (owner[cols[1:]] != owner[cols[:-1]])
-                    rows, cols = rows[new], cols[new]
-                    owners, d_of = owner[cols], doc[at + rows]
-                    low = np.maximum(place[at + rows] - length[owners], 0)
-                    high = np.minimum(place[at + rows] + WINDOW + length[owners], sizes[d_of])
-                    # no subsequence is longer than the words around that are the item's
-                    spread = high - low
-                    pair = np.repeat(np.arange(len(rows)), spread)
-                    word = np.arange(spread.sum()) + np.repeat(start[d_of] + low - np.cumsum(spread) + spread, spread)
-                    shared = np.bincount(pair[held[owners[pair], flat[word]]], minlength=len(rows))
-                    for i in np.flatnonzero(shared >= least[owners]).tolist():
-                        d, k = int(d_of[i]), int(owners[i])
+                    cosine = _sums(asked @ x[at:at + ROWS].T, np.arange(len(asked)), windows, np.maximum).T
+                    met, whose, here = cosine >= COSINE, doc[at:at + ROWS], place[at:at + ROWS]
+                    for group, reach, has in groups:
+                        near = np.flatnonzero(met[:, group].any(axis=1))
+                        if not len(near):
+                            continue
+                        # no subsequence is longer than what the different words around make up of the item
+                        begin = start[whose[near]] + np.maximum(here[near] - reach, 0)
+                        end = start[whose[near]] + np.minimum(here[near] + WINDOW + reach, sizes[whose[near]])
+                        a, b = np.searchsorted(p.place, begin), np.searchsorted(p.place, end)
+                        word = np.arange((b - a).sum()) + np.repeat(b - np.cumsum(b - a), b - a)
+                        new = before[word] < np.repeat(begin, b - a)
+                        row = np.repeat(np.arange(len(near)), b - a)[new]
+                        most = _sums(has, p.term[word[new]], np.searchsorted(row, np.arange(len(near))))
+                        met[np.ix_(near, group)] &= most / length[group] >= PARAPHRASE
+                    for i, k in np.argwhere(met).tolist():
+                        d = int(whose[i])
+                        low, high = max(int(here[i] - length[k]), 0), int(min(here[i] + WINDOW + length[k], sizes[d]))
                         item, answer = texts[k]
-                        near = docs[d][low[i]:high[i]].tolist()
+                        near = docs[d][low:high].tolist()
+                        there = set(near).__contains__
+                        most = sum(map(there, item)) / len(item)
+                        if most < PARAPHRASE or (most < EXACT and sum(map(there, answer)) / len(answer) < ANSWER):
+                            continue
                         common = common_subsequence(item, near) / len(item)
                         there = common_subsequence(answer, near) / len(answer)
                         if common >= EXACT or (common >= PARAPHRASE and there >= ANSWER):
                             best = tried.get((d, k), (0.0, 0.0, 0.0))
-                            tried[d, k] = max(best, (common, there, float(cosine[rows[i], cols[i]])))
+                            tried[d, k] = max(best, (common, there, float(cosine[i, k])))
                 hits = list(tried.items())
                 if hits:
                     ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
