@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ BUCKET_OF = {
     "archived": "archived", "would-archive": "archived", "source-error": "source_errors",
 }
 RESULT = "source_path string, content_hash string, page_content string, error_class string, message string"
+RESULT_ROWS = pa.schema([(x.split()[0], pa.string()) for x in RESULT.split(", ")])
 
 
 def decide(rows: DataFrame, model: str) -> DataFrame:
@@ -140,21 +142,23 @@ def digest_sources(
     ``page_content, error_class, message``; without it the pages are extracted by
     column expressions.  ``schema_text`` opens each prompt.  Store the result before using it.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch].reset_index(drop=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                # only the rows of a call are objects of Python
+                part = rows.slice(at, batch).to_pandas()
                 try:
                     out = fn(part).reset_index(drop=True)
                 except Exception as exc:  # a failed call may be tried again later
                     out = pd.DataFrame({"page_content": [None] * len(part), "error_class": "transient",
                                         "message": str(exc)})
-                yield pd.concat([part[["source_path", "content_hash"]], out], axis=1)
+                made = pd.concat([part[["source_path", "content_hash"]], out], axis=1)
+                yield pa.RecordBatch.from_pandas(made, schema=RESULT_ROWS, preserve_index=False)
 
     slug = tx.slug_for(F.col("source_path"), F.col("content_hash"))
     ready = rows.select("source_path", "content_hash", "content", slug.alias("slug"), tx.digest_prompt(
         F.lit(schema_text), F.col("source_path"), slug).alias("prompt"))
-    return extract(ready) if fn is None else ready.mapInPandas(run, RESULT)
+    return extract(ready) if fn is None else ready.mapInArrow(run, RESULT)
 
 
 def outcomes(plan: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFrame:
