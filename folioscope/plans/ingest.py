@@ -168,7 +168,7 @@ def outcomes(plan: DataFrame, results: DataFrame, ledger: DataFrame) -> DataFram
     read = hd.with_header(results.withColumn("content", F.coalesce("page_content", F.lit(""))))
     invalid = F.col("error_class").isNull() & ~hd.valid_page(F.col("header"))
     judged = read.select(
-        *KEY, "page_content", F.col("header"), "body",
+        *KEY, "page_content", F.col("header"),
         F.when(invalid, "permanent").otherwise(F.col("error_class")).alias("error_class"),
         F.when(invalid, "validate: page missing frontmatter or title")
         .otherwise(F.concat(F.lit("digest: "), F.col("message"))).alias("message"))
@@ -203,7 +203,7 @@ def merge_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 def new_pages(done: DataFrame, now: Column) -> DataFrame:
     """Rows of the ``pages`` table for the successes of a run."""
-    header, body = F.col("header"), F.col("body")
+    header = F.col("header")
     good = done.where(F.col("error_class").isNull())
     return good.select(
         F.col("wiki_page").alias("path"),

@@ -53,9 +53,11 @@ def _observed(batch: DataFrame, waiting: DataFrame, number: int) -> DataFrame:
 
 def _contents(batch: DataFrame, store: RunStore, wanted: DataFrame, number: int) -> DataFrame:
     """``wanted`` (observations) with their bytes: from the batch, or from the runs that first saw them."""
-    here = batch.select("source_path", "mtime", "content", F.xxhash64("content").alias("_tie")).dropDuplicates(["source_path", "mtime", "_tie"])
-    new = wanted.where(F.col("seen_in") == number).join(here, (wanted["source_path"] == here["source_path"]) & wanted["mtime"].eqNullSafe(here["mtime"]) & wanted["_tie"].eqNullSafe(here["_tie"])).select(
-        *[wanted[c] for c in wanted.columns], "content")
+    # plain columns for a time that may be null: joined and then told apart by the same key, the bytes move once
+    keyed = lambda rows: rows.withColumns({"_none": F.col("mtime").isNull(), "_at": F.coalesce("mtime", F.timestamp_seconds(F.lit(0)))})
+    key = ["source_path", "_none", "_at", "_tie"]
+    here = keyed(batch.select("source_path", "mtime", "content", F.xxhash64("content").alias("_tie"))).drop("mtime")
+    new = keyed(wanted.where(F.col("seen_in") == number)).join(here, key).dropDuplicates(key).select(*wanted.columns, "content")
     # at most one number a run
     runs = [r[0] for r in wanted.where(F.col("seen_in") != number).select("seen_in").distinct().collect()]
     kept = store.rows("contents", runs).select("source_path", F.col("run").alias("seen_in"), "content")

@@ -5,6 +5,7 @@ import resource
 import pandas as pd
 from pyspark.sql import functions as F
 
+from folioscope import schemas
 from folioscope.plans import ingest
 
 
@@ -34,3 +35,31 @@ def test_a_failed_call_may_be_tried_again(spark):
     got = {r.source_path: r for r in ingest.digest_sources(rows, broken).collect()}
     assert [p for p, r in sorted(got.items()) if r.error_class] == [f"/in/{i:05}.txt" for i in range(32, 64)]
     assert got["/in/00040.txt"].message == "no" and got["/in/00069.txt"].page_content == "69"
+
+
+def test_outcomes_hold_one_copy_of_a_page(spark):
+    plan = spark.createDataFrame([("/in/a.txt", "h", "/in", "digest", None)], "source_path string, content_hash string, source_dir string, action string, prev_attempts int")
+    results = spark.createDataFrame([("/in/a.txt", "h", "---\ntitle: a\n---\n" + "text " * 1000, None, None)], ingest.RESULT)
+    done = ingest.outcomes(plan, results, spark.createDataFrame([], schemas.LEDGER))
+    row = done.collect()[0]
+    assert row.error_class is None and row.header["title_text"] == "a"
+    assert sum("text text" in str(v) for v in row) == 1
+
+
+def test_bytes_of_a_batch_move_once(spark):
+    from folioscope.streaming import ingest as si
+
+    at = "timestamp'2024-01-01 00:00:00' as mtime"
+    batch = spark.createDataFrame([("/in", p, bytearray(c), len(c), None) for p, c in (("a", b"1"), ("a", b"1"), ("b", b"2"), ("b", b"3"))], schemas.SOURCES)
+    batch = batch.unionByName(batch.drop("mtime").selectExpr("*", at).where("source_path = 'b'"))
+    wanted = batch.where("mtime is null and content in (X'31', X'32')").select("source_path", F.lit(1).alias("seen_in"), "mtime", F.xxhash64("content").alias("_tie")).distinct()
+    wanted = spark.createDataFrame(wanted.collect(), wanted.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = si._contents(batch, si.open_store(spark, f"{si.written(wanted, 'w').inputFiles()[0]}-none"), wanted, 1)
+        assert sorted((r.source_path, bytes(r.content), r.mtime) for r in found.collect()) == [("a", b"1", None), ("b", b"2", None)]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert len(moved) == 4 and sum("_tie" in x for x in moved) == 2, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
