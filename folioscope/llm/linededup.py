@@ -40,6 +40,25 @@ def runs_of(line: Column) -> Column:
     return F.when(F.char_length(line) < WIDTH, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1)))
 
 
+def _spelled(line: Column) -> Column:
+    """A line lower-cased, in four bytes a character, so that a run is cut in constant time; where its last run begins, and the bytes of a run.
+
+    A line shorter than a run is a run itself.  An array of one, to be exploded: the optimizer does not look through
+    generators, so this is made once and not for every run.
+    """
+    wide, short = F.encode(F.lower(line), "UTF-32"), F.char_length(line) < WIDTH
+    return F.array(F.struct(wide.alias("wide"), F.when(short, 0).otherwise(F.shiftright(F.octet_length(wide), 2) - WIDTH).alias("last"), F.when(short, F.octet_length(wide)).otherwise(4 * WIDTH).alias("size")))
+
+
+def _run_places(spelled: str) -> Column:
+    return F.sequence(F.lit(0), F.col(f"{spelled}.last"))
+
+
+def _run_hash(spelled: str, place: Column) -> Column:
+    """64 bits that stand for the run at a place."""
+    return F.xxhash64(F.substring(F.col(f"{spelled}.wide"), place * 4 + 1, F.col(f"{spelled}.size")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``(id, text_hash, line_no, line)`` of the lines that hold more than blanks."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -68,11 +87,14 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Shared]:
     """``(h1, h2, first_id, first_line)`` of every line that has copies or near copies, and where the one that stays is."""
     shared = Shared(docs.sparkSession)
-    place = (F.col("id").cast("decimal(38,0)") * (1 << 31) + F.col("line_no")).alias("place")
-    runs = _named(_lines(docs)).select("h1", "h2", place, F.explode(runs_of(F.col("line"))).alias("run"), "line_no")
-    hashed = runs.select("h1", "h2", "place", F.xxhash64("run").alias("h"))
+    named = _named(_lines(docs))
+    # once a line and not once a run
+    place = F.col("id").cast("decimal(38,0)") * (1 << 31) + F.col("line_no")
+    places = named.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"))
+    runs = named.select("h1", "h2", F.explode(_spelled(F.col("line"))).alias("spelled")).select("h1", "h2", "spelled", F.explode(_run_places("spelled")).alias("at"))
+    hashed = runs.select("h1", "h2", _run_hash("spelled", F.col("at")).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{i}") for i in range(MINIMA)]
-    signed = hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.max("place").alias("last"), *minima)
+    signed = hashed.groupBy("h1", "h2").agg(*minima).join(places, ["h1", "h2"])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{(2 * b + j) % MINIMA}" for j in OFFSETS]) for b in range(BANDS)])
     lines = shared.put("lines", signed.select(F.monotonically_increasing_id().alias("line_id"), "h1", "h2", "place", (F.col("last") > F.col("place")).alias("again"), bands.alias("bands")))
     buckets = lines.select("line_id", F.explode("bands").alias("bucket"))

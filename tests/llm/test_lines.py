@@ -3,6 +3,7 @@
 import random
 
 from plain import line_set, prose
+from pyspark.sql import functions as F
 
 from folioscope.llm import linededup
 
@@ -27,3 +28,14 @@ def test_lines_with_other_numbers(spark):
     kept = [x for x in left[1].split("\n") if x]
     print(f"{len(lines) - len(kept)} of {len(lines)} found")
     assert len(kept) <= 0.05 * len(lines)
+
+
+def test_runs_are_cut_by_place(spark):
+    lines = ["short", "exactly8", "Nine chars", "É̀a x² 漢字 😀😀 GELDİ ok", "aaaaaaaaaaaa"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    spelled = rows.select("line", F.explode(linededup._spelled(F.col("line"))).alias("spelled"))
+    cut = F.decode(F.substring("spelled.wide", F.col("at") * 4 + 1, F.col("spelled.size")), "UTF-32")
+    runs = spelled.select("line", "spelled", F.explode(linededup._run_places("spelled")).alias("at")).select("line", cut.alias("run"), linededup._run_hash("spelled", F.col("at")).alias("h")).collect()
+    for x in lines:
+        assert {r.run for r in runs if r.line == x} == line_set(x, linededup.WIDTH)
+    assert len({r.run for r in runs}) == len({r.h for r in runs}) == len({(r.run, r.h) for r in runs})
