@@ -1,5 +1,6 @@
 """Packing and token files: exact round trips."""
 
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ from plain import DOCS, documents, pairs, prose
 
 from folioscope.llm import packing, tokenfiles
 from folioscope.llm.catalog import tokenizer
-from folioscope.llm.tokens import PieceEncoder
+from folioscope.llm.tokens import CLOSE, PIECE, PieceEncoder, encoder, piece_starts
 from folioscope.session import work_dir
 
 
@@ -40,6 +41,21 @@ def test_pieces_give_the_tokenizers_ids(name):
     assert code.encode([], 7)[0].tolist() == []
 
 
+def test_cuts_of_a_batch_are_the_patterns():
+    rng = random.Random(12)
+    parts = ["İ", "ß", "e\u0301", "A", "b", "'s", ",", ".", "!", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\u2009", "12", "²", "漢", "😀", "\u3001", "\x00", "\x85", "\x1c"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20000)]
+    data = CLOSE.join([*(t.encode() for t in texts), b""])
+    starts = piece_starts(np.frombuffer(data, np.uint8)).tolist()
+    assert [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])] == [p for t in texts for p in [*(x.encode() for x in PIECE.findall(t)), CLOSE]]
+
+
+def test_a_worker_encodes_in_its_own_thread(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    encoder(tokenizer("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 @pytest.mark.parametrize("length", [1024, 40, 16, 3])
 def test_packing(spark, length):
     docs = spark.createDataFrame(documents(), DOCS).repartition(3)
