@@ -7,14 +7,16 @@ four minima each (every minimum is in two bands) send a pair of similarity 0.8 t
 bucket with a probability of about 0.99, and pairs of unlike lines to none.
 
 Equal lines are one row, with the place of the first, as soon as they meet in a task.  A bucket compares its
-lines with its smallest one first; lines so linked need no comparison among themselves, and the second
-round compares the lines of a bucket that are in different components yet.  Every link is verified by
-the exact Jaccard similarity; a distributed union-find gives components, and the first line of each stays.
+lines with its smallest one first, then with ``PIVOTS`` others; lines so linked need no comparison among
+themselves, and the last round compares the lines of a bucket that are in different components yet.  A pair
+becomes a row only if the parities of its lines allow the similarity (``_parities``), and once, however many
+buckets it shares.  Every link is verified by the exact Jaccard similarity; a distributed union-find gives components,
+and the first line of each stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Shared, components
@@ -24,6 +26,10 @@ MINIMA, BANDS = 24, 12
 # which minima a band takes, from twice its number on: two even and two odd ones
 OFFSETS = (0, 1, 5, 12)
 SIMILARITY = 0.8
+# lines of a bucket that all its lines are compared with, before those in different components are
+PIVOTS = 8
+# words of 64 parities that stand for the runs of a line
+PARITIES = 16
 _ODD = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
 
@@ -84,6 +90,40 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sized.where(F.col("both") >= SIMILARITY * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
+def _parities(texts: DataFrame) -> DataFrame:
+    """``(line_id, runs, p0, p1, ...)``: how many different runs a line has, and whether an odd number of them falls on each of 64 * ``PARITIES`` places.
+
+    A run that only one of two lines has changes one parity, so parities that differ are never more than such runs.
+    """
+    # dealt by line, so that a line's runs are made distinct and added up where they are cut
+    dealt = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line_id")
+    cut = dealt.select("line_id", F.explode(_spelled(F.col("line"))).alias("spelled")).select("line_id", "spelled", F.explode(_run_places("spelled")).alias("at"))
+    hashed = cut.select("line_id", _run_hash("spelled", F.col("at")).alias("h")).distinct()
+    word, bit = F.col("h").bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    return hashed.groupBy("line_id").agg(F.count(F.lit(1)).alias("runs"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{i}") for i in range(PARITIES)])
+
+
+def _of(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{c}_{side}" for c in columns})
+
+
+def _may_be_similar() -> Column:
+    """False for a pair with more parities that differ than two lines similar enough have runs of one only."""
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))).cast("long") for i in range(PARITIES)), F.lit(0).cast("long"))
+    both, few, many = F.col("runs_a") + F.col("runs_b"), F.least("runs_a", "runs_b"), F.greatest("runs_a", "runs_b")
+    # at most (1 - s) / (1 + s) of the runs of both; a little more, so that rounding drops none
+    return (few >= (SIMILARITY - 1e-9) * many) & (differ <= ((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9) * both)
+
+
+def _first_bucket_of_pair() -> Column:
+    """Of the buckets that two lines share, the first one."""
+    before = [(F.col("band") <= i) | (F.col(f"band{i}_a") != F.col(f"band{i}_b")) for i in range(BANDS)]
+    out = F.lit(True)
+    for x in before:
+        out = out & x
+    return out
+
+
 def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Shared]:
     """``(h1, h2, first_id, first_line)`` of every line that has copies or near copies, and where the one that stays is."""
     shared = Shared(docs.sparkSession)
@@ -97,20 +137,42 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Shared]:
     signed = hashed.groupBy("h1", "h2").agg(*minima).join(places, ["h1", "h2"])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{(2 * b + j) % MINIMA}" for j in OFFSETS]) for b in range(BANDS)])
     lines = shared.put("lines", signed.select(F.monotonically_increasing_id().alias("line_id"), "h1", "h2", "place", (F.col("last") > F.col("place")).alias("again"), bands.alias("bands")))
-    buckets = lines.select("line_id", F.explode("bands").alias("bucket"))
+    buckets = lines.select("line_id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     least = buckets.groupBy("bucket").agg(F.min("line_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     held = shared.put("buckets", buckets.join(least, "bucket"))
     wanted = held.select("line_id").distinct().join(lines.select("line_id", "h1", "h2"), "line_id")
     texts = shared.put("texts", _named(_lines(docs)).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("line_id").agg(F.max("line").alias("line")))
-    stars = shared.put("stars", _similar(held.where("line_id != a").select("a", F.col("line_id").alias("b")).distinct(), texts))
-    first = components(shared, stars, "first").withColumnRenamed("node", "line_id").withColumnRenamed("component", "label")
-    labelled = shared.put("labelled", held.select("bucket", "line_id").join(first, "line_id", "left").select("bucket", "line_id", F.coalesce("label", "line_id").alias("label")))
-    # only buckets with several components have anything left to compare
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = labelled.join(mixed, "bucket")
-    other = rest.select("bucket", F.col("line_id").alias("b"), F.col("label").alias("label_b"))
-    pairs = rest.withColumnRenamed("line_id", "a").join(other, "bucket").where("label < label_b").select("a", "b").distinct()
-    links = stars.unionByName(_similar(pairs, texts))
+    parities = shared.put("parities", _parities(texts))
+    sketch = [c for c in parities.columns if c != "line_id"]
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        left = _of(parities.withColumnRenamed("line_id", "a"), "a", sketch)
+        right = _of(parities.withColumnRenamed("line_id", "b"), "b", sketch)
+        return _similar(pairs.join(left, "a").join(right, "b").where(_may_be_similar()).select("a", "b"), texts)
+
+    def labels(links: DataFrame, name: str) -> DataFrame:
+        first = components(shared, links, name).withColumnRenamed("node", "line_id").withColumnRenamed("component", "label")
+        return held.select("bucket", "band", "line_id").join(first, "line_id", "left").select("bucket", "band", "line_id", F.coalesce("label", "line_id").alias("label"))
+
+    def undecided(labelled: DataFrame) -> DataFrame:
+        """The buckets with several components: no others have anything left to compare."""
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        return labelled.join(mixed.drop("high"), "bucket")
+
+    stars = shared.put("stars", similar(held.where("line_id != a").select("a", F.col("line_id").alias("b")).distinct()))
+    rest = shared.put("first", undecided(labels(stars, "ones")))
+    some = rest.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("line_id"), "line_id"))).where(F.col("nth") <= PIVOTS)
+    pivots = some.select("bucket", F.col("line_id").alias("a"), F.col("label").alias("label_a"))
+    more = rest.join(pivots, "bucket").where("label != label_a").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b")).distinct()
+    links = shared.put("more", stars.unionByName(similar(more)))
+    bands = lines.select("line_id", *[F.get("bands", F.lit(i)).alias(f"band{i}") for i in range(BANDS)])
+    rest = shared.put("rest", undecided(labels(links, "some")).join(bands, "line_id").join(parities, "line_id"))
+    # the lines outside the first component meet all lines of the bucket
+    columns = ["label", *[f"band{i}" for i in range(BANDS)], *sketch]
+    odd = _of(rest.where("label != low").drop("low").withColumnRenamed("line_id", "a"), "a", columns)
+    every = _of(rest.drop("band").withColumnRenamed("line_id", "b"), "b", columns)
+    left = odd.join(every, "bucket").where(((F.col("label_b") == F.col("low")) | (F.col("label_b") > F.col("label_a"))) & _first_bucket_of_pair() & _may_be_similar())
+    links = links.unionByName(_similar(left.select("a", "b"), texts))
     joined = components(shared, links, "all").withColumnRenamed("node", "line_id")
     placed = lines.join(joined, "line_id", "left").where(F.col("again") | F.col("component").isNotNull()).select("h1", "h2", "place", F.coalesce("component", "line_id").alias("component"))
     kept = placed.groupBy("component").agg(F.min("place").alias("kept"))

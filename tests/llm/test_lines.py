@@ -39,3 +39,48 @@ def test_runs_are_cut_by_place(spark):
     for x in lines:
         assert {r.run for r in runs if r.line == x} == line_set(x, linededup.WIDTH)
     assert len({r.run for r in runs}) == len({r.h for r in runs}) == len({(r.run, r.h) for r in runs})
+
+
+def edited(n=240, words=70):
+    """Lines made from one by other words at 2 to 16 places: many near copies, many only related ones."""
+    rng = random.Random(5)
+    base = prose(words, 4242).replace("\n", " ").split()
+    out = []
+    for _ in range(n):
+        line = list(base)
+        for at in rng.sample(range(len(line)), rng.choice([2, 4, 8, 12, 16])):
+            line[at] = "".join(rng.choice("abcdefgh") for _ in range(5))
+        out.append(" ".join(line))
+    return out
+
+
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    lines, compared, similar = edited(), [], linededup._similar
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(linededup, "_similar", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    left = {r.doc_id for r in linededup.without_duplicates(docs).where("text != ''").collect()}
+    sets = [line_set(x, linededup.WIDTH) for x in lines]
+    label = list(range(len(lines)))
+    linked = [(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in linked:
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    print(f"{sum(compared)} compared, {len(linked)} linked, {len(set(label))} of {len(lines)} lines stay")
+    assert left == set(label)
+    assert sum(compared) <= 8 * len(lines)
+
+
+def test_parities_differ_by_no_more_than_the_runs_of_one(spark):
+    lines = edited(40) + ["short", "shorter", "aaaaaaaaaaaa", "aaaaaaaaaaaaaaaa"]
+    found = {r.line_id: r for r in linededup._parities(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")).collect()}
+    sets = [line_set(x, linededup.WIDTH) for x in lines]
+    assert [found[i].runs for i in range(len(lines))] == [len(s) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum(((found[i][f"p{k}"] ^ found[j][f"p{k}"]) % (1 << 64)).bit_count() for k in range(linededup.PARITIES))
+            assert differ <= len(a ^ b) and (differ - len(a ^ b)) % 2 == 0
