@@ -8,8 +8,9 @@ text that share an anchor are one region of fewer than ``2 * length`` bytes.
 Only anchors that occur twice can hold a repeated string.  Where all regions of one are equal, all their
 strings are repeated; the regions of the others, equal ones once, are the shards: each shard gets a suffix array by induced sorting, and its permuted common prefixes
 tell which starts share ``length`` bytes with another.  An anchor with more than
-``HOT`` different regions (a passage in very many texts) would make one shard too large: its strings are
-counted one by one instead, which gives the same starts.
+``HOT`` different regions (a passage in very many texts) would make one shard too large: its regions are dealt
+to several shards.  Each of these also tells its different strings, once each; a string told by two shards is
+repeated too, and goes back to the shards that hold it once.  That gives the same starts.
 """
 
 from __future__ import annotations
@@ -151,52 +152,57 @@ def repeated_passages(docs: DataFrame, length: int = 200) -> DataFrame:
     shared.drop("places")
     one = F.min(F.struct(*KEY, "first", "last")).alias("one")
     mixed = shared.put("mixed", kept.where("mixed").groupBy(*REGION).agg(F.count(F.lit(1)).alias("n"), one))
-    hot = mixed.groupBy("anchor").agg((F.count(F.lit(1)) > HOT).alias("hot"))
-    asked = mixed.join(hot, "anchor").select(*REGION, "n", "hot", "one.*").groupBy(*KEY).agg(F.collect_list(F.struct(*REGION, "n", "hot", "first", "last")).alias("asked"))
+    hot = mixed.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / max(1, HOT)).alias("pieces"))
+    asked = mixed.join(hot, "anchor").select(*REGION, "n", "pieces", "one.*").groupBy(*KEY).agg(F.collect_list(F.struct(*REGION, "n", "pieces", "first", "last")).alias("asked"))
 
     def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             out = []
             for raw, asked in zip(_raw(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
-                out += [(x["anchor"], x["digest"], x["n"], x["hot"], raw[x["first"]:x["last"] + length]) for x in asked]
+                out += [(x["anchor"], x["digest"], x["n"], x["pieces"], raw[x["first"]:x["last"] + length]) for x in asked]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], [*REGION, "n", "hot", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], [*REGION, "n", "pieces", "region"])
 
     # rows of equal id and text hold the same regions: any of them will do
-    chosen = rows.select(*KEY, "text").join(asked, KEY).select("text", "asked").mapInArrow(cut_regions, "anchor long, digest long, n long, hot boolean, region binary")
-    parts = shared.put("regions", chosen)
+    chosen = rows.select(*KEY, "text").join(asked, KEY).select("text", "asked").mapInArrow(cut_regions, "anchor long, digest long, n long, pieces long, region binary")
+    parts = shared.put("regions", chosen).withColumn("hot", F.col("pieces") > 1)
     shared.drop("mixed")
     size = parts.where("not hot").agg(F.sum(F.length("region"))).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
 
     def sort(table: pa.Table) -> pa.Table:
-        held = {(a, d): (r, n) for a, d, r, n in zip(*(table[c].to_pylist() for c in (*REGION, "region", "n")))}
+        held = {(a, d): (r, n, hot) for a, d, r, n, hot in zip(*(table[c].to_pylist() for c in (*REGION, "region", "n", "hot")))}
         names = sorted(held)
         found = repeated_in_shard([held[x][0] for x in names], np.array([held[x][1] for x in names]), length)
         ends = np.cumsum([len(held[x][0]) + 1 for x in names])
         a, b = _runs(found)
         owner = np.searchsorted(ends, a, side="right")  # separators are never found, so no run crosses one
-        begin = np.concatenate([[0], ends])[owner]
-        keys = np.array(names, np.int64).reshape(-1, 2)[owner]
-        return pa.table({"anchor": keys[:, 0], "digest": keys[:, 1], "a": pa.array(a - begin, pa.int32()), "b": pa.array(b - begin, pa.int32())})
-
-    cold = parts.where("not hot").select(*REGION, "region", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    sorted_ = cold.groupBy("shard").applyInArrow(sort, "anchor long, digest long, a int, b int")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, digest, region, n in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                some = len(region) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * some, pa.int64()), pa.array([digest] * some, pa.int64()), pa.array(range(some), pa.int32()), pa.array([n] * some, pa.int64()),
-                                                  pa.array([hashlib.blake2b(region[s:s + length], digest_size=16).digest() for s in range(some)], pa.binary())], [*REGION, "a", "n", "string"])
-
-    single = parts.where("hot").dropDuplicates(REGION).select(*REGION, "region", "n")
-    each = shared.put("strings", single.mapInArrow(strings, "anchor long, digest long, a int, n long, string binary"))
-    often = each.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1")
-    counted = each.join(often, "string").select(*REGION, "a", F.col("a").alias("b"))
+        begin = np.concatenate([[0], ends])
+        keys = np.array(names, np.int64).reshape(-1, 2)
+        runs = pa.table({"anchor": keys[owner, 0], "digest": keys[owner, 1], "a": pa.array(a - begin[owner], pa.int32()), "b": pa.array(b - begin[owner], pa.int32()), "string": pa.nulls(len(a), pa.binary())})
+        told: dict[bytes, tuple] = {}
+        for i, name in enumerate(names):
+            region, _, hot = held[name]
+            for at in range(len(region) - length + 1) if hot else ():
+                # a string that is found is a run already: it has no place to go back to
+                told.setdefault(hashlib.blake2b(region[at:at + length], digest_size=16).digest(), (*name, -1 if found[begin[i] + at] else at))
+        if not told:
+            return runs
+        anchor, digest, at = zip(*told.values())
+        return pa.concat_tables([runs, pa.table({"anchor": pa.array(anchor, pa.int64()), "digest": pa.array(digest, pa.int64()), "a": pa.array(at, pa.int32()), "b": pa.array(at, pa.int32()), "string": pa.array(list(told), pa.binary())})])
+
+    # the regions of a hot anchor are dealt by their own digests
+    of = F.when(F.col("hot"), F.concat_ws(":", F.lit("hot"), F.col("anchor").cast("string"), F.pmod("digest", F.col("pieces")).cast("string"))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string"))
+    dealt = parts.dropDuplicates(REGION).select(*REGION, "region", "n", "hot", of.alias("shard"))
+    sorted_ = shared.put("sorted", dealt.groupBy("shard").applyInArrow(sort, "anchor long, digest long, a int, b int, string binary"))
+    told = sorted_.where("string is not null")
+    # no string has two places to go back to in a shard, so two rows of one are two shards
+    often = told.groupBy("string").agg(F.count(F.lit(1)).alias("shards"), F.max("a").alias("last")).where("shards > 1 and last >= 0")
+    counted = told.where("a >= 0").join(often.select("string"), "string").select(*REGION, "a", "b")
+    sorted_ = sorted_.where("string is null").select(*REGION, "a", "b")
     found = shared.put("found", sorted_.unionByName(counted).groupBy(*REGION).agg(F.collect_list(F.struct("a", "b")).alias("runs")))
     shared.drop("regions")
-    shared.drop("strings")
+    shared.drop("sorted")
 
     def run(a, b):
         return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
