@@ -20,8 +20,10 @@ from folioscope.session import written
 LISTED = "source_dir string, source_path string, size long, mtime timestamp, error string"
 
 
-def _when(seconds: float) -> pd.Timestamp:
-    return pd.Timestamp(seconds, unit="s").floor("us")
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as a frame; ``mtime``, whole microseconds or None, becomes a column of times at once and not file by file."""
+    frame = pd.DataFrame(rows, columns=columns)
+    return frame.assign(mtime=frame["mtime"].astype("Int64").astype("datetime64[us]") if frame["mtime"].isna().any() else frame["mtime"].to_numpy("int64").view("datetime64[us]"))
 
 
 def _local(folder: str) -> str | None:
@@ -37,8 +39,8 @@ def _remote(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _children(folder: str) -> Iterator[tuple[str, bool, int, pd.Timestamp]]:
-    """``(name, is_folder, size, mtime)`` of what lies directly in a folder, links left out, names of any form."""
+def _children(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """``(name, is_folder, size, mtime in microseconds)`` of what lies directly in a folder, links left out, names of any form."""
     mounted = _local(folder)
     if mounted is not None:
         with os.scandir(mounted) as entries:
@@ -46,7 +48,7 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int, pd.Timestamp]]:
                 if e.is_symlink():
                     continue
                 stat = e.stat(follow_symlinks=False)
-                yield e.name, e.is_dir(follow_symlinks=False), stat.st_size, _when(stat.st_mtime)
+                yield e.name, e.is_dir(follow_symlinks=False), stat.st_size, stat.st_mtime_ns // 1000
         return
     from pyarrow import fs
 
@@ -54,7 +56,7 @@ def _children(folder: str) -> Iterator[tuple[str, bool, int, pd.Timestamp]]:
     if client.get_file_info(path).type == fs.FileType.NotFound:
         raise FileNotFoundError(2, "No such file or directory", folder)
     for info in client.get_file_info(fs.FileSelector(path)):
-        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, _when((info.mtime_ns or 0) / 1e9)
+        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, (info.mtime_ns or 0) // 1000
 
 
 def _reader(path: str):
@@ -85,12 +87,12 @@ def scan_sources(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
                             continue
                         rows.append((folder, f"{folder.rstrip('/')}/{name}", size, mtime, None))
                         if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=columns)
+                            yield _frame(rows, columns)
                             rows = []
                 except OSError as exc:
                     kind = "missing" if isinstance(exc, FileNotFoundError) else "error"
-                    rows.append((folder, None, None, pd.NaT, f"{kind}: {exc.strerror}"))
-                yield pd.DataFrame(rows, columns=columns)
+                    rows.append((folder, None, None, None, f"{kind}: {exc.strerror}"))
+                yield _frame(rows, columns)
 
     if not distinct:
         return spark.createDataFrame([], LISTED)
@@ -168,9 +170,9 @@ def scan_pages(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> D
                     if kept(rel) and (is_dir or name.lower().endswith(".md")):
                         rows.append((rel, is_dir, size, mtime))
                     if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime"])
+                        yield _frame(rows, ["path", "is_dir", "size", "mtime"])
                         rows = []
-                yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime"])
+                yield _frame(rows, ["path", "is_dir", "size", "mtime"])
 
     frontier, n, files, depth = spark.createDataFrame([("",)], "folder string"), 1, None, 0
     while n:
@@ -185,6 +187,8 @@ def scan_pages(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> D
 
 def write_pages(pages: DataFrame, root: str) -> None:
     """Each page as a file below ``root``, written by tasks."""
+    made: set[str] = set()  # folders, by a worker
+
     def put(target: str, data: bytes) -> None:
         mounted = _local(target)
         if mounted is None:
@@ -193,7 +197,9 @@ def write_pages(pages: DataFrame, root: str) -> None:
             with client.open_output_stream(name) as f:
                 f.write(data)
             return
-        os.makedirs(os.path.dirname(mounted), exist_ok=True)
+        if (folder := os.path.dirname(mounted)) not in made:
+            os.makedirs(folder, exist_ok=True)
+            made.add(folder)
         draft = f"{mounted}.{os.getpid()}.tmp"
         with open(draft, "wb") as f:
             f.write(data)
