@@ -106,12 +106,13 @@ def near_prints(shared: Shared, distinct: DataFrame, distance: int = 3) -> tuple
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     # one round of stars: every fingerprint of a bucket against its smallest
     least = buckets.groupBy("key").agg(F.min("fp").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = buckets.join(least, "key").where(near & (F.col("fp") != F.col("other"))).select(F.col("other").alias("a"), F.col("fp").alias("b"))
+    # Spark takes exploded rows for as few as they were before, and would send all of them to every task
+    stars = buckets.hint("merge").join(least, "key").where(near & (F.col("fp") != F.col("other"))).select(F.col("other").alias("a"), F.col("fp").alias("b"))
     first = components(shared, stars, "stars")
     labelled = shared.put("labelled", distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")))
     held = labelled.select("fp", "label", _keys(F.col("fp"), [0]).alias("key"))
     asked = labelled.select(F.col("fp").alias("other"), F.col("label").alias("other_label"), _keys(F.col("fp"), BALL).alias("key"))
-    links = held.join(asked, "key").where(near & (F.col("fp") < F.col("other")) & (F.col("label") != F.col("other_label")))
+    links = held.hint("merge").join(asked, "key").where(near & (F.col("fp") < F.col("other")) & (F.col("label") != F.col("other_label")))
     return labelled, stars, links.select("fp", "other", "label", "other_label")
 
 
