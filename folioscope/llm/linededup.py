@@ -139,7 +139,8 @@ def duplicate_lines(docs: DataFrame) -> tuple[DataFrame, Shared]:
     lines = shared.put("lines", signed.select(F.monotonically_increasing_id().alias("line_id"), "h1", "h2", "place", (F.col("last") > F.col("place")).alias("again"), bands.alias("bands")))
     buckets = lines.select("line_id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     least = buckets.groupBy("bucket").agg(F.min("line_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    held = shared.put("buckets", buckets.join(least, "bucket"))
+    # exploded rows are many more than Spark takes them for: never sent whole to every task
+    held = shared.put("buckets", buckets.hint("merge").join(least, "bucket"))
     wanted = held.select("line_id").distinct().join(lines.select("line_id", "h1", "h2"), "line_id")
     texts = shared.put("texts", _named(_lines(docs)).select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("line_id").agg(F.max("line").alias("line")))
     parities = shared.put("parities", _parities(texts))

@@ -87,7 +87,8 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     printed = _print_pairs(shared, distinct.select("fp", "print"))
     buckets = distinct.select("fp", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    held = shared.put("set-buckets", buckets.join(least, "bucket"))
+    # exploded and self-joined rows are many more than Spark takes them for: never sent whole to every task
+    held = shared.put("set-buckets", buckets.hint("merge").join(least, "bucket"))
     # the sets of what has company by its fingerprint or in a bucket, of one document each
     company = held.select("fp").union(printed.select("a")).union(printed.select("b")).distinct()
     wanted = company.join(distinct.drop("bands", "print"), "fp").withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash")
@@ -100,7 +101,7 @@ def near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     rest = labelled.join(mixed, "bucket")
     other = rest.select("bucket", F.col("fp").alias("b"), F.col("label").alias("label_b"))
-    pairs = rest.withColumnRenamed("fp", "a").join(other, "bucket").where("label < label_b").select("a", "b").distinct()
+    pairs = rest.withColumnRenamed("fp", "a").hint("merge").join(other, "bucket").where("label < label_b").select("a", "b").distinct()
     joined = components(shared, compacted(stars.unionByName(_similar(pairs, sets))), "set-all").withColumnRenamed("node", "fp")
     classes = distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
     return kept_of_classes(shared.put("set-members", members.join(classes, "fp")))
